@@ -6,16 +6,19 @@ The sentence is the whole document text. Answers come in eleven shapes, chosen b
 row, model and try.
 """
 
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from criteria_engine.fixed_values import MODELS, RATE_LIMIT_ERROR
 from criteria_engine.functions.text import key_hash
-from criteria_engine.operators.keyed import calls_needed, pending_rows, union_attempts
+from criteria_engine.operators.keyed import calls_needed, pending_rows
 from criteria_engine.operators.lines import type_fields
 from criteria_engine.operators.models import fan_out
-from criteria_engine.sources.attempts import attempt_number
-from criteria_engine.schemas import ATTEMPTS
+from criteria_engine.plans.resume import shared_folder
+from criteria_engine.schemas import ATTEMPTS, ROWS
+from criteria_engine.sources.attempts import append_attempts, attempt_number, read_attempts
 
 # Answer texts by shape; shape 7 is a rate limit.
 SHAPES = (
@@ -90,6 +93,30 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return type_fields(annotations(spark, sf_dir)).withColumn("key_hash", key_hash())
 
 
+@cache
+def _stored(name: str, application: str, sf_dir: str) -> str:
+    """Path of a derived table, written once per application."""
+    spark = SparkSession.active()
+    folder = shared_folder(spark)
+    if name == "staged":
+        rows(spark, sf_dir).write.parquet(folder)
+    else:
+        append_attempts(prior(spark, sf_dir), folder)
+        append_attempts(_second(spark, sf_dir, read_attempts(spark, folder)), folder)
+    return folder
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`rows`, stored, so that key operators read no text."""
+    path = _stored("staged", spark.sparkContext.applicationId, sf_dir)
+    return spark.read.schema(ROWS).parquet(path)
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts log after two runs."""
+    return read_attempts(spark, _stored("log", spark.sparkContext.applicationId, sf_dir))
+
+
 def answers(asked: DataFrame, run_no: int = 1, shift: int = 0) -> DataFrame:
     """Attempts for rows that carry `ord` and `model`."""
     return asked.withColumn("_shape", _shape(shift)).select(
@@ -111,22 +138,23 @@ def resp(spark: SparkSession, sf_dir: str, models=MODELS) -> DataFrame:
     return answers(fan_out(rows(spark, sf_dir), models))
 
 
+def keyed_resp(spark: SparkSession, sf_dir: str, models=MODELS) -> DataFrame:
+    """`resp` over the stored rows."""
+    return answers(fan_out(staged(spark, sf_dir), models))
+
+
 def prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a first run over some of the drug files stored."""
-    seen = rows(spark, sf_dir).where(F.col("drug_name") < FIRST_RUN_BEFORE)
+    seen = staged(spark, sf_dir).where(F.col("drug_name") < FIRST_RUN_BEFORE)
     return calls_needed(answers(fan_out(seen)))
 
 
-def second(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _second(spark: SparkSession, sf_dir: str, first: DataFrame) -> DataFrame:
     """What the next run, over all files, adds."""
-    pending = pending_rows(fan_out(rows(spark, sf_dir)), prior(spark, sf_dir))
+    pending = pending_rows(fan_out(staged(spark, sf_dir)), first)
     return calls_needed(answers(pending, run_no=2))
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return union_attempts(prior(spark, sf_dir), second(spark, sf_dir))
-
-
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, model and response bodies, good and broken, that hold the answers."""
     case = (F.col("seq") + 3 * F.col("ord")) % len(SHAPES)

@@ -8,9 +8,10 @@ from criteria_engine.operators import envelopes, keyed, lines, metrics, models,
 from criteria_engine.plans import driver_tables as tables
 from criteria_engine.plans.resume import run_models, shared_folder
 from criteria_engine.schemas import ANNOTATION_COLUMNS
+from criteria_engine.session import ship_package
 from criteria_engine.sinks.exports import PREDICTION_COLUMNS, predictions_export
 from criteria_engine.sources.annotations import load_annotations
-from criteria_engine.sources.attempts import append_attempts, read_attempts
+from criteria_engine.sources.attempts import read_attempts
 
 FIRST_ROWS = 100
 PREVIEW_ROWS = 3
@@ -107,23 +108,25 @@ def q_error_rows(spark, sf_dir):
     return keyed.error_rows(_answered(spark, sf_dir)).select("model", *ANNOTATION_COLUMNS)
 
 
+def _first_run(spark, sf_dir) -> DataFrame:
+    return tables.log(spark, sf_dir).where(F.col("run_no") == 1)
+
+
 def q_prior_results(spark, sf_dir):
-    path = shared_folder(spark)
-    append_attempts(tables.prior(spark, sf_dir), path)
-    stored = keyed.with_answers(read_attempts(spark, path))
+    stored = keyed.with_answers(_first_run(spark, sf_dir))
     return stored.select(
         "model", "run_no", "seq", "trial_id", "criteria_text", "prediction", "reason"
     )
 
 
 def q_cached_rows(spark, sf_dir):
-    wanted = models.fan_out(tables.rows(spark, sf_dir))
-    return keyed.cached_rows(wanted, tables.prior(spark, sf_dir)).select("seq", "model")
+    wanted = models.fan_out(tables.staged(spark, sf_dir))
+    return keyed.cached_rows(wanted, _first_run(spark, sf_dir)).select("seq", "model")
 
 
 def q_pending_rows(spark, sf_dir):
-    wanted = models.fan_out(tables.rows(spark, sf_dir))
-    return keyed.pending_rows(wanted, tables.prior(spark, sf_dir)).select("seq", "model")
+    wanted = models.fan_out(tables.staged(spark, sf_dir))
+    return keyed.pending_rows(wanted, _first_run(spark, sf_dir)).select("seq", "model")
 
 
 def q_model_fanout(spark, sf_dir):
@@ -136,6 +139,7 @@ def q_select_models(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, scorer, max_tries) -> DataFrame:
+    ship_package(spark)
     wanted = models.fan_out(tables.rows(spark, sf_dir))
     return scoring.score(wanted, scorer, max_tries).select("seq", "model", "raw_response", "error")
 
@@ -166,7 +170,9 @@ def q_retry_failed(spark, sf_dir):
 
 
 def q_union_attempts(spark, sf_dir):
-    return tables.log(spark, sf_dir).select("model", "run_no", "seq", "raw_response", "error")
+    log = tables.log(spark, sf_dir)
+    both = keyed.union_attempts(_first_run(spark, sf_dir), log.where(F.col("run_no") == 2))
+    return both.select("model", "run_no", "seq", "raw_response", "error")
 
 
 def q_current_results(spark, sf_dir):
@@ -175,12 +181,12 @@ def q_current_results(spark, sf_dir):
 
 
 def q_calls_needed(spark, sf_dir):
-    return keyed.calls_needed(tables.resp(spark, sf_dir)).select("model", "seq")
+    return keyed.calls_needed(tables.keyed_resp(spark, sf_dir)).select("model", "seq")
 
 
 def q_resume_twice(spark, sf_dir):
-    path = shared_folder(spark)
-    rows = tables.rows(spark, sf_dir)
+    path = shared_folder(ship_package(spark))
+    rows = tables.staged(spark, sf_dir)
     run_models(rows, path, tables.rule_scorer(), max_tries=1)
     run_models(rows, path, tables.rule_scorer(shift=4), max_tries=1)
     current = keyed.with_answers(keyed.current_results(read_attempts(spark, path)))
@@ -200,7 +206,7 @@ def q_classification_metrics(spark, sf_dir):
 
 
 def q_compare_models(spark, sf_dir):
-    stored = keyed.current_results(tables.resp(spark, sf_dir, RUN_MODELS))
+    stored = keyed.current_results(tables.keyed_resp(spark, sf_dir, RUN_MODELS))
     return metrics.compare_models(keyed.with_answers(stored))
 
 
@@ -210,18 +216,18 @@ def q_compare_metrics(spark, sf_dir):
 
 def q_run_summary(spark, sf_dir):
     return keyed.run_summary(
-        tables.rows(spark, sf_dir), tables.log(spark, sf_dir), run_no=2, models=MODELS
+        tables.staged(spark, sf_dir), tables.log(spark, sf_dir), run_no=2, models=MODELS
     )
 
 
 def q_dry_run(spark, sf_dir):
-    return keyed.dry_run_counts(tables.rows(spark, sf_dir), tables.prior(spark, sf_dir), MODELS)
+    return keyed.dry_run_counts(tables.staged(spark, sf_dir), _first_run(spark, sf_dir), MODELS)
 
 
 def q_dry_run_preview(spark, sf_dir):
-    first = lines.first_n(tables.rows(spark, sf_dir), PREVIEW_ROWS, ["seq"])
+    first = lines.first_n(tables.staged(spark, sf_dir), PREVIEW_ROWS, ["seq"])
     wanted = models.fan_out(first, models.select_models(PREVIEW_MODEL))
-    done = keyed.answered_keys(tables.prior(spark, sf_dir)).withColumn("_done", F.lit(True))
+    done = keyed.answered_keys(_first_run(spark, sf_dir)).withColumn("_done", F.lit(True))
     return wanted.join(done, keyed.SLOT, "left").select(
         "seq",
         "drug_name",

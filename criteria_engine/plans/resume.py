@@ -4,7 +4,7 @@ from functools import partial
 from tempfile import mkdtemp
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from criteria_engine.fixed_values import MAX_TRIES, MODELS
 from criteria_engine.functions.responses import answer_is_valid
@@ -33,10 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/criteria_engine/{uuid4().hex}"
 
 
-def store(table: DataFrame, path: str) -> DataFrame:
-    """Write a table and read it back, which cuts its lineage."""
-    table.write.mode("overwrite").parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path)
+def store(table: DataFrame, path: str, **measured: Column) -> tuple[DataFrame, dict]:
+    """Write a table and read it back, which cuts its lineage.
+
+    Also returns its row count `n` and other aggregates, taken while it is written.
+    """
+    seen = Observation()
+    numbers = [F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in measured.items()]]
+    table.observe(seen, *numbers).write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path), seen.get
 
 
 def run_models(
@@ -70,28 +75,24 @@ def run_models(
     run_no = next_run(log)
     save = partial(_save, run_no=run_no, log_path=log_path)
 
-    heads = store(pending_heads(rows, log, models), f"{folder}/heads")
-    size = heads.count()
-    if not size:
+    heads, found = store(pending_heads(rows, log, models), f"{folder}/heads")
+    if not found["n"]:
         return run_no
-    save(score(_requested(rows, heads, size, models, tasks), scorer, max_tries))
+    save(score(_requested(rows, heads, found["n"], models, tasks), scorer, max_tries))
 
-    failed = store(_failed(_this_run(spark, log_path, run_no)), f"{folder}/failed")
-    size = failed.count()
-    if not size:
+    failed, found = store(_failed(_this_run(spark, log_path, run_no)), f"{folder}/failed")
+    if not found["n"]:
         return run_no
-    ranked = _ranked(_behind(rows, failed, size), folder, chunk_rows)
-    last = ranked.agg(F.max("chunk")).first()[0]
+    ranked, last = _ranked(_behind(rows, failed, found["n"]), folder, chunk_rows)
     first, width = 0, 1
-    while last is not None and first <= last:
+    while first <= last:
         wave = ranked.where(F.col("chunk").between(first, first + width - 1))
         if first:
             wave = wave.join(answered_keys(_this_run(spark, log_path, run_no)), SLOT, "left_anti")
-        wave = store(wave, f"{folder}/wave_{first}")
-        size = wave.count()
-        if not size:
+        wave, found = store(wave, f"{folder}/wave_{first}")
+        if not found["n"]:
             break
-        asks = _requested(rows, wave, size, models)
+        asks = _requested(rows, wave, found["n"], models)
         save(score_in_order(asks, scorer, [*SLOT, "chunk"], tasks, max_tries))
         first, width = first + width, width * 2
     return run_no
@@ -142,26 +143,31 @@ def _behind(rows: DataFrame, failed: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _ranked(rows: DataFrame, folder: str, chunk_rows: int) -> DataFrame:
+def _ranked(rows: DataFrame, folder: str, chunk_rows: int) -> tuple[DataFrame, int]:
     """Number each key's rows in `seq` order, in chunks, without gathering a key in one task.
 
     Range partitioning cuts through large keys; a row's rank is its rank within the
-    part plus the size of the key's earlier parts.
+    part plus the size of the key's earlier parts. Also returns the last chunk, -1
+    without rows.
     """
-    parts = store(
+    parts, found = store(
         rows.repartitionByRange(*SLOT, "seq").withColumn("part", F.spark_partition_id()),
         f"{folder}/parts",
     )
+    if not found["n"]:
+        return rows.withColumn("chunk", F.lit(0)), -1
     within = Window.partitionBy(*SLOT, "part").orderBy("seq")
     earlier = Window.partitionBy(*SLOT).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy(*SLOT, "part").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy(*SLOT, "part").agg(F.count("*").alias("size"))
     before = sizes.select(
-        *SLOT, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+        *SLOT, "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before")
     )
     rank = F.col("before") + F.col("row") - 1
-    return store(
+    ranked, found = store(
         parts.withColumn("row", F.row_number().over(within))
         .join(before, [*SLOT, "part"])
         .select(*SLOT, "seq", F.floor(rank / chunk_rows).alias("chunk")),
         f"{folder}/ranked",
+        last=F.max("chunk"),
     )
+    return ranked, found["last"]

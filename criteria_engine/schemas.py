@@ -31,6 +31,15 @@ STAGED = T.StructType(
     ]
 )
 
+# Numbered annotations, the input of a run.
+ROWS = T.StructType(
+    [
+        T.StructField("seq", T.LongType()),
+        *ANNOTATION.fields,
+        T.StructField("key_hash", T.BinaryType()),
+    ]
+)
+
 # The append-only log of model answers. `attempt_no` rises over runs and, within
 # a run, in input order, and is unique per model.
 ATTEMPTS = T.StructType(
