@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -5,10 +6,14 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
-
 TESTDATA = Path("/root/testdata")
 
+sys.path.insert(0, str(ROOT))
+# Python workers import the scorers of the test modules
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [str(ROOT), str(ROOT / "tests"), os.environ.get("PYTHONPATH", "")]
+)
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -17,11 +22,12 @@ def spark(tmp_path_factory):
         .appName("criteria_engine_tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

@@ -1,0 +1,76 @@
+"""Small stand-ins for the row-by-row run, and scorers that leave a trace."""
+
+import os
+import uuid
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from criteria_engine.functions.text import key_hash
+from criteria_engine.schemas import ATTEMPTS, ROWS
+from criteria_engine.sources.attempts import attempt_number
+
+VALID, INVALID = "PREDICTION: 1\nREASON: r", "cannot tell"
+
+
+def rows_table(spark, keys):
+    """Numbered annotations; `keys` gives each row's sentence."""
+    data = [(i, f"d{i}", i % 2, "T", "INCL", key) for i, key in enumerate(keys)]
+    schema = "seq bigint, drug_name string, label int, trial_id string, section string, " + (
+        "criteria_text string"
+    )
+    return spark.createDataFrame(data, schema).withColumn("key_hash", key_hash()).select(*ROWS.names)
+
+
+def attempts_table(spark, attempts):
+    """`attempts`: (model, run_no, seq, key, valid)."""
+    data = [
+        (m, run, seq, f"d{seq}", seq % 2, "T", "INCL", key, VALID if ok else INVALID, None)
+        for m, run, seq, key, ok in attempts
+    ]
+    schema = (
+        "model string, run_no int, seq bigint, drug_name string, label int, trial_id string, "
+        "section string, criteria_text string, raw_response string, error string"
+    )
+    df = spark.createDataFrame(data, schema).withColumn("key_hash", key_hash())
+    return df.withColumn("attempt_no", attempt_number(F.col("run_no"))).select(*ATTEMPTS.names)
+
+
+def one_by_one(keys, answer, stored=None):
+    """A run that goes through the rows in order.
+
+    `stored` and the result map a key to (run, seq, valid); also returns the asked rows.
+    """
+    table, asked = dict(stored or {}), []
+    run = 1 + max((place[0] for place in table.values()), default=0)
+    for seq, key in enumerate(keys):
+        if key in table and table[key][2]:
+            continue
+        asked.append(seq)
+        table[key] = (run, seq, answer(seq, run))
+    return table, asked
+
+
+class TracingScorer:
+    """Answers by `rule(seq, run)` and writes every request to a folder."""
+
+    def __init__(self, folder, rule, run=1):
+        self.folder, self.rule, self.run = str(folder), rule, run
+
+    def __call__(self, requests):
+        with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as trace:
+            for r in requests.itertuples():
+                trace.write(f"{self.run} {r.model} {r.seq} {r.try_no}\n")
+        texts = [VALID if self.rule(seq, self.run) else INVALID for seq in requests["seq"]]
+        return pd.DataFrame({"raw_response": texts, "error": None, "retryable": False})
+
+
+def trace(folder):
+    """All requests as (run, model, seq, try_no)."""
+    found = []
+    for name in os.listdir(folder):
+        with open(os.path.join(folder, name)) as lines:
+            for line in lines:
+                run, model, seq, try_no = line.split()
+                found.append((int(run), model, int(seq), int(try_no)))
+    return sorted(found)

@@ -1,0 +1,138 @@
+import csv
+import json
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from criteria_engine.operators import keyed, metrics
+from criteria_engine.operators.models import select_models
+from criteria_engine.schemas import ANNOTATION_COLUMNS, RESULT_COLUMNS
+from criteria_engine.sinks import exports
+from criteria_engine.sources.attempts import append_attempts, read_attempts, read_results_csv
+from helpers import attempts_table
+
+ANSWERS = [
+    ("PREDICTION: 1\nREASON: plain", None),
+    ('PREDICTION: 0\nREASON: with "quotes", commas', None),
+    ("the answer\nis 1, over\nlines", None),
+    ("cannot tell", None),
+    ("", None),
+    ("", "Max retries exceeded"),
+    ("PREDICTION: 1", None),
+]
+
+
+@pytest.fixture()
+def log(spark):
+    """Attempts for one model with texts that are hard to keep in a CSV."""
+    base = attempts_table(spark, [("qwen", 1, i, f' "k{i}",\n x ', True) for i in range(7)])
+    texts = F.array(*[F.lit(t) for t, _ in ANSWERS])
+    errors = F.array(*[F.lit(e) for _, e in ANSWERS])
+    place = F.col("seq").cast("int") + 1
+    return base.withColumns(
+        {"raw_response": F.element_at(texts, place), "error": F.element_at(errors, place)}
+    )
+
+
+def read_csv(folder):
+    found = []
+    for part in sorted(Path(folder).glob("part-*")):
+        with open(part, newline="", encoding="utf-8") as lines:
+            found += list(csv.DictReader(lines))
+    return found
+
+
+def read_json(folder):
+    (part,) = Path(folder).glob("part-*")
+    return json.loads(part.read_text())
+
+
+def test_log_round_trip(spark, log, tmp_path):
+    path = str(tmp_path / "log")
+    append_attempts(log, path)
+    append_attempts(log.withColumn("model", F.lit("gpt 5/x")), path)
+    back = read_attempts(spark, path)
+    assert back.count() == 14
+    assert back.where(F.col("model") == "qwen").exceptAll(log).count() == 0
+    plan = back.where(F.col("model") == "qwen")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(model" in plan
+
+
+def test_results_and_back(spark, log, tmp_path):
+    """A result CSV read back as attempts parses to the same predictions and reasons."""
+    exports.write_results(log, str(tmp_path), "qwen")
+    rows = read_csv(tmp_path / "qwen")
+    assert list(rows[0]) == list(RESULT_COLUMNS)
+    assert {r["llm_reason"] for r in rows} >= {"ERROR: Max retries exceeded", "plain", ""}
+    assert {r["criteria_text"] for r in rows} == {f' "k{i}",\n x ' for i in range(7)}
+
+    want = keyed.result_rows(log)
+    back = read_results_csv(spark, str(tmp_path / "qwen"), "qwen")
+    assert sorted(map(tuple, keyed.result_rows(back).collect()), key=repr) == sorted(
+        map(tuple, want.collect()), key=repr
+    )
+    assert back.join(log, "key_hash", "left_semi").count() == 7
+
+
+def test_results_of_a_dataframe_library(spark, tmp_path):
+    """Floats for predictions, empty cells for missing ones."""
+    path = tmp_path / "qwen.csv"
+    path.write_text(
+        ",".join(RESULT_COLUMNS) + "\n"
+        'D,1,T,INCL,"a, ""b""\nc",1.0,fine\n'
+        "D,0,T,EXCL,x,,ERROR: down\n"
+        "D,0,T,EXCL,y,2.0,odd\n"
+    )
+    got = keyed.with_answers(read_results_csv(spark, str(path), "qwen")).orderBy("seq").collect()
+    assert [(r.criteria_text, r.prediction, r.error) for r in got] == [
+        ('a, "b"\nc', 1, None),
+        ("x", None, "down"),
+        ("y", None, None),
+    ]
+
+
+def test_error_rows(log, tmp_path):
+    exports.write_error_rows(log, str(tmp_path), "qwen")
+    rows = read_csv(tmp_path / "error_output_qwen")
+    assert list(rows[0]) == list(ANNOTATION_COLUMNS)
+    assert [r["drug_name"] for r in rows] == ["d3", "d4", "d5"]
+
+
+def test_predictions(log, tmp_path):
+    answered = keyed.with_answers(log)
+    folder = exports.write_predictions(answered, str(tmp_path), "qwen", "20250102_030405")
+    assert folder.endswith("/qwen_20250102_030405")
+    rows = read_csv(f"{folder}/predictions")
+    assert list(rows[0]) == list(exports.PREDICTION_COLUMNS)
+    # labels alternate 0, 1; predictions are 1, 0, 1, none, none, none, 1
+    assert [r["correct"] for r in rows] == ["False", "False", "False", "", "", "", "False"]
+    assert rows[2]["raw_response"] == ANSWERS[2][0]
+    assert rows[5]["error"] == "Max retries exceeded"
+
+
+def test_metrics_and_comparison(spark, tmp_path):
+    rows = [("qwen", 1, 1)] * 2 + [("qwen", 1, 0), ("gpt5", 0, 1), ("gpt5", 0, None)]
+    df = spark.createDataFrame(rows, "model string, label int, prediction int")
+    graded = metrics.classification_metrics(df)
+    folder = exports.write_metrics(graded, str(tmp_path), "qwen", "20250102_030405")
+    want = {
+        "accuracy": 0.6667,
+        "precision": 1.0,
+        "recall": 0.6667,
+        "f1": 0.8,
+        "confusion_matrix": {"TP": 2, "TN": 0, "FP": 0, "FN": 1},
+        "total": 3,
+        "valid": 3,
+        "errors": 0,
+    }
+    got = read_json(f"{folder}/metrics")
+    assert got == {"model": "qwen", "timestamp": "20250102_030405", **want}
+    assert list(got)[:3] == ["model", "timestamp", "accuracy"]
+    exports.write_comparison(graded, str(tmp_path))
+    got = read_json(tmp_path / "comparison")
+    assert list(got) == ["gpt5", "qwen"] and got["qwen"] == want
+    with pytest.raises(ValueError):
+        exports.write_metrics(graded, str(tmp_path), "gpt4o", "x")
+    exports.write_comparison(graded, str(tmp_path / "one"), select_models("qwen"))
+    assert list(read_json(tmp_path / "one" / "comparison")) == ["qwen"]

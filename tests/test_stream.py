@@ -1,0 +1,99 @@
+from criteria_engine.operators import keyed
+from criteria_engine.operators.models import select_models
+from criteria_engine.plans.resume import run_models
+from criteria_engine.sources.annotations import load_annotations, stage_annotations
+from criteria_engine.sources.attempts import read_attempts
+from criteria_engine.streaming.resume import resume_stream
+from helpers import TracingScorer, trace
+
+import pytest
+
+QWEN = select_models("qwen")
+P = "annot-NOT_prior_therapy_"
+
+
+def write(folder, name, keys):
+    lines = [f"{P}D{i}.txt\t1\tT\tINCL\t{key}" for i, key in enumerate(keys)]
+    (folder / name).write_text("\n".join(lines) + "\n")
+
+
+def current(spark, log):
+    rows = keyed.with_answers(keyed.current_results(read_attempts(spark, log)))
+    return {(r.criteria_text, r.drug_name, r.prediction) for r in rows.collect()}
+
+
+@pytest.fixture()
+def place(tmp_path):
+    for name in ("in", "calls"):
+        (tmp_path / name).mkdir()
+    return tmp_path
+
+
+def rule(seq, run):
+    return seq % 3 > 0
+
+
+def start(spark, place, scorer, **options):
+    query = resume_stream(
+        spark,
+        str(place / "in"),
+        str(place / "log"),
+        str(place / "checkpoint"),
+        scorer,
+        QWEN,
+        tasks=2,
+        **options,
+    )
+    query.awaitTermination(300)
+    assert query.exception() is None
+
+
+def test_stream_equals_batch(spark, place):
+    write(place / "in", "a.tsv", ["x", "y", "x", "z", "x", "w"])
+    write(place / "in", "b.tsv", ["y", "v", "x"])
+    start(spark, place, TracingScorer(place / "calls", rule))
+
+    rows = stage_annotations(load_annotations(spark, str(place / "in")), str(place / "staged"))
+    (place / "other").mkdir()
+    run_models(rows, str(place / "log2"), TracingScorer(place / "other", rule), QWEN, tasks=2)
+    assert current(spark, str(place / "log")) == current(spark, str(place / "log2"))
+    assert trace(place / "calls") == trace(place / "other")
+
+
+def test_restart_takes_only_new_files(spark, place):
+    write(place / "in", "a.tsv", ["x", "y"])
+    start(spark, place, TracingScorer(place / "calls", lambda seq, run: True, run=1))
+    write(place / "in", "b.tsv", ["y", "z"])
+    start(spark, place, TracingScorer(place / "calls", lambda seq, run: True, run=2))
+    assert [(t[0], t[2]) for t in trace(place / "calls")] == [(1, 0), (1, 1), (2, 1)]
+    assert {r[0] for r in current(spark, str(place / "log"))} == {"x", "y", "z"}
+    runs = [r.run_no for r in read_attempts(spark, str(place / "log")).collect()]
+    assert sorted(runs) == [1, 1, 2]
+
+
+def test_batches_are_runs(spark, place):
+    """One file per batch; a key that failed in one batch is asked again in a later one."""
+    write(place / "in", "a.tsv", ["x", "y"])
+    write(place / "in", "b.tsv", ["x", "q"])
+    start(
+        spark, place, TracingScorer(place / "calls", lambda seq, run: seq > 0), files_per_batch=1
+    )
+    assert len(trace(place / "calls")) == 4
+    assert {r.run_no for r in read_attempts(spark, str(place / "log")).collect()} == {1, 2}
+
+
+def test_broken_batch_is_repeated(spark, place):
+    write(place / "in", "a.tsv", ["x", "y", "x"])
+
+    class Breaks(TracingScorer):
+        def __call__(self, requests):
+            if (requests["seq"] == 2).any():
+                raise SystemError("worker lost")
+            return super().__call__(requests)
+
+    with pytest.raises(Exception, match="worker lost"):
+        start(spark, place, Breaks(place / "calls", lambda seq, run: seq == 1))
+    start(spark, place, TracingScorer(place / "calls", lambda seq, run: seq == 1, run=2))
+    # y was answered before the crash; x is asked again, both rows
+    assert [t[2] for t in trace(place / "calls") if t[0] == 2] == [0, 2]
+    assert len(current(spark, str(place / "log"))) == 2
