@@ -40,10 +40,10 @@ def pending_rows(rows: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def pending_heads(rows: DataFrame, attempts: DataFrame, models) -> DataFrame:
-    """First row of every key that a model still has to answer: model, key_hash, seq.
+    """First row of every key with models still to answer: key_hash, seq, open_models.
 
-    Rows are reduced to one per key before anything is joined, and the models are
-    fanned out last, so a key with many rows costs one row in the shuffle.
+    Rows and stored answers are reduced to one per key before they are joined, on the
+    partitioning of that reduction, so a key with many rows costs one row per task.
     """
     names = [name for name, _ in models]
     heads = rows.groupBy("key_hash").agg(F.min("seq").alias("seq"))
@@ -53,10 +53,12 @@ def pending_heads(rows: DataFrame, attempts: DataFrame, models) -> DataFrame:
         .groupBy("key_hash")
         .agg(F.collect_set("model").alias("done"))
     )
+    wanted = F.array(*map(F.lit, names))
+    left = F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))
     return (
-        fan_out(heads.join(done, "key_hash", "left"), models)
-        .where(~F.coalesce(F.array_contains("done", F.col("model")), F.lit(False)))
-        .select("model", "key_hash", "seq")
+        heads.join(done, "key_hash", "left")
+        .select("key_hash", "seq", left.alias("open_models"))
+        .where(F.size("open_models") > 0)
     )
 
 

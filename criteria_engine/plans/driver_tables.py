@@ -16,9 +16,9 @@ from criteria_engine.functions.text import key_hash
 from criteria_engine.operators.keyed import calls_needed, pending_rows
 from criteria_engine.operators.lines import type_fields
 from criteria_engine.operators.models import fan_out
-from criteria_engine.plans.resume import shared_folder
 from criteria_engine.schemas import ATTEMPTS, ROWS
 from criteria_engine.sources.attempts import append_attempts, attempt_number, read_attempts
+from criteria_engine.storage import shared_folder
 
 # Answer texts by shape; shape 7 is a rate limit.
 SHAPES = (

@@ -6,12 +6,13 @@ from criteria_engine.fixed_values import MODELS
 from criteria_engine.functions import prompts, responses, text
 from criteria_engine.operators import envelopes, keyed, lines, metrics, models, scoring
 from criteria_engine.plans import driver_tables as tables
-from criteria_engine.plans.resume import run_models, shared_folder
+from criteria_engine.plans.resume import run_models
 from criteria_engine.schemas import ANNOTATION_COLUMNS
 from criteria_engine.session import ship_package
 from criteria_engine.sinks.exports import PREDICTION_COLUMNS, predictions_export
 from criteria_engine.sources.annotations import load_annotations
 from criteria_engine.sources.attempts import read_attempts
+from criteria_engine.storage import shared_folder
 
 FIRST_ROWS = 100
 PREVIEW_ROWS = 3
@@ -22,9 +23,9 @@ RUN_MODELS = MODELS[:3]
 
 
 def _annotation_file(spark: SparkSession, sf_dir: str) -> str:
-    """The derived lines as text files in line order."""
+    """The derived lines as text files."""
     folder = shared_folder(spark)
-    tables.lines(spark, sf_dir).orderBy("seq").select("line").write.text(folder)
+    tables.lines(spark, sf_dir).select("line").write.text(folder)
     return folder
 
 
@@ -56,8 +57,8 @@ def q_drug_name(spark, sf_dir):
 
 
 def q_first_n(spark, sf_dir):
-    loaded = load_annotations(spark, _annotation_file(spark, sf_dir), FIRST_ROWS)
-    return loaded.select(*ANNOTATION_COLUMNS)
+    loaded = lines.parse_lines(tables.lines(spark, sf_dir))
+    return lines.first_n(loaded, FIRST_ROWS, ["seq"]).select(*ANNOTATION_COLUMNS)
 
 
 def q_section_route(spark, sf_dir):

@@ -1,47 +1,29 @@
 """A resumable run: ask the models for what the log does not hold yet."""
 
+import warnings
 from functools import partial
-from tempfile import mkdtemp
-from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from criteria_engine.fixed_values import MAX_TRIES, MODELS
 from criteria_engine.functions.responses import answer_is_valid
 from criteria_engine.operators.keyed import SLOT, answered_keys, pending_heads
 from criteria_engine.operators.models import model_id
 from criteria_engine.operators.scoring import Scorer, score, score_in_order
-from criteria_engine.sources.annotations import BROADCAST_ROWS
 from criteria_engine.sources.attempts import (
     append_attempts,
     attempt_number,
     next_run,
     read_attempts,
 )
+from criteria_engine.storage import BROADCAST_ROWS, shared_folder, small, store
 
 # Rows of one key that are asked strictly one after the other (see `run_models`).
 CHUNK_ROWS = 256
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the checkpoint directory that all executors reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        base = mkdtemp(prefix="criteria_engine_")
-    return f"{base.rstrip('/')}/criteria_engine/{uuid4().hex}"
-
-
-def store(table: DataFrame, path: str, **measured: Column) -> tuple[DataFrame, dict]:
-    """Write a table and read it back, which cuts its lineage.
-
-    Also returns its row count `n` and other aggregates, taken while it is written.
-    """
-    seen = Observation()
-    numbers = [F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in measured.items()]]
-    table.observe(seen, *numbers).write.mode("overwrite").parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path), seen.get
+# Rows per scoring task, and the largest number of tasks chosen for a job.
+TASK_ROWS = 2_000
+MOST_TASKS = 20_000
 
 
 def run_models(
@@ -66,10 +48,12 @@ def run_models(
     largest key, and no task holds more than one chunk of a key at a time. Each wave
     is in the log before the next one starts: a lost driver costs one wave.
 
-    `tasks` sets how many calls are in flight.
+    `tasks` sets the number of scoring tasks, and so how many calls are in flight at
+    most; by default it follows the number of rows to ask.
     """
     spark = rows.sparkSession
-    tasks = tasks or spark.sparkContext.defaultParallelism
+    if spark.conf.get("spark.speculation", "false") == "true":
+        warnings.warn("spark.speculation is on: copies of slow tasks repeat their calls")
     folder = shared_folder(spark)
     log = read_attempts(spark, log_path)
     run_no = next_run(log)
@@ -78,7 +62,8 @@ def run_models(
     heads, found = store(pending_heads(rows, log, models), f"{folder}/heads")
     if not found["n"]:
         return run_no
-    save(score(_requested(rows, heads, found["n"], models, tasks), scorer, max_tries))
+    asks = _head_rows(rows, heads, found["n"], tasks or _tasks(spark, found["n"]), models)
+    save(score(asks, scorer, max_tries))
 
     failed, found = store(_failed(_this_run(spark, log_path, run_no)), f"{folder}/failed")
     if not found["n"]:
@@ -92,12 +77,18 @@ def run_models(
         wave, found = store(wave, f"{folder}/wave_{first}")
         if not found["n"]:
             break
-        asks = _requested(rows, wave, found["n"], models)
-        save(score_in_order(asks, scorer, [*SLOT, "chunk"], tasks, max_tries))
+        asks = _wave_rows(rows, wave, found["n"], models)
+        parts = tasks or _tasks(spark, found["n"])
+        save(score_in_order(asks, scorer, [*SLOT, "chunk"], parts, max_tries))
         first, width = first + width, width * 2
     return run_no
 
 
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Enough tasks that a lost one repeats few calls, within what a shuffle bears."""
+    return max(spark.sparkContext.defaultParallelism, min(rows // TASK_ROWS, MOST_TASKS))
+
+
 def _save(answers: DataFrame, run_no: int, log_path: str) -> None:
     append_attempts(
         answers.withColumns(
@@ -111,19 +102,26 @@ def _this_run(spark: SparkSession, log_path: str, run_no: int) -> DataFrame:
     return read_attempts(spark, log_path).where(F.col("run_no") == run_no)
 
 
-def _requested(
-    rows: DataFrame, asks: DataFrame, size: int, models, tasks: int | None = None
-) -> DataFrame:
-    """Whole rows for a table of (model, seq, ...), in `tasks` partitions if given.
+def _head_rows(rows: DataFrame, heads: DataFrame, size: int, tasks: int, models) -> DataFrame:
+    """Whole rows to ask, in `tasks` partitions, once per open model.
 
-    A small table goes to the rows, so only requested rows move; otherwise the
-    partitioning by `seq` that the join needs is also the one to score in.
+    Few heads go to the rows, so that only requested rows move. Many heads are
+    joined in the partitioning they are scored in. Either way a row moves once and
+    is repeated per model, and grown into a prompt, behind the shuffle.
     """
-    asks = asks.drop("key_hash").withColumn("model_id", model_id(models))
+    heads = heads.drop("key_hash")
     if size <= BROADCAST_ROWS:
-        found = rows.join(F.broadcast(asks), "seq")
-        return found.repartition(tasks, "model", "seq") if tasks else found
-    return (rows.repartition(tasks, "seq") if tasks else rows).join(asks, "seq")
+        found = rows.join(F.broadcast(heads), "seq").repartition(tasks, "seq")
+    else:
+        found = rows.repartition(tasks, "seq").join(heads, "seq")
+    asks = found.select(*rows.columns, F.explode("open_models").alias("model"))
+    return asks.withColumn("model_id", model_id(models))
+
+
+def _wave_rows(rows: DataFrame, wave: DataFrame, size: int, models) -> DataFrame:
+    """Whole rows of a wave (model, seq, chunk)."""
+    asks = rows.join(small(wave.drop("key_hash"), size), "seq")
+    return asks.withColumn("model_id", model_id(models))
 
 
 def _failed(asked: DataFrame) -> DataFrame:
@@ -133,11 +131,9 @@ def _failed(asked: DataFrame) -> DataFrame:
 
 def _behind(rows: DataFrame, failed: DataFrame, size: int) -> DataFrame:
     """The rows that follow the failed first row of their key."""
-    if size <= BROADCAST_ROWS:
-        failed = F.broadcast(failed)
     return (
         rows.select("seq", "key_hash")
-        .join(failed, "key_hash")
+        .join(small(failed, size), "key_hash")
         .where(F.col("seq") > F.col("head"))
         .select(*SLOT, "seq")
     )

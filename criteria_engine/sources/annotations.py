@@ -5,9 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from criteria_engine.functions.text import key_hash
 from criteria_engine.operators.lines import first_n, parse_lines
 from criteria_engine.schemas import ANNOTATION_COLUMNS, KEY, ORDER, STAGED
-
-# Largest table, in rows, that is sent to every executor.
-BROADCAST_ROWS = 200_000
+from criteria_engine.storage import shared_folder, small, store
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
@@ -50,14 +48,13 @@ def number_rows(staged: DataFrame) -> DataFrame:
     spans = staged.groupBy("src_file", "src_block").agg(
         F.min(ids).alias("_low"), (F.max(ids) - F.min(ids) + 1).alias("_size")
     )
+    spans, found = store(spans, f"{shared_folder(staged.sparkSession)}/splits")
     earlier = Window.orderBy("src_file", "src_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.select(
         "src_file",
         "src_block",
         (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_low")).alias("_offset"),
     )
-    if spans.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    return staged.join(offsets, ["src_file", "src_block"]).select(
+    return staged.join(small(offsets, found["n"]), ["src_file", "src_block"]).select(
         (ids + F.col("_offset")).alias("seq"), "key_hash", *ANNOTATION_COLUMNS
     )

@@ -6,8 +6,9 @@ from pyspark.sql.streaming import StreamingQuery
 from criteria_engine.fixed_values import MODELS
 from criteria_engine.operators.lines import parse_lines
 from criteria_engine.operators.scoring import Scorer
-from criteria_engine.plans.resume import run_models, shared_folder
+from criteria_engine.plans.resume import run_models
 from criteria_engine.sources.annotations import stage_annotations
+from criteria_engine.storage import shared_folder
 
 
 def read_line_stream(spark: SparkSession, path: str, files_per_batch: int | None = None):

@@ -125,7 +125,7 @@ def test_numbers_follow_file_order(spark, split_files, tmp_path):
 
 
 def test_numbers_beyond_the_broadcast_limit(spark, split_files, tmp_path, monkeypatch):
-    monkeypatch.setattr("criteria_engine.sources.annotations.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("criteria_engine.storage.BROADCAST_ROWS", 0)
     path, want = split_files
     loaded = load_annotations(spark, path)
     assert records(stage_annotations(loaded, str(tmp_path / "staged")).orderBy("seq")) == want

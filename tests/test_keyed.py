@@ -66,12 +66,11 @@ def test_cached_and_pending(spark):
     wanted = fan_out(rows, QWEN)
     assert {r.seq for r in keyed.cached_rows(wanted, log).collect()} == {0, 1}
     assert {r.seq for r in keyed.pending_rows(wanted, log).collect()} == {2, 3}
-    heads = keyed.pending_heads(rows, log, select_models("qwen,gpt5")).select("model", "seq")
-    assert {tuple(r) for r in heads.collect()} == {
-        ("qwen", 2),
-        ("qwen", 3),
-        ("gpt5", 0),
-        ("gpt5", 2),
+    heads = keyed.pending_heads(rows, log, select_models("qwen,gpt5")).collect()
+    assert {r.seq: r.open_models for r in heads} == {
+        0: ["gpt5"],
+        2: ["qwen", "gpt5"],
+        3: ["qwen"],
     }
     counts = keyed.dry_run_counts(rows, log, select_models("qwen,gpt4o")).collect()
     assert {r.model: (r.cached, r.to_process) for r in counts} == {"qwen": (2, 2), "gpt4o": (0, 4)}

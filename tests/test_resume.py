@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from criteria_engine.operators import keyed
 from criteria_engine.operators.models import select_models
+from criteria_engine import storage
 from criteria_engine.plans import resume
 from criteria_engine.plans.resume import run_models
 from criteria_engine.sources.attempts import read_attempts
@@ -30,6 +31,7 @@ def rule(seq, run):
 def test_runs_match_the_sequential_loop(spark, tmp_path, monkeypatch, limit):
     """Three runs over the same rows, with and without broadcasts."""
     monkeypatch.setattr(resume, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", limit)
     rng = random.Random(2)
     keys = [f"k{rng.randrange(25)}" for _ in range(150)]
     rows = rows_table(spark, keys)
