@@ -13,6 +13,7 @@ returns in one action before using it.
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -56,14 +57,16 @@ def row_scorer(call: Callable[[str, str, str], str], retry_on=(OSError,)) -> Sco
 
 def _ask(scorer: Scorer, requests: pd.DataFrame, max_tries: int) -> pd.DataFrame:
     """Answers for a batch; only retryable rows go back to the scorer."""
-    answers = pd.DataFrame(index=requests.index, columns=_ANSWER, dtype=object)
-    open_rows = requests
+    answers, open_rows = None, requests
     for try_no in range(1, max_tries + 1):
+        got = scorer(open_rows.assign(try_no=try_no))[_ANSWER].set_axis(open_rows.index)
+        if answers is None:
+            answers = got.astype(object)
+        else:
+            answers.loc[open_rows.index] = got.astype(object)
+        open_rows = open_rows[got["retryable"].to_numpy(dtype=bool)]
         if open_rows.empty:
             break
-        got = scorer(open_rows.assign(try_no=try_no))[_ANSWER].set_axis(open_rows.index)
-        answers.loc[open_rows.index] = got.astype(object)
-        open_rows = open_rows[got["retryable"].astype(bool)]
     return answers
 
 
@@ -107,22 +110,24 @@ def score_in_order(
         last, last_done = None, False
         for columns in batches:
             requests = pd.concat(columns[: len(_REQUEST)], axis=1, keys=_REQUEST)
-            groups = pd.Series(list(zip(*columns[len(_REQUEST) :])), index=requests.index)
-            depth = groups.groupby(groups).cumcount()
-            done = {last} if last_done else set()
-            answers = pd.DataFrame(index=requests.index, columns=_ANSWER, dtype=object)
-            answers["asked"] = False
-            for step in range(int(depth.max()) + 1 if len(depth) else 0):
-                turn = requests[(depth == step) & ~groups.isin(done)]
-                if turn.empty:
-                    break
-                got = _ask(scorer, turn, max_tries)
-                answers.loc[turn.index, _ANSWER] = got
-                answers.loc[turn.index, "asked"] = True
-                done.update(groups[turn.index][_valid(got)])
-            if len(groups):
-                last, last_done = groups.iloc[-1], groups.iloc[-1] in done
-            yield answers[["raw_response", "error", "asked"]]
+            groups = pd.concat(columns[len(_REQUEST) :], axis=1).to_numpy(dtype=object)
+            # rows are sorted: a group is a run of rows, and may go on from the last batch
+            starts = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]).any(axis=1)])
+            sizes = np.diff(np.r_[starts, len(groups)])
+            done = np.zeros(len(starts), dtype=bool)
+            done[0] = last_done and last == tuple(groups[0])
+            raw, error = (np.full(len(groups), None, dtype=object) for _ in range(2))
+            asked = np.zeros(len(groups), dtype=bool)
+            step, turn = 0, np.flatnonzero(~done)
+            while len(turn):
+                at = starts[turn] + step
+                got = _ask(scorer, requests.iloc[at], max_tries)
+                raw[at], error[at], asked[at] = got["raw_response"], got["error"], True
+                done[turn] = _valid(got)
+                step += 1
+                turn = turn[~done[turn] & (sizes[turn] > step)]
+            last, last_done = tuple(groups[-1]), done[-1]
+            yield pd.DataFrame({"raw_response": raw, "error": error, "asked": asked})
 
     asked = F.pandas_udf(
         _typed(answer), "raw_response string, error string, asked boolean"

@@ -40,14 +40,14 @@ RATE_LIMITED = 7
 FIRST_RUN_BEFORE = "src15"
 
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq and the five raw fields of an annotation line."""
+def annotations(spark: SparkSession, sf_dir: str, labels_join: str = "left") -> DataFrame:
+    """seq and the five raw fields of an annotation line; without labels they are invalid."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     doc, first = F.col("doc_id"), F.col("k") == 0
     other = F.concat(F.lit("src"), ((doc + 7) % 20).cast("string"))
     return (
-        documents.join(labels, "doc_id", "left")
+        documents.join(labels, "doc_id", labels_join)
         .select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
         .select(
             (2 * doc + F.col("k")).alias("seq"),
@@ -90,7 +90,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid annotations: seq, typed columns, key_hash."""
-    return type_fields(annotations(spark, sf_dir)).withColumn("key_hash", key_hash())
+    # an inner join: unlabelled documents, which have no valid annotation, are not moved
+    labelled = annotations(spark, sf_dir, "inner")
+    return type_fields(labelled).withColumn("key_hash", key_hash())
 
 
 @cache

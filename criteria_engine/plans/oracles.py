@@ -9,8 +9,9 @@ from criteria_engine.fixed_values import (
     SYSTEM_PROMPT,
     WHITESPACE_CLASS,
 )
+from criteria_engine.plans.classify import PREVIEW_ROWS
 from criteria_engine.plans.driver_tables import FIRST_RUN_BEFORE
-from criteria_engine.plans.queries import FIRST_ROWS, PREVIEW_MODEL, PREVIEW_ROWS, RUN_MODELS
+from criteria_engine.plans.queries import FIRST_ROWS, PREVIEW_MODEL, RUN_MODELS
 
 
 def _text(value: str) -> str:

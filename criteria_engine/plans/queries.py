@@ -6,6 +6,7 @@ from criteria_engine.fixed_values import MODELS
 from criteria_engine.functions import prompts, responses, text
 from criteria_engine.operators import envelopes, keyed, lines, metrics, models, scoring
 from criteria_engine.plans import driver_tables as tables
+from criteria_engine.plans.classify import preview
 from criteria_engine.plans.resume import run_models
 from criteria_engine.schemas import ANNOTATION_COLUMNS
 from criteria_engine.session import ship_package
@@ -15,7 +16,6 @@ from criteria_engine.sources.attempts import read_attempts
 from criteria_engine.storage import shared_folder
 
 FIRST_ROWS = 100
-PREVIEW_ROWS = 3
 PREVIEW_MODEL = "qwen"
 SELECTED = "gpt5, qwen,gpt5"
 # A comparison in which one registered model has no results.
@@ -226,17 +226,8 @@ def q_dry_run(spark, sf_dir):
 
 
 def q_dry_run_preview(spark, sf_dir):
-    first = lines.first_n(tables.staged(spark, sf_dir), PREVIEW_ROWS, ["seq"])
-    wanted = models.fan_out(first, models.select_models(PREVIEW_MODEL))
-    done = keyed.answered_keys(_first_run(spark, sf_dir)).withColumn("_done", F.lit(True))
-    return wanted.join(done, keyed.SLOT, "left").select(
-        "seq",
-        "drug_name",
-        "section",
-        "label",
-        F.col("_done").isNotNull().alias("cached"),
-        prompts.prompt_preview(prompts.user_prompt()).alias("preview"),
-    )
+    rows, stored = tables.staged(spark, sf_dir), _first_run(spark, sf_dir)
+    return preview(rows, stored, models.select_models(PREVIEW_MODEL)).drop("model")
 
 
 def q_predictions_export(spark, sf_dir):

@@ -68,13 +68,14 @@ def run_models(
     failed, found = store(_failed(_this_run(spark, log_path, run_no)), f"{folder}/failed")
     if not found["n"]:
         return run_no
-    ranked, last = _ranked(_behind(rows, failed, found["n"]), folder, chunk_rows)
+    ranked, found = _ranked(_behind(rows, failed, found["n"]), folder, chunk_rows)
+    last = found["last"]
     first, width = 0, 1
     while first <= last:
         wave = ranked.where(F.col("chunk").between(first, first + width - 1))
         if first:
-            wave = wave.join(answered_keys(_this_run(spark, log_path, run_no)), SLOT, "left_anti")
-        wave, found = store(wave, f"{folder}/wave_{first}")
+            answered = answered_keys(_this_run(spark, log_path, run_no))
+            wave, found = store(wave.join(answered, SLOT, "left_anti"), f"{folder}/wave_{first}")
         if not found["n"]:
             break
         asks = _wave_rows(rows, wave, found["n"], models)
@@ -139,19 +140,19 @@ def _behind(rows: DataFrame, failed: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _ranked(rows: DataFrame, folder: str, chunk_rows: int) -> tuple[DataFrame, int]:
+def _ranked(rows: DataFrame, folder: str, chunk_rows: int) -> tuple[DataFrame, dict]:
     """Number each key's rows in `seq` order, in chunks, without gathering a key in one task.
 
     Range partitioning cuts through large keys; a row's rank is its rank within the
-    part plus the size of the key's earlier parts. Also returns the last chunk, -1
-    without rows.
+    part plus the size of the key's earlier parts. Also returns the number of rows
+    `n` and the `last` chunk, -1 without rows.
     """
     parts, found = store(
         rows.repartitionByRange(*SLOT, "seq").withColumn("part", F.spark_partition_id()),
         f"{folder}/parts",
     )
     if not found["n"]:
-        return rows.withColumn("chunk", F.lit(0)), -1
+        return rows.withColumn("chunk", F.lit(0)), {"n": 0, "last": -1}
     within = Window.partitionBy(*SLOT, "part").orderBy("seq")
     earlier = Window.partitionBy(*SLOT).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = parts.groupBy(*SLOT, "part").agg(F.count("*").alias("size"))
@@ -159,11 +160,10 @@ def _ranked(rows: DataFrame, folder: str, chunk_rows: int) -> tuple[DataFrame, i
         *SLOT, "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before")
     )
     rank = F.col("before") + F.col("row") - 1
-    ranked, found = store(
+    return store(
         parts.withColumn("row", F.row_number().over(within))
         .join(before, [*SLOT, "part"])
         .select(*SLOT, "seq", F.floor(rank / chunk_rows).alias("chunk")),
         f"{folder}/ranked",
         last=F.max("chunk"),
     )
-    return ranked, found["last"]

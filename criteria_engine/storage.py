@@ -5,8 +5,8 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-# Largest table, in rows of some hundred bytes, that is sent to every executor.
-BROADCAST_ROWS = 200_000
+# Largest table that is sent to every executor: rows of 150 bytes or so, 150 MB in all.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:

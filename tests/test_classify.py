@@ -1,0 +1,73 @@
+import pytest
+
+from criteria_engine.operators.scoring import row_scorer
+from criteria_engine.plans import classify as plans
+from criteria_engine.sources.attempts import read_attempts
+
+P = "annot-NOT_prior_therapy_"
+LINES = [
+    f"{P}A.txt\t1\tT1\tINCL\tprior A",
+    f"{P}A.txt\tNA\tT1\tINCL\tno label",
+    f"{P}B.txt\t0\tT1\tEXCL\tprior B",
+    f"{P}B.txt\t0\tT1\tINCL\tprior A",
+    f"{P}C.txt\t1\tT2\tEXCL\tother",
+]
+
+
+def call(model_id, system, user):
+    """One model is down, the others answer by section."""
+    if model_id.startswith("qwen/"):
+        raise ValueError("model is down")
+    return f"PREDICTION: {int('INCLUSION' in user)}\nREASON: by section"
+
+
+@pytest.fixture()
+def place(tmp_path):
+    (tmp_path / "in.tsv").write_text("\n".join(LINES) + "\n")
+    return str(tmp_path / "in.tsv"), str(tmp_path / "out")
+
+
+def test_from_files_to_grades(spark, place):
+    path, output = place
+    counts, shown = plans.dry_run(spark, path, output, models="gpt5", num_rows=3)
+    assert [tuple(r)[1:] for r in counts.collect()] == [("gpt5", 0, 3)]
+    assert [(r.drug_name, r.cached) for r in shown.orderBy("seq").collect()] == [
+        ("A", False),
+        ("B", False),
+        ("B", False),
+    ]
+
+    first = plans.classify(spark, path, output, row_scorer(call), models="gpt5,qwen", num_rows=3)
+    got = {r.model: tuple(r)[2:] for r in first.collect()}
+    # new, cached, stored, valid, correct, failed; the third row shares the first one's key
+    assert got == {"gpt5": (2, 1, 2, 2, 2, 0), "qwen": (3, 0, 2, 0, 0, 2)}
+
+    again = plans.classify(spark, path, output, row_scorer(call), models="gpt5")
+    assert [tuple(r)[2:] for r in again.collect()] == [(1, 3, 3, 3, 2, 0)]
+
+    counts, shown = plans.dry_run(spark, path, output, models="qwen,gpt5")
+    assert {r.model: (r.cached, r.to_process) for r in counts.collect()} == {
+        "gpt5": (4, 0),
+        "qwen": (0, 4),
+    }
+    assert {(r.model, r.cached) for r in shown.collect()} == {("gpt5", True), ("qwen", False)}
+
+    got = {r.model: tuple(r)[2:] for r in plans.compare(spark, output).collect()}
+    assert got == {
+        "gpt4o": (None, None, None, None),
+        "gpt5": (3, 3, 2, 2 / 3),
+        "ministral": (None, None, None, None),
+        "qwen": (2, 0, 0, 0.0),
+    }
+    plans.export(spark, output, (("gpt5", ""), ("qwen", "")))
+    csv = spark.read.option("header", True)
+    assert csv.csv(f"{output}/gpt5").count() == 3
+    assert csv.csv(f"{output}/error_output_qwen").count() == 2
+
+
+def test_drugs_can_have_their_own_answers(spark, place):
+    path, output = place
+    key = ("trial_id", "criteria_text", "drug_name")
+    done = plans.classify(spark, path, output, row_scorer(call), models="gpt5", key=key)
+    assert done.first().new == 4
+    assert read_attempts(spark, plans.attempts_path(output)).count() == 4
