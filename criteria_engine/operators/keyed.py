@@ -8,7 +8,7 @@ one. Full rows are then picked by their unique attempt number.
 
 from pyspark.sql import DataFrame, functions as F
 
-from criteria_engine.functions.responses import answer_is_valid, is_valid, prediction, reason
+from criteria_engine.functions.responses import is_valid, prediction, reason
 from criteria_engine.operators.models import fan_out
 from criteria_engine.schemas import ANNOTATION_COLUMNS
 
@@ -26,7 +26,7 @@ def with_answers(attempts: DataFrame) -> DataFrame:
 
 def answered_keys(attempts: DataFrame) -> DataFrame:
     """Distinct (model, key_hash) with a valid answer."""
-    return attempts.where(answer_is_valid()).select(*SLOT).distinct()
+    return attempts.where("answered").select(*SLOT).distinct()
 
 
 def cached_rows(rows: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def pending_heads(rows: DataFrame, attempts: DataFrame, models) -> DataFrame:
     heads = rows.groupBy("key_hash").agg(F.min("seq").alias("seq"))
     # the set holds model names, so it never outgrows the registry
     done = (
-        attempts.where(answer_is_valid() & F.col("model").isin(names))
+        attempts.where(F.col("answered") & F.col("model").isin(names))
         .groupBy("key_hash")
         .agg(F.collect_set("model").alias("done"))
     )
@@ -66,7 +66,7 @@ def current_results(attempts: DataFrame) -> DataFrame:
     """One attempt per (model, key): the first valid one, else the last."""
     chosen = attempts.groupBy(*SLOT).agg(
         F.coalesce(
-            F.min(F.when(answer_is_valid(), F.col("attempt_no"))), F.max("attempt_no")
+            F.min(F.when(F.col("answered"), F.col("attempt_no"))), F.max("attempt_no")
         ).alias("attempt_no")
     )
     return attempts.join(chosen.select("model", "attempt_no"), ["model", "attempt_no"], "left_semi")
@@ -75,7 +75,7 @@ def current_results(attempts: DataFrame) -> DataFrame:
 def calls_needed(attempts: DataFrame) -> DataFrame:
     """Attempts a run really asks for: those with no valid attempt earlier in their key."""
     first_valid = (
-        attempts.where(answer_is_valid())
+        attempts.where("answered")
         .groupBy(*SLOT)
         .agg(F.min("attempt_no").alias("_first_valid"))
     )

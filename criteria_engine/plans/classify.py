@@ -25,7 +25,7 @@ from criteria_engine.schemas import KEY
 from criteria_engine.sinks.exports import write_error_rows, write_results
 from criteria_engine.sources.annotations import load_annotations, stage_annotations
 from criteria_engine.sources.attempts import read_attempts
-from criteria_engine.storage import shared_folder
+from criteria_engine.storage import shared_folder, store
 
 PREVIEW_ROWS = 3
 
@@ -104,7 +104,8 @@ def compare(spark: SparkSession, output: str, registry=MODELS) -> DataFrame:
 
 def export(spark: SparkSession, output: str, models=MODELS) -> None:
     """Write each model's current results and error rows as CSV."""
-    stored = current_results(read_attempts(spark, attempts_path(output)))
+    current = current_results(read_attempts(spark, attempts_path(output)))
+    stored, _ = store(current, f"{shared_folder(spark)}/current")
     for name, _ in models:
         write_results(stored, output, name)
         write_error_rows(stored, output, name)

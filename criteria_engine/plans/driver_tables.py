@@ -6,12 +6,11 @@ The sentence is the whole document text. Answers come in eleven shapes, chosen b
 row, model and try.
 """
 
-from functools import cache
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from criteria_engine.fixed_values import MODELS, RATE_LIMIT_ERROR
+from criteria_engine.functions.responses import answer_is_valid
 from criteria_engine.functions.text import key_hash
 from criteria_engine.operators.keyed import calls_needed, pending_rows
 from criteria_engine.operators.lines import type_fields
@@ -95,40 +94,50 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return type_fields(labelled).withColumn("key_hash", key_hash())
 
 
-@cache
-def _stored(name: str, application: str, sf_dir: str) -> str:
-    """Path of a derived table, written once per application."""
-    spark = SparkSession.active()
-    folder = shared_folder(spark)
-    if name == "staged":
-        rows(spark, sf_dir).write.parquet(folder)
-    else:
-        append_attempts(prior(spark, sf_dir), folder)
-        append_attempts(_second(spark, sf_dir, read_attempts(spark, folder)), folder)
-    return folder
+# Folders of derived tables, by application, input and name.
+_folders: dict[tuple, str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Folder of a derived table, written once per application."""
+    place = (spark.sparkContext.applicationId, sf_dir, name)
+    if place not in _folders:
+        folder = shared_folder(spark)
+        write(folder)
+        _folders[place] = folder
+    return _folders[place]
 
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`rows`, stored, so that key operators read no text."""
-    path = _stored("staged", spark.sparkContext.applicationId, sf_dir)
-    return spark.read.schema(ROWS).parquet(path)
+
+    def write(folder):
+        rows(spark, sf_dir).write.parquet(folder)
+
+    return spark.read.schema(ROWS).parquet(_stored(spark, sf_dir, "rows", write))
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The attempts log after two runs."""
-    return read_attempts(spark, _stored("log", spark.sparkContext.applicationId, sf_dir))
+
+    def write(folder):
+        append_attempts(prior(spark, sf_dir), folder)
+        append_attempts(_second(spark, sf_dir, read_attempts(spark, folder)), folder)
+
+    return read_attempts(spark, _stored(spark, sf_dir, "log", write))
 
 
 def answers(asked: DataFrame, run_no: int = 1, shift: int = 0) -> DataFrame:
     """Attempts for rows that carry `ord` and `model`."""
-    return asked.withColumn("_shape", _shape(shift)).select(
+    answered = asked.withColumn("_shape", _shape(shift)).select(
         "model",
         F.lit(run_no).alias("run_no"),
         attempt_number(run_no).alias("attempt_no"),
-        *ATTEMPTS.names[3:-2],
+        *ROWS.names,
         F.element_at(F.array(*map(F.lit, SHAPES)), F.col("_shape") + 1).alias("raw_response"),
         F.when(F.col("_shape") == RATE_LIMITED, RATE_LIMIT_ERROR).alias("error"),
     )
+    return answered.withColumn("answered", answer_is_valid()).select(*ATTEMPTS.names)
 
 
 def _shape(shift: int = 0) -> Column:

@@ -6,7 +6,6 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from criteria_engine.fixed_values import MAX_TRIES, MODELS
-from criteria_engine.functions.responses import answer_is_valid
 from criteria_engine.operators.keyed import SLOT, answered_keys, pending_heads
 from criteria_engine.operators.models import model_id
 from criteria_engine.operators.scoring import Scorer, score, score_in_order
@@ -127,7 +126,7 @@ def _wave_rows(rows: DataFrame, wave: DataFrame, size: int, models) -> DataFrame
 
 def _failed(asked: DataFrame) -> DataFrame:
     """Keys whose first row got no valid answer, with that row's number."""
-    return asked.where(~answer_is_valid()).select(*SLOT, F.col("seq").alias("head"))
+    return asked.where(~F.col("answered")).select(*SLOT, F.col("seq").alias("head"))
 
 
 def _behind(rows: DataFrame, failed: DataFrame, size: int) -> DataFrame:

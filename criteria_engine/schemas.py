@@ -41,7 +41,8 @@ ROWS = T.StructType(
 )
 
 # The append-only log of model answers. `attempt_no` rises over runs and, within
-# a run, in input order, and is unique per model.
+# a run, in input order, and is unique per model. `answered` says that the answer
+# parses to a prediction, so that key operators need not read answer texts.
 ATTEMPTS = T.StructType(
     [
         T.StructField("model", T.StringType()),
@@ -52,6 +53,7 @@ ATTEMPTS = T.StructType(
         *ANNOTATION.fields,
         T.StructField("raw_response", T.StringType()),
         T.StructField("error", T.StringType()),
+        T.StructField("answered", T.BooleanType()),
     ]
 )
 

@@ -3,6 +3,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from criteria_engine.functions.responses import answer_is_valid
 from criteria_engine.functions.text import key_hash
 from criteria_engine.schemas import ATTEMPTS, KEY, SEQ_BITS
 
@@ -22,7 +23,8 @@ def read_attempts(spark: SparkSession, path: str) -> DataFrame:
 
 def append_attempts(attempts: DataFrame, path: str) -> None:
     """Add answers to the log, one folder per model; nothing stored is rewritten."""
-    attempts.select(*ATTEMPTS.names).write.mode("append").partitionBy("model").parquet(path)
+    marked = attempts.withColumn("answered", answer_is_valid())
+    marked.select(*ATTEMPTS.names).write.mode("append").partitionBy("model").parquet(path)
 
 
 def attempt_number(run_no, seq="seq"):
@@ -39,7 +41,7 @@ def read_results_csv(spark: SparkSession, path, model: str, run_no: int = 1, key
 
     The answer text is rebuilt so that it parses back to the stored prediction and
     reason: a reason of several lines was the whole answer, any other was the
-    `REASON:` line.
+    `REASON:` line. Texts may hold line breaks, so each file is read by one task.
     """
     columns = "drug_name string, label string, trial_id string, section string, " + (
         "criteria_text string, llm_prediction string, llm_reason string"
@@ -60,7 +62,7 @@ def read_results_csv(spark: SparkSession, path, model: str, run_no: int = 1, key
     rebuilt = F.concat(
         F.lit("PREDICTION: "), value.cast("int").cast("string"), F.lit("\nREASON: "), reason
     )
-    return stored.select(
+    taken_over = stored.select(
         F.lit(model).alias("model"),
         F.lit(run_no).alias("run_no"),
         attempt_number(run_no).alias("attempt_no"),
@@ -76,3 +78,4 @@ def read_results_csv(spark: SparkSession, path, model: str, run_no: int = 1, key
         ),
         F.when(failed, F.substring(reason, len("ERROR: ") + 1, 2**31 - 1)).alias("error"),
     )
+    return taken_over.withColumn("answered", answer_is_valid())

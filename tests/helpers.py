@@ -6,6 +6,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
+from criteria_engine.functions.responses import answer_is_valid
 from criteria_engine.functions.text import key_hash
 from criteria_engine.schemas import ATTEMPTS, ROWS
 from criteria_engine.sources.attempts import attempt_number
@@ -33,7 +34,9 @@ def attempts_table(spark, attempts):
         "section string, criteria_text string, raw_response string, error string"
     )
     df = spark.createDataFrame(data, schema).withColumn("key_hash", key_hash())
-    return df.withColumn("attempt_no", attempt_number(F.col("run_no"))).select(*ATTEMPTS.names)
+    return df.withColumns(
+        {"attempt_no": attempt_number(F.col("run_no")), "answered": answer_is_valid()}
+    ).select(*ATTEMPTS.names)
 
 
 def one_by_one(keys, answer, stored=None):

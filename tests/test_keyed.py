@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from criteria_engine.functions.text import key_hash
 from criteria_engine.operators import keyed
 from criteria_engine.operators.models import fan_out, select_models
-from criteria_engine.sources.attempts import read_attempts
+from criteria_engine.sources.attempts import append_attempts, read_attempts
 from helpers import attempts_table, one_by_one, rows_table
 
 QWEN = select_models("qwen")
@@ -134,11 +134,61 @@ def test_a_third_of_all_rows_in_one_key(spark):
         .otherwise(F.col("id").cast("string"))
         .cast("binary")
         .alias("key_hash"),
-        F.when(F.col("id") < n // 2, "none").otherwise("PREDICTION: 1").alias("raw_response"),
-        F.lit(None).cast("string").alias("error"),
+        (F.col("id") >= n // 2).alias("answered"),
     )
     hot = keyed.current_results(attempts).where(F.col("key_hash") == F.lit(b"hot"))
     assert [r.seq for r in hot.collect()] == [n // 2]
     asked = keyed.calls_needed(attempts)
     assert asked.where(F.col("key_hash") == F.lit(b"hot")).count() == n // 6 + 1
     assert asked.count() == n // 6 + 1 + n - n // 3
+
+
+def test_joins_split_a_hot_key(spark):
+    """Where every row of a key has to be kept, adaptive execution splits the hot partition."""
+    n = 200_000
+    key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("string").cast("binary")
+    wide = F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 512))
+    rows = spark.range(n).select(
+        F.lit("m").alias("model"), "id", key.alias("key_hash"), wide.alias("text")
+    )
+    log = spark.range(n // 2).select(
+        F.lit("m").alias("model"),
+        key.alias("key_hash"),
+        F.lit(True).alias("answered"),
+        F.col("id").alias("attempt_no"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512KB",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        for joined, want in (
+            (keyed.cached_rows(rows, log), n // 2 + n // 3 // 2),
+            (keyed.pending_rows(rows, log), n - n // 2 - n // 3 // 2),
+        ):
+            assert abs(len(joined.collect()) - want) <= 1
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin(skew=true)" in plan
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_key_operators_read_no_texts(spark, tmp_path):
+    append_attempts(attempts_table(spark, [("qwen", 1, 0, "a", True)]), str(tmp_path / "log"))
+    rows_table(spark, ["a", "b"]).write.parquet(str(tmp_path / "rows"))
+    log, rows = read_attempts(spark, str(tmp_path / "log")), spark.read.parquet(str(tmp_path / "rows"))
+    heads = keyed.pending_heads(rows, log, QWEN)
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    assert "raw_response" not in plan and "criteria_text" not in plan
+    assert "EqualTo(answered,true)" in plan
+    assert "PartitionFilters: [isnotnull(model" in plan or "PartitionFilters: [(model" in plan
+    assert plan.count("Exchange hashpartitioning") <= 2
+    counts = keyed.dry_run_counts(rows, log, QWEN)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "raw_response" not in plan and "criteria_text" not in plan

@@ -54,7 +54,9 @@ def test_log_round_trip(spark, log, tmp_path):
     append_attempts(log.withColumn("model", F.lit("gpt 5/x")), path)
     back = read_attempts(spark, path)
     assert back.count() == 14
-    assert back.where(F.col("model") == "qwen").exceptAll(log).count() == 0
+    kept = back.where(F.col("model") == "qwen")
+    assert kept.drop("answered").exceptAll(log.drop("answered")).count() == 0
+    assert sorted(r.seq for r in kept.where("answered").collect()) == [0, 1, 2, 6]
     plan = back.where(F.col("model") == "qwen")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(model" in plan
 
