@@ -26,52 +26,51 @@ def decode_responses(bodies: DataFrame, body: str = "body") -> DataFrame:
     or message is an empty answer; a body of any other shape is an error row; a
     body that is not JSON may be retried. Each body is parsed once, as a variant.
     """
+    others = bodies.drop(body).columns
     # separate projections, so that the parse is not repeated per path
     parsed = bodies.withColumn("_doc", F.try_parse_json(body))
     found = parsed.select(
-        *bodies.drop(body).columns,
+        *others,
+        F.col("_doc").isNull().alias("retryable"),
         F.struct(
             *[F.try_variant_get("_doc", path, "variant").alias(n) for n, path in _PATHS.items()]
         ).alias("_at"),
     )
-    # type name at each place: OBJECT, ARRAY, STRING, VOID (a JSON null), '' where absent
-    typed = found.withColumn(
-        "_is",
-        F.struct(
-            *[
-                F.coalesce(
-                    F.regexp_extract(F.schema_of_variant(f"_at.{n}"), r"^\w+", 0), F.lit("")
-                ).alias(n)
-                for n in _PATHS
-            ]
-        ),
-    )
 
-    def kind(name):
-        return F.col(f"_is.{name}")
+    def at(name):
+        return F.col(f"_at.{name}")
 
     def text(name):
-        return F.col(f"_at.{name}").cast("string")
+        return at(name).cast("string")
 
-    # JSON values that stand for "no error": absent, null, false, zero, empty
-    failed = ~kind("failure").isin("", "VOID") & ~text("failure").isin("", "false", "0", "{}", "[]")
-    absent = (
-        (kind("choices") == "")
-        | (kind("message") == "") & (kind("choice") == "OBJECT")
-        | (kind("content") == "") & (kind("message") == "OBJECT")
+    def is_a(name, kind):
+        return F.coalesce(F.schema_of_variant(at(name)).startswith(kind), F.lit(False))
+
+    # an error that is absent, null, false, zero or empty is none
+    failed = (
+        at("failure").isNotNull()
+        & ~F.is_variant_null(at("failure"))
+        & ~text("failure").isin("", "false", "0", "{}", "[]")
+    )
+    missing = (
+        at("choices").isNull()
+        | at("message").isNull() & is_a("choice", "OBJECT")
+        | at("content").isNull() & is_a("message", "OBJECT")
     )
+    answered = ~failed & is_a("content", "STRING")
+    # good bodies first: only the others are looked at further
     error = (
-        F.when(kind("root") == "", NOT_JSON)
-        .when(kind("root") != "OBJECT", MALFORMED)
-        .when(failed & (kind("failure") != "OBJECT"), MALFORMED)
-        .when(failed & (kind("failure_text") == ""), text("failure"))
+        F.when(answered, None)
+        .when(F.col("retryable"), NOT_JSON)
+        .when(~is_a("root", "OBJECT"), MALFORMED)
+        .when(failed & ~is_a("failure", "OBJECT"), MALFORMED)
+        .when(failed & at("failure_text").isNull(), text("failure"))
         .when(failed, text("failure_text"))
-        .when(~absent & (kind("content") != "STRING"), MALFORMED)
+        .when(~missing, MALFORMED)
     )
-    answer = F.when(~failed & (kind("content") == "STRING"), strip(text("content")))
-    return typed.select(
-        *bodies.drop(body).columns,
-        F.coalesce(answer, F.lit("")).alias("raw_response"),
+    return found.select(
+        *others,
+        F.when(answered, strip(text("content"))).otherwise("").alias("raw_response"),
         error.alias("error"),
-        (kind("root") == "").alias("retryable"),
+        "retryable",
     )

@@ -35,14 +35,18 @@ SHAPES = (
 )
 RATE_LIMITED = 7
 
+# The columns used of the driver's tables.
+DOCUMENTS = "doc_id bigint, text string, source string"
+LABELS = "doc_id bigint, quality int, toxic int"
+
 # Drug files before this name were answered by the first run.
 FIRST_RUN_BEFORE = "src15"
 
 
 def annotations(spark: SparkSession, sf_dir: str, labels_join: str = "left") -> DataFrame:
     """seq and the five raw fields of an annotation line; without labels they are invalid."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    documents = spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.schema(LABELS).parquet(f"{sf_dir}/labels.parquet")
     doc, first = F.col("doc_id"), F.col("k") == 0
     other = F.concat(F.lit("src"), ((doc + 7) % 20).cast("string"))
     return (
