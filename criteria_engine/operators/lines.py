@@ -15,9 +15,10 @@ def drop_blank(lines: DataFrame, line: str = "line") -> DataFrame:
 def split_fields(lines: DataFrame, line: str = "line") -> DataFrame:
     """Replace a stripped line by its first five tab fields; drop lines with fewer."""
     others = [c for c in lines.columns if c != line]
-    # limit 6: whatever follows the fifth field stays in one piece and is dropped
-    fields = lines.withColumn("_fields", F.split(line, "\t", 6)).where(F.size("_fields") >= 5)
-    return fields.select(
+    # Limit 6: whatever follows the fifth field stays in one piece and is dropped.
+    # Filters are not pushed through explode, so each line is stripped and split once.
+    split = F.explode(F.array(F.split(line, "\t", 6))).alias("_fields")
+    return lines.select(*others, split).where(F.size("_fields") >= 5).select(
         *others, *[F.col("_fields")[i].alias(name) for i, name in enumerate(FIELDS)]
     )
 
@@ -36,7 +37,8 @@ def type_fields(fields: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Typed annotations of the valid lines; other columns are carried along."""
-    return type_fields(split_fields(drop_blank(lines, line), line))
+    # a blank line has one field, so it goes with the short ones
+    return type_fields(split_fields(lines.withColumn(line, strip(line)), line))
 
 
 def first_n(rows: DataFrame, n: int | None, order) -> DataFrame:
