@@ -111,6 +111,13 @@ def test_first_rows_keep_n_per_task(spark, split_files):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_each_line_is_stripped_and_split_once(spark, split_files):
+    plan = load_annotations(spark, split_files[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("trim(line") == 1
+    assert plan.count("split(") == 1
+    assert "Exchange" not in plan
+
+
 def test_negative_limit():
     with pytest.raises(ValueError):
         first_n(None, -1, ["seq"])
