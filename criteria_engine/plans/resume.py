@@ -45,7 +45,8 @@ def run_models(
     asked row by row. Chunk 0 of all keys comes first, then 1-2, 3-6 and so on while
     a key stays unanswered, so the number of waves grows with the logarithm of the
     largest key, and no task holds more than one chunk of a key at a time. Each wave
-    is in the log before the next one starts: a lost driver costs one wave.
+    is in the log before the next one starts: a lost driver costs one wave. Whole
+    rows are scanned for the heads, for chunk 0 and once for all later chunks.
 
     `tasks` sets the number of scoring tasks, and so how many calls are in flight at
     most; by default it follows the number of rows to ask.
@@ -68,19 +69,37 @@ def run_models(
     if not found["n"]:
         return run_no
     ranked, found = _ranked(_behind(rows, failed, found["n"]), folder, chunk_rows)
-    last = found["last"]
-    first, width = 0, 1
-    while first <= last:
-        wave = ranked.where(F.col("chunk").between(first, first + width - 1))
-        if first:
-            answered = answered_keys(_this_run(spark, log_path, run_no))
-            wave, found = store(wave.join(answered, SLOT, "left_anti"), f"{folder}/wave_{first}")
-        if not found["n"]:
-            break
-        asks = _wave_rows(rows, wave, found["n"], models)
-        parts = tasks or _tasks(spark, found["n"])
+    if not found["n"]:
+        return run_no
+
+    def ask_in_order(asks: DataFrame, size: int) -> None:
+        asks = asks.withColumn("model_id", model_id(models))
+        parts = tasks or _tasks(spark, size)
         save(score_in_order(asks, scorer, [*SLOT, "chunk"], parts, max_tries))
-        first, width = first + width, width * 2
+
+    ask_in_order(_whole(rows, ranked.where("chunk = 0"), found["n"]), found["n"])
+    if not found["last"]:
+        return run_no
+
+    # Keys that chunk 0 did not answer. Their whole rows are picked once, for all waves.
+    keys = ranked.where("chunk = 1").select(*SLOT).distinct()
+    keys, counted = store(keys, f"{folder}/keys_0")
+    later, wave, last = None, 1, 1
+    while wave <= last:
+        answered = _answered(keys, counted["n"], log_path, run_no)
+        keys, counted = store(keys.join(answered, SLOT, "left_anti"), f"{folder}/keys_{wave}")
+        if not counted["n"]:
+            break
+        if later is None:
+            open_rows = ranked.where("chunk > 0").join(small(keys, counted["n"]), SLOT, "left_semi")
+            number = F.length(F.bin(F.col("chunk") + 1)) - 1
+            later = _whole(rows, open_rows, found["n"]).withColumn("wave", number)
+            later, found = store(later, f"{folder}/later", by=["wave"], last=F.max("wave"))
+            last = found["last"]
+        asks = later.where(F.col("wave") == wave).drop("wave")
+        asks = asks.join(small(keys, counted["n"]), SLOT, "left_semi")
+        ask_in_order(asks, found["n"])
+        wave += 1
     return run_no
 
 
@@ -118,10 +137,15 @@ def _head_rows(rows: DataFrame, heads: DataFrame, size: int, tasks: int, models)
     return asks.withColumn("model_id", model_id(models))
 
 
-def _wave_rows(rows: DataFrame, wave: DataFrame, size: int, models) -> DataFrame:
-    """Whole rows of a wave (model, seq, chunk)."""
-    asks = rows.join(small(wave.drop("key_hash"), size), "seq")
-    return asks.withColumn("model_id", model_id(models))
+def _whole(rows: DataFrame, asks: DataFrame, size: int) -> DataFrame:
+    """Whole rows for a table of at most `size` (model, seq, chunk)."""
+    return rows.join(small(asks.drop("key_hash"), size), "seq")
+
+
+def _answered(keys: DataFrame, size: int, log_path: str, run_no: int) -> DataFrame:
+    """Those of `size` keys that this run has answered; few keys are looked up in the log's scan."""
+    log = _this_run(keys.sparkSession, log_path, run_no)
+    return answered_keys(log.join(small(keys, size), SLOT, "left_semi"))
 
 
 def _failed(asked: DataFrame) -> DataFrame:

@@ -19,14 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/criteria_engine/{uuid4().hex}"
 
 
-def store(table: DataFrame, path: str, **measured: Column) -> tuple[DataFrame, dict]:
-    """Write a table and read it back, which cuts its lineage.
+def store(table: DataFrame, path: str, by=(), **measured: Column) -> tuple[DataFrame, dict]:
+    """Write a table, in folders `by` columns, and read it back, which cuts its lineage.
 
     Also returns its row count `n` and other aggregates, taken while it is written.
     """
     seen = Observation()
     numbers = [F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in measured.items()]]
-    table.observe(seen, *numbers).write.mode("overwrite").parquet(path)
+    table.observe(seen, *numbers).write.mode("overwrite").partitionBy(*by).parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path), seen.get
 
 
