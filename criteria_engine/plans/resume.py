@@ -98,7 +98,8 @@ def run_models(
             last = found["last"]
         asks = later.where(F.col("wave") == wave).drop("wave")
         asks = asks.join(small(keys, counted["n"]), SLOT, "left_semi")
-        ask_in_order(asks, found["n"])
+        # a wave holds 2^wave chunks of a key
+        ask_in_order(asks, min(found["n"], counted["n"] * chunk_rows * 2**wave))
         wave += 1
     return run_no
 
