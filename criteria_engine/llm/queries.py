@@ -4,7 +4,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from criteria_engine.llm import packing, token_files, topk
+from criteria_engine.llm import language, packing, token_files, topk, toxicity
 from criteria_engine.llm.tables import scratch, table
 from criteria_engine.session import ship_package
 
@@ -12,6 +12,12 @@ TOP = 5
 QUERY_STEP = 50
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
+
+
 def op6_packing(spark, sf_dir):
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -28,6 +34,11 @@ def op8_token_files(spark, sf_dir):
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark, sf_dir):
@@ -36,7 +47,12 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op6_packing, op7_exact_topk, op8_token_files)}
+QUERIES = {
+    f.__name__: _shipped(f)
+    for f in (
+        op2_toxicity, op6_packing, op7_exact_topk, op8_token_files, op9_language,
+    )
+}
 
 ORACLES = {
     "op7_exact_topk": f"""
