@@ -1,7 +1,7 @@
 """Token ids in files: frequency ranks in byte-aligned variable-length code.
 
-All documents are tokenized once to count the ids; ids are then renamed by falling
-frequency, so that common ones take one byte. A rank takes 1 to 4 little-endian bytes;
+Documents are tokenized once, into shards that hold plain ids; their counts rename the
+ids by falling frequency, so that common ones take one byte, and each shard is rewritten. A rank takes 1 to 4 little-endian bytes;
 its length less one stands in two bits of a separate control byte that serves four ranks.
 
 A folder holds `vocabulary.u32`, the ids by rank, and one `shard-*.ids` for each
@@ -27,8 +27,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from criteria_engine.llm.tables import slices
-from criteria_engine.llm.token_ids import Encoder, with_end
+from criteria_engine.llm.tables import slices, stored
+from criteria_engine.llm.token_ids import encoder, with_end
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -61,77 +61,106 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def frequencies(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """token_id and n over all documents; at most as many rows as the vocabulary has."""
+def _write_block(out, doc_id: pa.Array, ids: np.ndarray, tokens: np.ndarray) -> None:
+    control, data = encode_ranks(ids)
+    known = np.asarray(doc_id.is_valid())
+    head = np.array([len(doc_id), len(ids), len(control), len(data), MAGIC], HEAD)
+    parts = [np.asarray(doc_id.fill_null(0), dtype="<i8"), known.astype(np.uint8), tokens.astype("<u8"), control, data]
+    for part in (head, *parts):
+        out.write(part.tobytes())
+
+
+def _blocks(source, name: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Doc ids, ids as they stand in the file, and tokens of each document."""
+    while head := source.read(5 * HEAD.itemsize):
+        n_docs, n_ids, n_control, n_data, magic = map(int, np.frombuffer(head, HEAD))
+        if magic != MAGIC:
+            raise ValueError(f"{name} is damaged")
+        doc_id = np.frombuffer(source.read(8 * n_docs), "<i8")
+        known = np.frombuffer(source.read(n_docs), np.uint8)
+        tokens = np.frombuffer(source.read(8 * n_docs), "<u8").astype(np.int64)
+        control = np.frombuffer(source.read(n_control), np.uint8)
+        data = np.frombuffer(source.read(n_data), np.uint8)
+        yield pa.array(doc_id, mask=known == 0), decode_ranks(control, data, n_ids), tokens
+
+
+def _raw_shards(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
+    """Write shards that hold ids as the tokenizer gives them.
+
+    Returns a row per shard (shard, name, n) and, with name null, rows per shard and id
+    (token_id, n).
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = Encoder(path, lead=False), np.zeros(0, np.int64)
-        for batch in slices(batches, "text"):
-            ids, _ = encode(batch.column("text"))
-            seen = np.bincount(ids, minlength=end_id + 1)
-            seen[end_id] += batch.num_rows
-            if len(seen) > len(total):
-                seen, total = total, seen
-            total[: len(seen)] += seen
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, n, shard = encoder(path, lead=False), 0, TaskContext.get().partitionId()
+        total = np.zeros(0, np.int64)
+        files, base = fs.FileSystem.from_uri(folder)
+        name, own = f"shard-{shard:06d}", f"{base}/{uuid4().hex}.tmp"
+        with files.open_output_stream(own) as out:
+            for batch in slices(batches, "text"):
+                ids, offsets = with_end(*encode(batch.column("text")), end_id)
+                _write_block(out, batch.column("doc_id"), ids, np.diff(offsets))
+                n += len(ids)
+                seen = np.bincount(ids)
+                if len(seen) > len(total):
+                    seen, total = total, seen
+                total[: len(seen)] += seen
+        files.move(own, f"{base}/{name}.raw")
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token_id", "n"])
-
-    return docs.mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
-
-
-def _block(batch: pa.RecordBatch, ids: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> list[bytes]:
-    control, data = encode_ranks(rank[ids])
-    doc_id = batch.column("doc_id")
-    known = np.asarray(doc_id.is_valid())
-    parts = [
-        np.asarray(doc_id.fill_null(0), dtype="<i8"), known.astype(np.uint8),
-        np.diff(offsets).astype("<u8"), control, data,
-    ]
-    head = np.array([batch.num_rows, len(ids), len(control), len(data), MAGIC], HEAD)
-    return [head.tobytes(), *(p.tobytes() for p in parts)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(used) + 1, shard)), pa.array([name] + [None] * len(used), pa.string()),
+                pa.array(np.append(-1, used)), pa.array(np.append(n, total[used])),
+            ],
+            ["shard", "name", "token_id", "n"],
+        )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(write, "shard long, name string, token_id long, n long")
 
 
 def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID) -> list[tuple[str, int]]:
     """Write all documents; returns (shard file, ids in it) in the order of the shards.
 
     Null texts are empty and have the end id only. Rows with a null doc_id come first.
-    Rows that share a doc_id are all written, ordered by a hash of their text. Columns other than doc_id and text
-    are ignored. An empty table gives empty shards.
+    Rows that share a doc_id are all written, ordered by a hash of their text. Columns
+    other than doc_id and text are ignored. An empty table gives no document.
     """
+    spark = docs.sparkSession
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    docs = _texts(docs)
-    counted = frequencies(docs, path, end_id).collect()  # bounded by the vocabulary
+    written = stored(_raw_shards(docs, folder, path, end_id), folder)
+    counted = written.where("name is null").groupBy("token_id").agg(F.sum("n").alias("n"))
+    counted = counted.collect()  # bounded by the vocabulary
     by_rank = np.array([r[0] for r in sorted(counted, key=lambda r: (-r[1], r[0]))], "<u4")
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
-    store, root = fs.FileSystem.from_uri(folder)
-    store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/vocabulary.u32") as out:
         out.write(by_rank.tobytes())
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, n, shard = Encoder(path, lead=False), 0, TaskContext.get().partitionId()
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(folder)
-        name, own = f"shard-{shard:06d}.ids", f"{base}/{uuid4().hex}.tmp"
-        with files.open_output_stream(own) as out:
-            for batch in slices(batches, "text"):
-                ids, offsets = with_end(*encode(batch.column("text")), end_id)
-                n += len(ids)
-                for part in _block(batch, ids, offsets, rank):
-                    out.write(part)
-        files.move(own, f"{base}/{name}")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int64()), pa.array([name]), pa.array([n], pa.int64())], ["shard", "name", "n"]
-        )
-
-    order = [F.col("doc_id"), F.xxhash64("text")]
-    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    shards = ordered.mapInArrow(write, "shard long, name string, n long").collect()  # one row a shard
-    return [(s.name, s.n) for s in sorted(shards)]
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                raw, final, own = f"{base}/{name}.raw", f"{base}/{name}.ids", f"{base}/{uuid4().hex}.tmp"
+                # a repeated task may find its work done
+                if files.get_file_info(final).type == fs.FileType.NotFound:
+                    with files.open_input_stream(raw) as source, files.open_output_stream(own) as out:
+                        for doc_id, ids, tokens in _blocks(source, name):
+                            _write_block(out, doc_id, rank[ids], tokens)
+                    files.move(own, final)
+                if files.get_file_info(raw).type != fs.FileType.NotFound:
+                    files.delete_file(raw)
+            yield batch
+
+    shards = sorted(written.where("name is not null").select("shard", "name", "n").collect())  # one row a shard
+    if shards:
+        names = spark.createDataFrame(shards, "shard long, name string, n long")
+        names.repartition(len(shards), "shard").mapInArrow(rename, names.schema).count()
+    return [(f"{s.name}.ids", s.n) for s in shards]
 
 
 def read_shard(folder: str, name: str, start: int) -> Iterator[pa.RecordBatch]:
@@ -140,30 +169,17 @@ def read_shard(folder: str, name: str, start: int) -> Iterator[pa.RecordBatch]:
     with files.open_input_stream(f"{base}/vocabulary.u32") as source:
         by_rank = np.frombuffer(source.read(), "<u4")
     with files.open_input_stream(f"{base}/{name}") as source:
-        while head := source.read(5 * HEAD.itemsize):
-            n_docs, n_ids, n_control, n_data, magic = map(int, np.frombuffer(head, HEAD))
-            if magic != MAGIC:
-                raise ValueError(f"{name} is damaged")
-            doc_id = np.frombuffer(source.read(8 * n_docs), "<i8")
-            known = np.frombuffer(source.read(n_docs), np.uint8)
-            tokens = np.frombuffer(source.read(8 * n_docs), "<u8").astype(np.int64)
-            control = np.frombuffer(source.read(n_control), np.uint8)
-            data = np.frombuffer(source.read(n_data), np.uint8)
-            ids = by_rank[decode_ranks(control, data, n_ids)]
+        for doc_id, ranks, tokens in _blocks(source, name):
             ends = np.cumsum(tokens)
-            places = np.concatenate([[0], ends * 4]).astype(np.int32)
+            places = pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int32).tobytes())
+            ids = pa.Array.from_buffers(
+                pa.binary(), len(doc_id), [None, places, pa.py_buffer(by_rank[ranks].tobytes())]
+            )
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc_id, mask=known == 0),
-                    pa.array(start + ends - tokens),
-                    pa.array(tokens),
-                    pa.Array.from_buffers(
-                        pa.binary(), n_docs, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(ids.tobytes())]
-                    ),
-                ],
+                [doc_id, pa.array(start + ends - tokens), pa.array(tokens), ids],
                 ["doc_id", "start", "n_tokens", "ids"],
             )
-            start += n_ids
+            start += len(ranks)
 
 
 def read_ids(spark: SparkSession, folder: str, shards: list[tuple[str, int]]) -> DataFrame:
