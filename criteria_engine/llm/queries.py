@@ -4,7 +4,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from criteria_engine.llm import language, packing, token_files, topk, toxicity
+from criteria_engine.llm import html_extract, language, packing, substring, token_files, topk, toxicity
 from criteria_engine.llm.tables import scratch, table
 from criteria_engine.session import ship_package
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score(docs, model)
 
 
+def op3_html(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -39,6 +43,11 @@ def op9_language(spark, sf_dir):
     return language.identify(docs, language.fit(docs))
 
 
+def op10_substring(spark, sf_dir):
+    rows = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark, sf_dir):
@@ -50,7 +59,7 @@ def _shipped(query):
 QUERIES = {
     f.__name__: _shipped(f)
     for f in (
-        op2_toxicity, op6_packing, op7_exact_topk, op8_token_files, op9_language,
+        op2_toxicity, op3_html, op6_packing, op7_exact_topk, op8_token_files, op9_language, op10_substring,
     )
 }
 

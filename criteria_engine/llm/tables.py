@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -75,3 +76,13 @@ def spans(counts: np.ndarray) -> np.ndarray:
     """0, 1, .. within each run: [2, 3] gives 0 1 0 1 2."""
     counts = np.asarray(counts, np.int64)
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over.
+
+    It does so when the driver's JVM finds that their plans are garbage, which on a
+    small heap may be late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
