@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from criteria_engine.llm.tables import slices
-from criteria_engine.llm.token_ids import Encoder, with_end
+from criteria_engine.llm.token_ids import encoder, with_end
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -48,7 +48,7 @@ def pack(
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, lead=True)
+        encode = encoder(path, lead=True)
         for batch in slices(batches, "text"):
             ids, offsets = with_end(*encode(batch.column("text")), end_id)
             tokens = np.diff(offsets)
