@@ -4,7 +4,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from criteria_engine.llm import html_extract, language, packing, substring, token_files, topk, toxicity
+from criteria_engine.llm import bagminhash, decontaminate, html_extract, language, packing, substring, token_files, topk, toxicity
 from criteria_engine.llm.tables import scratch, table
 from criteria_engine.session import ship_package
 
@@ -22,6 +22,14 @@ def op3_html(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_bagminhash(spark, sf_dir):
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -59,7 +67,7 @@ def _shipped(query):
 QUERIES = {
     f.__name__: _shipped(f)
     for f in (
-        op2_toxicity, op3_html, op6_packing, op7_exact_topk, op8_token_files, op9_language, op10_substring,
+        op2_toxicity, op3_html, op4_decontamination, op5_bagminhash, op6_packing, op7_exact_topk, op8_token_files, op9_language, op10_substring,
     )
 }
 
