@@ -4,7 +4,8 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from criteria_engine.llm import bagminhash, decontaminate, html_extract, language, packing, substring, token_files, topk, toxicity
+import corpus_pipeline
+from criteria_engine.llm import bagminhash, decontaminate, html_extract, language, line_dedup, packing, substring, token_files, topk, toxicity
 from criteria_engine.llm.tables import scratch, table
 from criteria_engine.session import ship_package
 
@@ -12,6 +13,12 @@ TOP = 5
 QUERY_STEP = 50
 
 
+def op1_line_dedup(spark, sf_dir):
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return rows.select("doc_id", "n_lines", "n_removed", digest)
+
+
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -67,9 +74,9 @@ def _shipped(query):
 QUERIES = {
     f.__name__: _shipped(f)
     for f in (
-        op2_toxicity, op3_html, op4_decontamination, op5_bagminhash, op6_packing, op7_exact_topk, op8_token_files, op9_language, op10_substring,
+        op1_line_dedup, op2_toxicity, op3_html, op4_decontamination, op5_bagminhash, op6_packing, op7_exact_topk, op8_token_files, op9_language, op10_substring,
     )
-}
+} | {"pipeline": _shipped(corpus_pipeline.run)}
 
 ORACLES = {
     "op7_exact_topk": f"""
