@@ -6,8 +6,10 @@ from collections import Counter
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from conftest import TESTDATA
+from criteria_engine.plans.oracles import ORACLES
+from criteria_engine.plans.queries import QUERIES
 
 SF_DIR = TESTDATA / "sf0.01"
 TABLES = ["documents", "labels"]
@@ -29,13 +31,13 @@ def counted(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = queries()[name](spark, str(SF_DIR))
-    want = duck.execute(oracle_sql()[name])
+    got = QUERIES[name](spark, str(SF_DIR))
+    want = duck.execute(ORACLES[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     expected = want.fetchall()
