@@ -165,7 +165,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, co
                 before = batch.column(column)
                 kind = before.type
                 if any(pc.list_value_length(before).to_pylist()):
-                    found = [b + f for b, f in zip(before.to_pylist(), found)]
+                    found = [_best_of(b + f) for b, f in zip(before.to_pylist(), found)]
                 at = batch.schema.get_field_index(column)
                 columns = [*batch.columns[:at], pa.array(found, kind), *batch.columns[at + 1 :]]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
@@ -174,6 +174,16 @@ def find_items(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, co
     return out
 
 
+def _best_of(matches: list[dict]) -> list[dict]:
+    """One match for each item."""
+    best: dict[int | None, dict] = {}
+    for m in matches:
+        other = best.get(m["item_id"])
+        if other is None or (m["distance"], m["start"]) < (other["distance"], other["start"]):
+            best[m["item_id"]] = m
+    return list(best.values())
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
     """doc_id, item_id, distance, start, end: a row for every item found in a document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

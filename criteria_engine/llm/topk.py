@@ -69,7 +69,7 @@ def search_cell(k: int):
         row, term, weight = _rows(candidates["weights"])
         q_row, q_term, q_weight = _rows(queries["weights"])
         # the narrowest integers in which no sum can overflow
-        terms = max(np.bincount(q_row).max(initial=0), 1)
+        terms = max(int(np.bincount(q_row).max(initial=0)), 1)
         largest = terms * max(1, *map(abs, map(int, (q_weight.max(initial=0), q_weight.min(initial=0)))))
         largest *= max(1, *map(abs, map(int, (weight.max(initial=0), weight.min(initial=0)))))
         kind = np.int32 if largest < 2**31 else np.int64 if largest < 2**63 else object
@@ -90,7 +90,7 @@ def search_cell(k: int):
             for j in range(bounds[i], bounds[i + 1]):
                 if q_term[j] in postings:
                     rows, weights = postings[q_term[j]]
-                    scores[rows] += weights * kind(q_weight[j]) if kind is not object else weights * int(q_weight[j])
+                    scores[rows] += weights * (int(q_weight[j]) if kind is object else kind(q_weight[j]))
             if kind is object:
                 scores = np.clip(scores, -LIMIT - 1, LIMIT).astype(np.int64)
             scores = scores.astype(np.int64)

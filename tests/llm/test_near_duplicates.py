@@ -1,0 +1,94 @@
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+
+from criteria_engine.llm import bagminhash, components as cc
+from criteria_engine.llm.tables import scratch
+from llm_helpers import edited, prose
+
+
+def bag(text):
+    words = text.split()
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def similarity(a, b):
+    a, b = bag(a), bag(b)
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
+def classes(rows):
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in rows:
+        for j, t in rows:
+            if i is None or j is None or i >= j or not (s or "").split():
+                continue
+            if s == t or similarity(s, t or "") >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in parent}
+
+
+def cases():
+    base, other = prose(1, 150), prose(2, 60)
+    rows = [(100 + s, edited(base, s, 0.005 * (s % 9))) for s in range(60)]  # a cloud round one text
+    rows += [(200, other), (201, other), (202, other), (199, edited(other, 3, 0.02)), (203, prose(3, 500))]
+    rows += [(204, None), (205, ""), (206, "  "), (207, "one two"), (208, "one two"), (209, "two one"), (None, other)]
+    rows += [(210, "again " * 300), (211, "again " * 290), (212, "again " * 100), (203, prose(3, 500))]
+    return rows
+
+
+def test_same_as_brute_force(documents):
+    rows = cases()
+    found = bagminhash.near_duplicates(documents(*rows).withColumnRenamed("lang", "class_id").repartition(3)).collect()
+    assert len(found) == len(rows)
+    want = classes(rows)
+    assert {(r.doc_id, r.class_id) for r in found} == {(i, want.get(i)) for i, _ in rows}
+    assert bagminhash.near_duplicates(documents((1, "x")).limit(0)).count() == 0
+
+
+def test_links_that_no_head_shows(documents, monkeypatch):
+    """All texts in one bucket, whose head is like none of them."""
+    monkeypatch.setattr(bagminhash, "CELL_ROWS", 2)
+    monkeypatch.setattr(bagminhash, "CELL_MEMBERS", 3)
+    texts = [prose(k, 80) for k in range(6)]
+    rows = [(10 * k + c, edited(t, c, 0.004 * c)) for k, t in enumerate(texts) for c in range(3)]
+    table = documents(*rows).select("doc_id", "text")
+    spark = table.sparkSession
+    members = spark.createDataFrame([(i, 7) for i, _ in rows], "doc_id long, key long")
+    buckets = spark.createDataFrame([(7, 0, len(rows))], "key long, head long, n long")
+    labels = spark.createDataFrame([], "node long, label long")
+    links = bagminhash._links_in_mixed_buckets(members, buckets, labels, table, scratch(spark)).collect()
+    parent = classes(rows)
+    for r in links:
+        assert parent[r.a] == parent[r.b]
+    met = {frozenset((r.a, r.b)) for r in links}
+    for i, s in rows:
+        for j, t in rows:
+            if 2 < i < j and similarity(s, t) >= 0.8:
+                assert frozenset((i, j)) in met
+
+
+def test_signatures_estimate_weighted_similarity():
+    left = ("a b c d e f " * 8) + prose(1, 40)
+    right = ("a b c d e f " * 3) + prose(1, 60)
+    bags = bagminhash.bags(pa.array([left, right]))
+    found = bagminhash.signatures(*bags, 2, slots=8192)
+    assert abs((found[0] == found[1]).mean() - similarity(left, right)) < 0.025
+    exact = bagminhash.similarities(pa.array([left]), pa.array([right]))
+    assert np.isclose(exact[0], similarity(left, right))
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 150), (150, 120), (7, 7)] + [(200, k) for k in range(201, 240)]
+    links = spark.createDataFrame(chain, "a long, b long")
+    found = {r.node: r.label for r in cc.components(links, scratch(spark)).collect()}
+    assert found == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 120: 100, **{k: 200 for k in range(200, 240)}}
+    assert cc.components(links.limit(0), scratch(spark)).count() == 0

@@ -1,0 +1,110 @@
+"""Token encoder, packing and token files against plain calls of the tokenizers library."""
+
+import zlib
+from functools import cache
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
+
+from criteria_engine.llm import packing, token_files
+from criteria_engine.llm.queries import QUERIES
+from criteria_engine.llm.tables import scratch
+from criteria_engine.llm.token_ids import encoder
+from llm_helpers import prose
+
+FILES = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
+ODD = [
+    "", None, " lead", "trail ", "a  b", "x\n y", "tab\tz", "don't stop. It's 3.5, I'LL\nGo..on", "<|endoftext|> a",
+    "é ́a", "one\x01two", "中文 字,", "a b", "line\n\nline", prose(1, 3000),
+]
+
+
+@cache
+def coder(name):
+    loaded = Tokenizer.from_file(public_tokenizers.path(name))
+    loaded.encode_special_tokens = True
+    return loaded
+
+
+@cache
+def plain(name, text, end):
+    coder_ = coder(name)
+    return [*coder_.encode(text or "", add_special_tokens=False).ids, end]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.mark.parametrize("name", FILES)
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.text(alphabet="ab.,' \n\t\x01é́　ß1", max_size=30), max_size=6))
+def test_same_ids_as_the_library(name, texts):
+    texts = [*texts, *ODD]
+    ids, offsets = encoder(public_tokenizers.path(name), FILES[name])(pa.array(texts, pa.string()))
+    for i, text in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == plain(name, text, 0)[:-1]
+
+
+def test_pieces_make_up_the_document(documents):
+    rows = [*enumerate(ODD), (None, "no id"), (3, ODD[3])]
+    found = packing.pack(documents(*rows).withColumnRenamed("source", "ids")).collect()
+    assert len({r.sequence_id for r in found}) == len(found)
+    for doc_id, text in rows:
+        ids = plain("byte_bpe_50k.json", text, 0)
+        own = sorted((r for r in found if r.doc_id == doc_id), key=lambda r: (r.start, r.sequence_id))
+        for r in own:
+            assert np.frombuffer(r.ids, "<u4").tolist() == ids[r.start : r.start + r.length]
+            assert r.length == 2**r.bucket <= 1024 and r.offset == 0 and r.doc_tokens == len(ids)
+        assert sum(r.length for r in own) == len(ids) * sum(d == doc_id for d, _ in rows)
+    assert packing.pack(documents(*rows).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(documents(*rows), longest=1000)
+
+
+def test_buckets_hold_one_length_each(spark, documents, tmp_path):
+    packing.write_buckets(packing.pack(documents(*enumerate(ODD))), str(tmp_path / "b"))
+    for row in spark.read.parquet(str(tmp_path / "b")).select("bucket", "length").distinct().collect():
+        assert row.length == 2**row.bucket
+
+
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=50))
+def test_ranks_round_trip(ranks):
+    ranks = np.array(ranks, np.uint32)
+    assert token_files.decode_ranks(*token_files.encode_ranks(ranks), len(ranks)).tolist() == ranks.tolist()
+
+
+def test_files_give_back_every_document(spark, documents):
+    rows = [*enumerate(ODD), (None, "no id"), (3, "another text of the same id"), (5, ODD[5])]
+    folder = scratch(spark)
+    shards = token_files.write_ids(documents(*rows).repartition(3), folder)
+    found = token_files.read_ids(spark, folder, shards).orderBy("start").collect()
+    ids = [r.doc_id for r in found]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(ids) == len(rows)
+    start = 0
+    wanted = {}
+    for doc_id, text in rows:
+        wanted.setdefault(doc_id, []).append(crc(plain("word_bpe_49k.json", text, 1)))
+    for r in found:
+        assert r.start == start
+        start += r.n_tokens
+        wanted[r.doc_id].remove(zlib.crc32(r.ids))
+    again = token_files.write_ids(documents((1, "x")).limit(0), scratch(spark))
+    assert sum(n for _, n in again) == 0
+
+
+def test_queries(spark, tmp_path, documents):
+    documents(*enumerate(ODD)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op8_token_files"](spark, str(tmp_path)).collect()}
+    start = 0
+    for i, text in enumerate(ODD):
+        ids = plain("word_bpe_49k.json", text, 1)
+        assert got[i] == (start, len(ids), crc(ids))
+        start += len(ids)
+    for r in QUERIES["op6_packing"](spark, str(tmp_path)).collect():
+        ids = plain("byte_bpe_50k.json", ODD[r.doc_id], 0)
+        assert r.ids_crc32 == crc(ids[r.start : r.start + r.length])
