@@ -1,12 +1,5 @@
-import os
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
-os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parent), os.environ.get("PYTHONPATH", "")])
-
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

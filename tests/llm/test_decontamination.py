@@ -1,7 +1,7 @@
 from hypothesis import given, settings, strategies as st
 
 from criteria_engine.llm import decontaminate as dec
-from llm_helpers import prose
+from llm.llm_helpers import prose
 
 
 def distance(item, text):

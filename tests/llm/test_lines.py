@@ -1,7 +1,7 @@
 from hypothesis import given, strategies as st
 
 from criteria_engine.llm import line_dedup
-from llm_helpers import prose
+from llm.llm_helpers import prose
 
 
 def line(k):

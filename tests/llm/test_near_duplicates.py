@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from criteria_engine.llm import bagminhash, components as cc
 from criteria_engine.llm.tables import scratch
-from llm_helpers import edited, prose
+from llm.llm_helpers import edited, prose
 
 
 def bag(text):
@@ -56,13 +56,12 @@ def test_same_as_brute_force(documents):
 
 def test_links_that_no_head_shows(documents, monkeypatch):
     """All texts in one bucket, whose head is like none of them."""
-    monkeypatch.setattr(bagminhash, "CELL_ROWS", 2)
-    monkeypatch.setattr(bagminhash, "CELL_MEMBERS", 3)
+    monkeypatch.setattr(bagminhash, "CELL_BYTES", 1500)
     texts = [prose(k, 80) for k in range(6)]
     rows = [(10 * k + c, edited(t, c, 0.004 * c)) for k, t in enumerate(texts) for c in range(3)]
     table = documents(*rows).select("doc_id", "text")
     spark = table.sparkSession
-    members = spark.createDataFrame([(i, 7) for i, _ in rows], "doc_id long, key long")
+    members = spark.createDataFrame([(i, 7, len(t)) for i, t in rows], "doc_id long, key long, size int")
     buckets = spark.createDataFrame([(7, 0, len(rows))], "key long, head long, n long")
     labels = spark.createDataFrame([], "node long, label long")
     links = bagminhash._links_in_mixed_buckets(members, buckets, labels, table, scratch(spark)).collect()

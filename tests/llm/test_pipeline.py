@@ -1,0 +1,76 @@
+"""The pipeline's stages on small tables, the registered queries, and SQL."""
+
+import math
+from collections import Counter
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from __spark_entry__ import oracle_sql, queries
+from conftest import TESTDATA
+from criteria_engine.llm import toxicity
+from llm.llm_helpers import edited, prose
+
+SF_DIR = TESTDATA / "sf0.001"
+
+
+@pytest.fixture(scope="module")
+def folder(spark, documents, tmp_path_factory):
+    path = tmp_path_factory.mktemp("tables")
+    base, item = prose(1, 120), prose(2, 40)
+    lines = "\n".join(prose(50 + k, 8) for k in range(4))
+    rows = [(i, prose(1000 + i, 60) + (" grobnar vlex grobnar" if i % 4 == 0 else "")) for i in range(200)]
+    rows += [(1001, lines), (1002, prose(77, 9) + "\n" + lines), (1003, lines)]
+    rows += [(1010, base), (1011, edited(base, 1, 0.01)), (1020, prose(5, 30) + " " + item + " " + prose(6, 30)), (1030, None), (1031, "")]
+    documents(*rows).write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+    return str(path)
+
+
+def test_stages(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 250)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "packing"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == names and out.dtypes == docs.dtypes
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = {r.doc_id: r for r in docs.collect()}
+    plain = {i for i in range(200) if i % 4}
+    assert len(plain & set(kept["toxicity"])) >= 147
+    assert len([i for i in range(0, 200, 4) if i in kept["toxicity"]]) <= 3
+    assert kept["line_dedup"][1002].text == prose(77, 9) and kept["line_dedup"][1002].n_chars == len(prose(77, 9))
+    assert 1003 not in kept["line_dedup"] and 1001 in kept["line_dedup"] and {1030, 1031} <= set(kept["line_dedup"])
+    assert 1010 in kept["near_duplicates"] and 1011 not in kept["near_duplicates"]
+    assert set(kept["decontamination"]) == set(kept["near_duplicates"]) - {1020}
+    pieces = corpus_pipeline.packed(spark, docs, folder).collect()
+    assert {r.doc_id for r in pieces} == set(kept["decontamination"])
+    run = queries()["pipeline"](spark, folder).collect()
+    assert Counter((r.doc_id, r.start, bytes(r.ids)) for r in run) == Counter((r.doc_id, r.start, bytes(r.ids)) for r in pieces)
+
+
+def test_stages_take_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, folder).count() == 0
+
+
+def test_names():
+    found = [q for q in queries() if q.startswith("op")]
+    assert sorted(int(q[2:].split("_")[0]) for q in found) == list(range(1, 11))
+    assert "pipeline" in queries()
+
+
+@pytest.mark.skipif(not SF_DIR.exists(), reason="no test tables")
+def test_top_k_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{SF_DIR}/embeddings.parquet')")
+    want = con.execute(oracle_sql()["op7_exact_topk"])
+    names = [d[0] for d in want.description]
+    got = queries()["op7_exact_topk"](spark, str(SF_DIR))
+    assert Counter(map(tuple, got.select(*names).collect())) == Counter(want.fetchall())
+    assert not any(isinstance(v, float) and math.isnan(v) for r in got.collect() for v in r)

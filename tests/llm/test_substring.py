@@ -3,7 +3,7 @@ import re
 
 from criteria_engine.llm import substring
 from criteria_engine.llm.queries import QUERIES
-from llm_helpers import edited, prose
+from llm.llm_helpers import edited, prose
 
 
 def brute(rows):

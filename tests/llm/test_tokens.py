@@ -14,7 +14,7 @@ from criteria_engine.llm import packing, token_files
 from criteria_engine.llm.queries import QUERIES
 from criteria_engine.llm.tables import scratch
 from criteria_engine.llm.token_ids import encoder
-from llm_helpers import prose
+from llm.llm_helpers import prose
 
 FILES = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
 ODD = [
