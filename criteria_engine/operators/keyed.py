@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from criteria_engine.functions.responses import is_valid, prediction, reason
 from criteria_engine.operators.models import fan_out
 from criteria_engine.schemas import ANNOTATION_COLUMNS
+from criteria_engine.storage import shared_folder, store
 
 SLOT = ["model", "key_hash"]
 
@@ -29,14 +30,23 @@ def answered_keys(attempts: DataFrame) -> DataFrame:
     return attempts.where("answered").select(*SLOT).distinct()
 
 
+def _plain(table: DataFrame, name: str) -> DataFrame:
+    """Stored, for a join whose other side has hot keys.
+
+    Adaptive execution splits a hot partition only if both sides are plain tables
+    below their shuffles, so an aggregate is stored first; it has a row per key.
+    """
+    return store(table, f"{shared_folder(table.sparkSession)}/{name}")[0]
+
+
 def cached_rows(rows: DataFrame, attempts: DataFrame) -> DataFrame:
     """Rows (with `model` and `key_hash`) whose key has a valid answer."""
-    return rows.join(answered_keys(attempts), SLOT, "left_semi")
+    return rows.join(_plain(answered_keys(attempts), "answered"), SLOT, "left_semi")
 
 
 def pending_rows(rows: DataFrame, attempts: DataFrame) -> DataFrame:
     """Rows (with `model` and `key_hash`) whose key has no valid answer."""
-    return rows.join(answered_keys(attempts), SLOT, "left_anti")
+    return rows.join(_plain(answered_keys(attempts), "answered"), SLOT, "left_anti")
 
 
 def pending_heads(rows: DataFrame, attempts: DataFrame, models) -> DataFrame:
@@ -80,7 +90,7 @@ def calls_needed(attempts: DataFrame) -> DataFrame:
         .agg(F.min("attempt_no").alias("_first_valid"))
     )
     return (
-        attempts.join(first_valid, SLOT, "left")
+        attempts.join(_plain(first_valid, "first_valid"), SLOT, "left")
         .where(F.col("_first_valid").isNull() | (F.col("attempt_no") <= F.col("_first_valid")))
         .select(attempts.columns)
     )

@@ -4,10 +4,11 @@ An output folder holds the attempts log (`attempts`), and per model the current
 results (`<model>`) and the rows without a prediction (`error_output_<model>`).
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from criteria_engine.fixed_values import MODELS
 from criteria_engine.functions.prompts import prompt_preview, user_prompt
+from criteria_engine.functions.text import key_hash
 from criteria_engine.operators.keyed import (
     SLOT,
     answered_keys,
@@ -21,11 +22,11 @@ from criteria_engine.operators.metrics import compare_models
 from criteria_engine.operators.models import fan_out, select_models
 from criteria_engine.operators.scoring import Scorer
 from criteria_engine.plans.resume import run_models
-from criteria_engine.schemas import KEY
+from criteria_engine.schemas import ANNOTATION_COLUMNS, KEY, ORDER
 from criteria_engine.sinks.exports import write_error_rows, write_results
 from criteria_engine.sources.annotations import load_annotations, stage_annotations
 from criteria_engine.sources.attempts import read_attempts
-from criteria_engine.storage import shared_folder, store
+from criteria_engine.storage import discard, shared_folder, store
 
 PREVIEW_ROWS = 3
 
@@ -34,10 +35,10 @@ def attempts_path(output: str) -> str:
     return f"{output}/attempts"
 
 
-def staged(spark: SparkSession, path, num_rows: int | None = None, key=KEY) -> DataFrame:
-    """The first `num_rows` valid annotations (all for None), stored and numbered."""
+def staged(spark: SparkSession, path, num_rows: int | None, key, folder: str) -> DataFrame:
+    """The first `num_rows` valid annotations (all for None), stored in `folder` and numbered."""
     loaded = load_annotations(spark, path, num_rows)
-    return stage_annotations(loaded, f"{shared_folder(spark)}/annotations", key)
+    return stage_annotations(loaded, f"{folder}/annotations", key)
 
 
 def classify(
@@ -58,9 +59,15 @@ def classify(
     one stopped and asks failed rows again. `options` go to `run_models`.
     """
     chosen = select_models(models, registry)
-    rows = staged(spark, path, num_rows, key)
-    run_no = run_models(rows, attempts_path(output), scorer, chosen, **options)
-    return run_summary(rows, read_attempts(spark, attempts_path(output)), run_no, chosen)
+    folder = shared_folder(spark)
+    try:
+        rows = staged(spark, path, num_rows, key, folder)
+        run_no = run_models(rows, attempts_path(output), scorer, chosen, **options)
+        summary = run_summary(rows, read_attempts(spark, attempts_path(output)), run_no, chosen)
+        # a row per model; the stored texts are not needed any more
+        return spark.createDataFrame(summary.collect(), summary.schema)
+    finally:
+        discard(spark, folder)
 
 
 def dry_run(
@@ -75,13 +82,20 @@ def dry_run(
 ) -> tuple[DataFrame, DataFrame]:
     """Counts of cached and open rows per model, and a preview of the first rows; asks nothing."""
     chosen = select_models(models, registry)
-    rows, log = staged(spark, path, num_rows, key), read_attempts(spark, attempts_path(output))
-    return dry_run_counts(rows, log, chosen), preview(rows, log, chosen)
+    loaded = load_annotations(spark, path, num_rows).withColumn("key_hash", key_hash(key))
+    log = read_attempts(spark, attempts_path(output))
+    first = load_annotations(spark, path, PREVIEW_ROWS if num_rows is None else min(num_rows, PREVIEW_ROWS))
+    # PREVIEW_ROWS rows at most
+    place = F.row_number().over(Window.orderBy(*ORDER)) - 1
+    first = first.select(place.cast("bigint").alias("seq"), key_hash(key).alias("key_hash"), *ANNOTATION_COLUMNS)
+    return dry_run_counts(loaded.select("key_hash"), log, chosen), preview(first, log, chosen)
 
 
 def preview(rows: DataFrame, attempts: DataFrame, models=MODELS) -> DataFrame:
     """First rows in input order with the start of their prompt, per model."""
-    first = fan_out(first_n(rows, PREVIEW_ROWS, ["seq"]), models)
+    # the first places are found without texts; they are PREVIEW_ROWS numbers
+    places = [r.seq for r in first_n(rows.select("seq"), PREVIEW_ROWS, ["seq"]).collect()]
+    first = fan_out(rows.where(F.col("seq").isin(places)), models)
     # PREVIEW_ROWS x models rows at most: they go to the log, and what they find comes back
     found = attempts.join(F.broadcast(first.select(*SLOT)), SLOT, "left_semi")
     done = answered_keys(found).withColumn("_done", F.lit(True))
@@ -102,10 +116,15 @@ def compare(spark: SparkSession, output: str, registry=MODELS) -> DataFrame:
     return compare_models(with_answers(stored), registry)
 
 
-def export(spark: SparkSession, output: str, models=MODELS) -> None:
-    """Write each model's current results and error rows as CSV."""
-    current = current_results(read_attempts(spark, attempts_path(output)))
-    stored, _ = store(current, f"{shared_folder(spark)}/current")
-    for name, _ in models:
-        write_results(stored, output, name)
-        write_error_rows(stored, output, name)
+def export(spark: SparkSession, output: str, models=None) -> None:
+    """Write the current results and error rows of each model in the log (or of `models`) as CSV."""
+    log = read_attempts(spark, attempts_path(output))
+    folder = shared_folder(spark)
+    stored, _ = store(current_results(log), folder, by=["model"])
+    try:
+        found = [r.model for r in log.select("model").distinct().collect()]
+        for name in found if models is None else [name for name, _ in models]:
+            write_results(stored, output, name)
+            write_error_rows(stored, output, name)
+    finally:
+        discard(spark, folder)

@@ -6,6 +6,8 @@ The sentence is the whole document text. Answers come in eleven shapes, chosen b
 row, model and try.
 """
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -210,6 +212,42 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq and answers that are, or hold, a whole document text."""
+    documents = spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
+    case, text = F.col("doc_id") % 4, F.col("text")
+    return documents.select(
+        F.col("doc_id").alias("seq"),
+        F.when(case == 0, text)
+        .when(case == 1, F.concat(F.lit("Reason: "), text))
+        .when(case == 2, F.concat(text, F.lit("\nPREDICTION: 0\nREASON:\n"), text))
+        .otherwise(F.concat(F.lit("PREDICTION: 1\n"), text))
+        .alias("raw_response"),
+    )
+
+
+def prompt_call(model_id: str, system: str, user: str) -> str:
+    """An answer that only the whole prompt gives: its length and digest."""
+    digest = hashlib.md5(user.encode(), usedforsecurity=False).hexdigest()
+    return f"PREDICTION: {len(user) % 2}\nREASON: {len(system)} {digest}"
+
+
+def accent_call(model_id: str, system: str, user: str) -> str:
+    """An answer by the accents of the sentence."""
+    return f"PREDICTION: {user.count('é') % 2}"
+
+
+# Rows of these numbers, modulo LATE_STEP, get a valid answer from `late_scorer`.
+LATE_STEP, LATE_ROW = 64, 5
+
+
+def late_scorer(requests: pd.DataFrame) -> pd.DataFrame:
+    """A model that mostly gives no valid answer."""
+    valid = requests["seq"] % LATE_STEP == LATE_ROW
+    texts = valid.map({True: "PREDICTION: 1", False: "cannot tell"})
+    return pd.DataFrame({"raw_response": texts, "error": None, "retryable": False})
+
+
 def rule_scorer(shift: int = 0, step: int = 4):
     """Scorer that gives the answers above; each further try moves on by `step` shapes."""
     order = {name: i for i, (name, _) in enumerate(MODELS)}

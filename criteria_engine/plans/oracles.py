@@ -10,7 +10,7 @@ from criteria_engine.fixed_values import (
     WHITESPACE_CLASS,
 )
 from criteria_engine.plans.classify import PREVIEW_ROWS
-from criteria_engine.plans.driver_tables import FIRST_RUN_BEFORE
+from criteria_engine.plans.driver_tables import FIRST_RUN_BEFORE, LATE_ROW, LATE_STEP
 from criteria_engine.plans.queries import FIRST_ROWS, PREVIEW_MODEL, RUN_MODELS
 
 
@@ -174,6 +174,10 @@ from (
     coalesce(tp::double / nullif(tp + fn, 0), 0) as recall
   from (select model, {_CELLS}, {_COUNTS} from resp group by model))
 """
+_FILED = f"""
+select model, {_TP} as "TP", {_TN} as "TN", {_FP} as "FP", {_FN} as "FN", {_COUNTS}
+from resp group by model
+"""
 _RUN = ", ".join(_text(m) for m, _ in RUN_MODELS)
 
 _SELECT = {
@@ -292,6 +296,48 @@ _SELECT = {
               order by seq limit {PREVIEW_ROWS})""",
     "q_predictions_export": """select drug_name, trial_id, section, label, prediction,
         label = prediction as correct, raw_response, error, criteria_text from resp""",
+    "q_parse_texts": f"""
+        , texts as (select doc_id as seq, case doc_id % 4
+            when 0 then text
+            when 1 then 'Reason: ' || text
+            when 2 then concat(text, chr(10), 'PREDICTION: 0', chr(10), 'REASON:', chr(10), text)
+            else concat('PREDICTION: 1', chr(10), text) end as raw_response
+          from documents)
+        select seq, cast(coalesce({_P9}, {_P10}) as int) as prediction,
+          case when {_P9} is null and {_LINE} = '' then {_strip("raw_response")} else {_LINE} end
+            as reason
+        from texts""",
+    "q_score_prompts": f"""
+        , asked as (select seq, model, {_USER_PROMPT} as p from valid cross join m)
+        select seq, model, concat('PREDICTION: ', cast(length(p) % 2 as varchar), chr(10),
+            'REASON: {len(SYSTEM_PROMPT)} ', md5(p)) as raw_response,
+          cast(null as varchar) as error
+        from asked""",
+    "q_run_counts": f"""
+        , rule as (select *, seq % {LATE_STEP} = {LATE_ROW} as ok from valid),
+        asked as (select * from (select *, max(ok) over (partition by drug_name order by seq
+            rows between unbounded preceding and 1 preceding) as before from rule)
+          where not coalesce(before, false)),
+        counts as (select count(*) as new, count(distinct drug_name) as stored,
+            {_count("ok")} as valid, {_count("ok and label = 1")} as correct from asked)
+        select 0 as ord, model, new, (select count(*) from valid) - new as cached, stored, valid,
+          correct, stored - valid as failed
+        from counts cross join m where model = {_text(PREVIEW_MODEL)}""",
+    "q_resume_stream": f"""select distinct {_text(PREVIEW_MODEL)} as model, trial_id, criteria_text,
+          cast((length(criteria_text) - length(replace(criteria_text, 'é', ''))) % 2 as int)
+            as prediction
+        from loaded""",
+    "q_results_csv": f"""select model, {_FIELDS}, prediction as llm_prediction,
+        reason as llm_reason from stored""",
+    "q_error_csv": f"select model, {_FIELDS} from stored where prediction is null",
+    "q_predictions_csv": """select model, drug_name, trial_id, section, label, prediction,
+        case when prediction is null then '' when label = prediction then 'True'
+             else 'False' end as correct,
+        raw_response, coalesce(error, '') as error, criteria_text from resp""",
+    "q_metrics_json": _FILED,
+    "q_comparison_json": _FILED,
+    "q_import_results": f"""select model, trial_id, criteria_text, prediction, reason
+        from ({_current("select * from prior")})""",
 }
 
 ORACLES = {name: _BASE + sql for name, sql in _SELECT.items()}

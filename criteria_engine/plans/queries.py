@@ -1,5 +1,7 @@
 """The registered queries, each over the whole of the driver's tables."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from criteria_engine.fixed_values import MODELS
@@ -10,13 +12,16 @@ from criteria_engine.plans.classify import preview
 from criteria_engine.plans.resume import run_models
 from criteria_engine.schemas import ANNOTATION_COLUMNS
 from criteria_engine.session import ship_package
+from criteria_engine.sinks import exports
 from criteria_engine.sinks.exports import PREDICTION_COLUMNS, predictions_export
 from criteria_engine.sources.annotations import load_annotations
-from criteria_engine.sources.attempts import read_attempts
+from criteria_engine.sources.attempts import read_attempts, read_results_csv
 from criteria_engine.storage import shared_folder
+from criteria_engine.streaming.resume import resume_stream
 
 FIRST_ROWS = 100
 PREVIEW_MODEL = "qwen"
+RUN_CHUNK = 16
 SELECTED = "gpt5, qwen,gpt5"
 # A comparison in which one registered model has no results.
 RUN_MODELS = MODELS[:3]
@@ -235,4 +240,103 @@ def q_predictions_export(spark, sf_dir):
     return predictions_export(answered).select(*PREDICTION_COLUMNS)
 
 
+def q_parse_texts(spark, sf_dir):
+    return tables.text_answers(spark, sf_dir).select(
+        "seq", responses.parse_prediction().alias("prediction"), responses.parse_reason().alias("reason")
+    )
+
+
+def q_score_prompts(spark, sf_dir):
+    return _scored(spark, sf_dir, scoring.row_scorer(tables.prompt_call), max_tries=1)
+
+
+def q_run_counts(spark, sf_dir):
+    """The summary of a run whose keys, the drugs, have many failures each."""
+    path = shared_folder(ship_package(spark))
+    rows = tables.staged(spark, sf_dir).withColumn("key_hash", text.key_hash(("drug_name",)))
+    chosen = models.select_models(PREVIEW_MODEL)
+    run_no = run_models(rows, path, tables.late_scorer, chosen, chunk_rows=RUN_CHUNK)
+    return keyed.run_summary(rows, read_attempts(spark, path), run_no, chosen)
+
+
+def q_resume_stream(spark, sf_dir):
+    """A stream over two files, in one micro-batch each."""
+    folder = shared_folder(ship_package(spark))
+    tables.lines(spark, sf_dir).select("line").repartition(2).write.text(f"{folder}/in")
+    scorer = scoring.row_scorer(tables.accent_call)
+    chosen = models.select_models(PREVIEW_MODEL)
+    stream = resume_stream(
+        spark, f"{folder}/in", f"{folder}/log", f"{folder}/checkpoint", scorer, chosen, files_per_batch=1
+    )
+    stream.awaitTermination()
+    current = keyed.with_answers(keyed.current_results(read_attempts(spark, f"{folder}/log")))
+    return current.select("model", "trial_id", "criteria_text", "prediction")
+
+
+def _csv(spark, path, columns) -> DataFrame:
+    """An exported CSV; empty fields are empty texts or null numbers."""
+    options = {"header": True, "multiLine": True, "escape": '"'}
+    return spark.read.schema(columns).options(**options).csv(path).na.fill("")
+
+
+def _each_model(read) -> DataFrame:
+    parts = [read(name).withColumn("model", F.lit(name)) for name, _ in MODELS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_ANNOTATION = "drug_name string, label int, trial_id string, section string, criteria_text string"
+
+
+def _exported(spark, current, write) -> str:
+    folder = shared_folder(spark)
+    for name, _ in MODELS:
+        write(current, folder, name)
+    return folder
+
+
+def q_results_csv(spark, sf_dir):
+    folder = _exported(spark, keyed.current_results(tables.log(spark, sf_dir)), exports.write_results)
+    columns = f"{_ANNOTATION}, llm_prediction int, llm_reason string"
+    return _each_model(lambda name: _csv(spark, f"{folder}/{name}", columns))
+
+
+def q_error_csv(spark, sf_dir):
+    folder = _exported(spark, keyed.current_results(tables.log(spark, sf_dir)), exports.write_error_rows)
+    return _each_model(lambda name: _csv(spark, f"{folder}/error_output_{name}", _ANNOTATION))
+
+
+def q_predictions_csv(spark, sf_dir):
+    answered, folder = _answered(spark, sf_dir), shared_folder(spark)
+    made = {name: exports.write_predictions(answered, folder, name, "run") for name, _ in MODELS}
+    columns = (
+        "drug_name string, trial_id string, section string, label int, prediction int, correct string, "
+        "raw_response string, error string, criteria_text string"
+    )
+    return _each_model(lambda name: _csv(spark, f"{made[name]}/predictions", columns))
+
+
+def q_metrics_json(spark, sf_dir):
+    """Counts of the files; ratios are rounded as Python rounds, which SQL engines do not."""
+    graded, folder = metrics.classification_metrics(_answered(spark, sf_dir)), shared_folder(spark)
+    made = {name: exports.write_metrics(graded, folder, name, "run") for name, _ in MODELS}
+    read = {name: spark.read.json(f"{path}/metrics") for name, path in made.items()}
+    return _each_model(lambda name: read[name].select("confusion_matrix.*", "total", "valid", "errors"))
+
+
+def q_comparison_json(spark, sf_dir):
+    folder = shared_folder(spark)
+    exports.write_comparison(metrics.classification_metrics(_answered(spark, sf_dir)), folder)
+    found = spark.read.json(f"{folder}/comparison")
+    each = lambda name: found.select(F.col(f"{name}.*")).select("confusion_matrix.*", "total", "valid", "errors")
+    return _each_model(each)
+
+
+def q_import_results(spark, sf_dir):
+    """A first run's result files, taken over into a log."""
+    folder = _exported(spark, keyed.current_results(_first_run(spark, sf_dir)), exports.write_results)
+    taken = [read_results_csv(spark, f"{folder}/{name}", name) for name, _ in MODELS]
+    current = keyed.current_results(reduce(DataFrame.unionByName, taken))
+    return keyed.with_answers(current).select("model", "trial_id", "criteria_text", "prediction", "reason")
+
+
 QUERIES = {name: query for name, query in list(globals().items()) if name.startswith("q_")}

@@ -15,14 +15,14 @@ from criteria_engine.sources.attempts import (
     next_run,
     read_attempts,
 )
-from criteria_engine.storage import BROADCAST_ROWS, shared_folder, small, store
+from criteria_engine.storage import discard, shared_folder, store
 
-# Rows of one key that are asked strictly one after the other (see `run_models`).
+# Rows of one key in the first chunk behind its head, and how often chunks double.
 CHUNK_ROWS = 256
+DOUBLINGS = 8
 
-# Rows per scoring task, and the largest number of tasks chosen for a job.
+# Rows per scoring task.
 TASK_ROWS = 2_000
-MOST_TASKS = 20_000
 
 
 def run_models(
@@ -41,12 +41,12 @@ def run_models(
     key are asked in input order until one answer is valid.
 
     First every open key is asked once, with its first row. The remaining rows of
-    keys that failed are ranked and cut into chunks of `chunk_rows`; a chunk is
-    asked row by row. Chunk 0 of all keys comes first, then 1-2, 3-6 and so on while
-    a key stays unanswered, so the number of waves grows with the logarithm of the
-    largest key, and no task holds more than one chunk of a key at a time. Each wave
-    is in the log before the next one starts: a lost driver costs one wave. Whole
-    rows are scanned for the heads, for chunk 0 and once for all later chunks.
+    keys that failed are ranked and cut into chunks, of `chunk_rows` at first and of
+    twice as many each time, up to DOUBLINGS times; then they stay as long. A wave asks
+    one chunk of every key that is still open, row by row, so calls are those of a
+    row-by-row loop for every key. A task's answers are in the log when the task ends:
+    a crash costs what its running tasks had asked. Whole rows are scanned for the heads, for
+    chunk 0 and once for all later chunks.
 
     `tasks` sets the number of scoring tasks, and so how many calls are in flight at
     most; by default it follows the number of rows to ask.
@@ -55,58 +55,65 @@ def run_models(
     if spark.conf.get("spark.speculation", "false") == "true":
         warnings.warn("spark.speculation is on: copies of slow tasks repeat their calls")
     folder = shared_folder(spark)
-    log = read_attempts(spark, log_path)
-    run_no = next_run(log)
+    run_no = next_run(read_attempts(spark, log_path))
     save = partial(_save, run_no=run_no, log_path=log_path)
 
-    heads, found = store(pending_heads(rows, log, models), f"{folder}/heads")
+    try:
+        _ask_open_keys(rows, read_attempts(spark, log_path), run_no, folder, scorer, models, save, log_path, tasks, chunk_rows, max_tries)
+    finally:
+        discard(spark, folder)
+    return run_no
+
+
+def _ask_open_keys(rows, log, run_no, folder, scorer, models, save, log_path, tasks, chunk_rows, max_tries) -> None:
+    spark = rows.sparkSession
+    heads, found = store(
+        pending_heads(rows, log, models), f"{folder}/heads", asks=F.sum(F.size("open_models"))
+    )
     if not found["n"]:
-        return run_no
-    asks = _head_rows(rows, heads, found["n"], tasks or _tasks(spark, found["n"]), models)
+        return
+    asks = _head_rows(rows, heads, tasks or _tasks(spark, found["asks"]), models)
     save(score(asks, scorer, max_tries))
 
     failed, found = store(_failed(_this_run(spark, log_path, run_no)), f"{folder}/failed")
     if not found["n"]:
-        return run_no
-    ranked, found = _ranked(_behind(rows, failed, found["n"]), folder, chunk_rows)
+        return
+    ranked, found = _ranked(_behind(rows, failed), folder, chunk_rows)
     if not found["n"]:
-        return run_no
+        return
 
     def ask_in_order(asks: DataFrame, size: int) -> None:
+        asks = asks.select(*rows.columns, F.explode("models").alias("model"))
         asks = asks.withColumn("model_id", model_id(models))
-        parts = tasks or _tasks(spark, size)
-        save(score_in_order(asks, scorer, [*SLOT, "chunk"], parts, max_tries))
+        save(score_in_order(asks, scorer, SLOT, tasks or _tasks(spark, size), max_tries))
 
-    ask_in_order(_whole(rows, ranked.where("chunk = 0"), found["n"]), found["n"])
+    ask_in_order(_whole(rows, ranked.where("chunk = 0")), found["n"])
     if not found["last"]:
-        return run_no
+        return
 
     # Keys that chunk 0 did not answer. Their whole rows are picked once, for all waves.
-    keys = ranked.where("chunk = 1").select(*SLOT).distinct()
-    keys, counted = store(keys, f"{folder}/keys_0")
-    later, wave, last = None, 1, 1
-    while wave <= last:
-        answered = _answered(keys, counted["n"], log_path, run_no)
-        keys, counted = store(keys.join(answered, SLOT, "left_anti"), f"{folder}/keys_{wave}")
+    open_keys = ranked.where("chunk = 1").select(*SLOT).distinct()
+    answered = answered_keys(_this_run(spark, log_path, run_no))
+    keys, counted = store(open_keys.join(answered, SLOT, "left_anti"), f"{folder}/keys_1")
+    if not counted["n"]:
+        return
+    open_rows = ranked.where("chunk > 0").join(keys, SLOT, "left_semi")
+    later, found = store(_whole(rows, open_rows), f"{folder}/later", by=["chunk"], last=F.max("chunk"))
+    for wave in range(1, found["last"] + 1):
+        if wave > 1:
+            answered = answered_keys(_this_run(spark, log_path, run_no))
+            keys, counted = store(keys.join(answered, SLOT, "left_anti"), f"{folder}/keys_{wave}")
         if not counted["n"]:
-            break
-        if later is None:
-            open_rows = ranked.where("chunk > 0").join(small(keys, counted["n"]), SLOT, "left_semi")
-            number = F.length(F.bin(F.col("chunk") + 1)) - 1
-            later = _whole(rows, open_rows, found["n"]).withColumn("wave", number)
-            later, found = store(later, f"{folder}/later", by=["wave"], last=F.max("wave"))
-            last = found["last"]
-        asks = later.where(F.col("wave") == wave).drop("wave")
-        asks = asks.join(small(keys, counted["n"]), SLOT, "left_semi")
-        # a wave holds 2^wave chunks of a key
-        ask_in_order(asks, min(found["n"], counted["n"] * chunk_rows * 2**wave))
-        wave += 1
-    return run_no
+            return
+        still = keys.groupBy("key_hash").agg(F.collect_set("model").alias("open"))
+        asks = later.where(F.col("chunk") == wave).join(still, "key_hash")
+        asks = asks.withColumn("models", F.array_intersect("models", "open"))
+        ask_in_order(asks, counted["n"] * chunk_rows * 2 ** min(wave, DOUBLINGS))
 
 
-def _tasks(spark: SparkSession, rows: int) -> int:
-    """Enough tasks that a lost one repeats few calls, within what a shuffle bears."""
-    return max(spark.sparkContext.defaultParallelism, min(rows // TASK_ROWS, MOST_TASKS))
+def _tasks(spark: SparkSession, calls: int) -> int:
+    """Enough tasks that a lost one repeats few calls."""
+    return max(spark.sparkContext.defaultParallelism, -(-calls // TASK_ROWS))
 
 
 def _save(answers: DataFrame, run_no: int, log_path: str) -> None:
@@ -122,31 +129,25 @@ def _this_run(spark: SparkSession, log_path: str, run_no: int) -> DataFrame:
     return read_attempts(spark, log_path).where(F.col("run_no") == run_no)
 
 
-def _head_rows(rows: DataFrame, heads: DataFrame, size: int, tasks: int, models) -> DataFrame:
+def _head_rows(rows: DataFrame, heads: DataFrame, tasks: int, models) -> DataFrame:
     """Whole rows to ask, in `tasks` partitions, once per open model.
 
-    Few heads go to the rows, so that only requested rows move. Many heads are
-    joined in the partitioning they are scored in. Either way a row moves once and
-    is repeated per model, and grown into a prompt, behind the shuffle.
+    The heads are a stored table, so Spark knows its bytes and sends it to the rows where
+    that is cheaper; then only requested rows move. A row is repeated per model, and
+    grown into a prompt, behind the shuffle.
     """
-    heads = heads.drop("key_hash")
-    if size <= BROADCAST_ROWS:
-        found = rows.join(F.broadcast(heads), "seq").repartition(tasks, "seq")
-    else:
-        found = rows.repartition(tasks, "seq").join(heads, "seq")
+    found = rows.join(heads.drop("key_hash"), "seq").repartition(tasks, "seq")
     asks = found.select(*rows.columns, F.explode("open_models").alias("model"))
     return asks.withColumn("model_id", model_id(models))
 
 
-def _whole(rows: DataFrame, asks: DataFrame, size: int) -> DataFrame:
-    """Whole rows for a table of at most `size` (model, seq, chunk)."""
-    return rows.join(small(asks.drop("key_hash"), size), "seq")
-
+def _whole(rows: DataFrame, asks: DataFrame) -> DataFrame:
+    """Whole rows for a table of (model, key_hash, seq, chunk), each once, with its `models`.
 
-def _answered(keys: DataFrame, size: int, log_path: str, run_no: int) -> DataFrame:
-    """Those of `size` keys that this run has answered; few keys are looked up in the log's scan."""
-    log = _this_run(keys.sparkSession, log_path, run_no)
-    return answered_keys(log.join(small(keys, size), SLOT, "left_semi"))
+    A row has the same chunk for all models, as they share its key's head.
+    """
+    asked = asks.groupBy("seq", "chunk").agg(F.collect_set("model").alias("models"))
+    return rows.join(asked, "seq")
 
 
 def _failed(asked: DataFrame) -> DataFrame:
@@ -154,11 +155,11 @@ def _failed(asked: DataFrame) -> DataFrame:
     return asked.where(~F.col("answered")).select(*SLOT, F.col("seq").alias("head"))
 
 
-def _behind(rows: DataFrame, failed: DataFrame, size: int) -> DataFrame:
+def _behind(rows: DataFrame, failed: DataFrame) -> DataFrame:
     """The rows that follow the failed first row of their key."""
     return (
         rows.select("seq", "key_hash")
-        .join(small(failed, size), "key_hash")
+        .join(failed, "key_hash")
         .where(F.col("seq") > F.col("head"))
         .select(*SLOT, "seq")
     )
@@ -184,10 +185,15 @@ def _ranked(rows: DataFrame, folder: str, chunk_rows: int) -> tuple[DataFrame, d
         *SLOT, "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before")
     )
     rank = F.col("before") + F.col("row") - 1
+    unit = F.floor(rank / chunk_rows)
+    doubled = 2 ** (DOUBLINGS + 1) - 1
+    chunk = F.when(unit < doubled, F.length(F.bin(unit + 1)) - 1).otherwise(
+        F.floor((unit - doubled) / 2**DOUBLINGS) + DOUBLINGS + 1
+    )
     return store(
         parts.withColumn("row", F.row_number().over(within))
         .join(before, [*SLOT, "part"])
-        .select(*SLOT, "seq", F.floor(rank / chunk_rows).alias("chunk")),
+        .select(*SLOT, "seq", chunk.cast("int").alias("chunk")),
         f"{folder}/ranked",
         last=F.max("chunk"),
     )

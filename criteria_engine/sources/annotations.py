@@ -1,11 +1,14 @@
 """Annotation files: one tab-separated record per line, quotes are plain text."""
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from criteria_engine.functions.text import key_hash
-from criteria_engine.operators.lines import first_n, parse_lines
+from criteria_engine.operators.lines import parse_lines
 from criteria_engine.schemas import ANNOTATION_COLUMNS, KEY, ORDER, STAGED
-from criteria_engine.storage import shared_folder, small, store
+from criteria_engine.storage import shared_folder, store
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
@@ -21,9 +24,43 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
 def load_annotations(spark: SparkSession, path, num_rows: int | None = None) -> DataFrame:
     """Valid annotations of one or more files, with their place columns.
 
-    `num_rows` keeps the first valid rows in file order; None keeps all.
+    `num_rows` keeps the first valid rows in file order; None keeps all. Files are then
+    read in path order, in groups that double, until the rows are found.
+    """
+    if num_rows is None:
+        return parse_lines(read_lines(spark, path))
+    if num_rows < 0:
+        raise ValueError(f"number of rows must not be negative: {num_rows}")
+    files = sorted(spark.read.text(path).inputFiles())  # as src_file names them
+    folder = shared_folder(spark)
+    kept, start, size = [], 0, 1
+    while start < len(files) and num_rows > 0:
+        # no glob: a path may hold its characters
+        paths = [unquote(f).translate({ord(c): f"\\{c}" for c in "{}[]*?\\"}) for f in files[start : start + size]]
+        found, seen = store(parse_lines(read_lines(spark, paths)), f"{folder}/group_{start}")
+        kept.append(first_by_split(found, num_rows) if seen["n"] > num_rows else found)
+        num_rows -= min(num_rows, seen["n"])
+        start, size = start + size, size * 2
+    if not kept:
+        return parse_lines(read_lines(spark, path)).limit(0)
+    return reduce(DataFrame.unionByName, kept)
+
+
+def first_by_split(rows: DataFrame, n: int) -> DataFrame:
+    """The first n of stored rows in file order.
+
+    Whole splits are taken by their counts; only the split in which the n-th row stands
+    is ordered, so no task holds n rows.
     """
-    return first_n(parse_lines(read_lines(spark, path)), num_rows, ORDER)
+    split = ["src_file", "src_block"]
+    earlier = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*split).agg(F.count("*").alias("_size"))  # one row per split
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    placed = rows.join(sizes.where(F.col("_before") < n), split)
+    whole = F.col("_before") + F.col("_size") <= n
+    place = F.row_number().over(Window.partitionBy(*split).orderBy("src_row"))
+    cut = placed.where(~whole).withColumn("_place", place).where(F.col("_before") + F.col("_place") <= n)
+    return placed.where(whole).select(rows.columns).unionByName(cut.select(rows.columns))
 
 
 def stage_annotations(annotations: DataFrame, path: str, key=KEY) -> DataFrame:
@@ -48,13 +85,13 @@ def number_rows(staged: DataFrame) -> DataFrame:
     spans = staged.groupBy("src_file", "src_block").agg(
         F.min(ids).alias("_low"), (F.max(ids) - F.min(ids) + 1).alias("_size")
     )
-    spans, found = store(spans, f"{shared_folder(staged.sparkSession)}/splits")
+    spans, _ = store(spans, f"{shared_folder(staged.sparkSession)}/splits")
     earlier = Window.orderBy("src_file", "src_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.select(
         "src_file",
         "src_block",
         (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_low")).alias("_offset"),
     )
-    return staged.join(small(offsets, found["n"]), ["src_file", "src_block"]).select(
+    return staged.join(offsets, ["src_file", "src_block"]).select(
         (ids + F.col("_offset")).alias("seq"), "key_hash", *ANNOTATION_COLUMNS
     )

@@ -5,10 +5,6 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-# Largest table that is sent to every executor: rows of 150 bytes or so, 150 MB in all.
-BROADCAST_ROWS = 1_000_000
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the checkpoint directory that all executors reach."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,6 +26,12 @@ def store(table: DataFrame, path: str, by=(), **measured: Column) -> tuple[DataF
     return table.sparkSession.read.schema(table.schema).parquet(path), seen.get
 
 
-def small(table: DataFrame, rows: int) -> DataFrame:
-    """Marked for broadcast if its known number of rows allows it."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of steps that are over."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from criteria_engine.fixed_values import WHITESPACE
 from criteria_engine.operators.lines import first_n, parse_lines
+from criteria_engine.sources import annotations
 from criteria_engine.schemas import ANNOTATION_COLUMNS, ORDER
 from criteria_engine.sources.annotations import (
     load_annotations,
@@ -103,12 +104,12 @@ def test_file_order(spark, split_files):
     assert loaded.rdd.getNumPartitions() > 10
     assert records(loaded.orderBy(*ORDER)) == want
     for n in (0, 1, 7, 450, 10_000):
-        assert records(load_annotations(spark, path, n)) == want[:n]
+        assert records(load_annotations(spark, path, n).orderBy(*ORDER)) == want[:n]
 
 
-def test_first_rows_keep_n_per_task(spark, split_files):
-    plan = load_annotations(spark, split_files[0], 5)._jdf.queryExecution().toString()
-    assert "TakeOrderedAndProject" in plan
+def test_no_task_orders_the_first_rows(spark, split_files):
+    plan = load_annotations(spark, split_files[0], 450)._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
 
 
 def test_each_line_is_stripped_and_split_once(spark, split_files):
@@ -131,11 +132,16 @@ def test_numbers_follow_file_order(spark, split_files, tmp_path):
     assert rows.agg(F.min("seq")).first()[0] == 0
 
 
-def test_numbers_beyond_the_broadcast_limit(spark, split_files, tmp_path, monkeypatch):
-    monkeypatch.setattr("criteria_engine.storage.BROADCAST_ROWS", 0)
-    path, want = split_files
-    loaded = load_annotations(spark, path)
-    assert records(stage_annotations(loaded, str(tmp_path / "staged")).orderBy("seq")) == want
+def test_numbers_without_a_broadcast(spark, split_files, tmp_path):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        path, want = split_files
+        loaded = load_annotations(spark, path)
+        assert records(stage_annotations(loaded, str(tmp_path / "staged")).orderBy("seq")) == want
+    finally:
+        spark.conf.set(name, before)
 
 
 def test_line_ends_and_encoding(spark, tmp_path):
@@ -158,3 +164,32 @@ def test_empty_input(spark, tmp_path):
     (tmp_path / "x.tsv").write_text("\n \n")
     rows = stage_annotations(load_annotations(spark, str(tmp_path / "x.tsv")), str(tmp_path / "s"))
     assert rows.count() == 0
+
+
+def test_the_first_rows_come_from_few_files(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        lines = [f"D{k}.txt\t{i % 3}\tT\tINCL\t{k} {i}" for i in range(15)]  # ten of fifteen are valid
+        (tmp_path / f"in [{k:02}] {{x}}.tsv").write_text("\n".join(lines) + "\n")
+    opened = []
+    plain = annotations.read_lines
+
+    def counted(spark, path):
+        opened.extend(path)
+        return plain(spark, path)
+
+    monkeypatch.setattr(annotations, "read_lines", counted)
+    want = [f"{k} {i}" for k in range(40) for i in range(15) if i % 3 < 2]
+    for n, files in ((25, 3), (1, 1), (10, 1), (395, 40)):
+        opened.clear()
+        got = annotations.load_annotations(spark, str(tmp_path), n).orderBy(*ORDER).collect()
+        assert [r.criteria_text for r in got] == want[:n]
+        assert len(opened) == files
+    assert annotations.load_annotations(spark, str(tmp_path), 0).count() == 0
+
+
+def test_the_first_rows_of_many_splits(spark, tmp_path):
+    rows = [(f"f{i % 4}", i % 3, i, f"d{i}") for i in range(240)]
+    table = spark.createDataFrame(rows, "src_file string, src_block long, src_row long, drug_name string")
+    for n in (0, 1, 20, 37, 240, 500):
+        got = sorted((r[0], r[1], r[2]) for r in annotations.first_by_split(table.repartition(5), n).collect())
+        assert got == sorted(r[:3] for r in rows)[:n]

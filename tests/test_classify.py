@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import pytest
 
 from criteria_engine.operators.scoring import row_scorer
 from criteria_engine.plans import classify as plans
 from criteria_engine.sources.attempts import read_attempts
+from helpers import rows_table
 
 P = "annot-NOT_prior_therapy_"
 LINES = [
@@ -65,6 +68,28 @@ def test_from_files_to_grades(spark, place):
     assert csv.csv(f"{output}/error_output_qwen").count() == 2
 
 
+def test_a_dry_run_writes_nothing_and_a_run_leaves_no_texts(spark, place):
+    path, output = place
+    base = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(base.rglob("*.parquet"))
+    counts, shown = plans.dry_run(spark, path, output)
+    assert counts.count() == 4 and shown.count() == 12
+    written = [f for f in set(base.rglob("*.parquet")) - before if "group_" not in str(f)]
+    assert not written and not Path(output).exists()
+    plans.classify(spark, path, output, row_scorer(call), models="gpt5")
+    assert not [f for f in set(base.rglob("*.parquet")) - before if "annotations" in str(f)]
+
+
+def test_the_preview_looks_its_rows_up(spark, tmp_path):
+    keys = [f"k{i}" for i in range(50)]
+    rows_table(spark, keys).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    shown = plans.preview(rows, read_attempts(spark, str(tmp_path / "none")))
+    assert {r.seq for r in shown.collect()} == {0, 1, 2}
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "In(seq, [0,1,2])" in plan
+
+
 def test_drugs_can_have_their_own_answers(spark, place):
     path, output = place
     key = ("trial_id", "criteria_text", "drug_name")

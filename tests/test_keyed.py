@@ -143,20 +143,23 @@ def test_a_third_of_all_rows_in_one_key(spark):
     assert asked.count() == n // 6 + 1 + n - n // 3
 
 
-def test_joins_split_a_hot_key(spark):
-    """Where every row of a key has to be kept, adaptive execution splits the hot partition."""
+def test_joins_split_a_hot_key(spark, tmp_path):
+    """Where every row of a key has to be kept, adaptive execution splits the hot partition.
+
+    The models are a stored column of two values, as in a log.
+    """
     n = 200_000
     key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("string").cast("binary")
+    model = F.when(F.col("id") % 6 < 5, "m").otherwise("o").alias("model")
     wide = F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 512))
-    rows = spark.range(n).select(
-        F.lit("m").alias("model"), "id", key.alias("key_hash"), wide.alias("text")
-    )
-    log = spark.range(n // 2).select(
-        F.lit("m").alias("model"),
-        key.alias("key_hash"),
-        F.lit(True).alias("answered"),
-        F.col("id").alias("attempt_no"),
+    spark.range(n).select(model, "id", key.alias("key_hash"), wide.alias("text")).write.parquet(
+        str(tmp_path / "rows")
     )
+    answered = (F.col("id") > 30_000).alias("answered")
+    spark.range(n).select(
+        model, key.alias("key_hash"), answered, F.col("id").alias("attempt_no"), wide.alias("text")
+    ).write.parquet(str(tmp_path / "log"))
+    rows, log = spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "log"))
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
@@ -166,12 +169,16 @@ def test_joins_split_a_hot_key(spark):
     before = {name: spark.conf.get(name) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
+    known = {i for i in range(n) if i > 30_000}
+    hot = next(i for i in range(30_001, n) if i % 3 == 0)
+    first = {i: hot if i % 3 == 0 else i if i in known else None for i in range(n)}
     try:
         for joined, want in (
-            (keyed.cached_rows(rows, log), n // 2 + n // 3 // 2),
-            (keyed.pending_rows(rows, log), n - n // 2 - n // 3 // 2),
+            (keyed.cached_rows(rows, log), sum(first[i] is not None for i in range(n))),
+            (keyed.pending_rows(rows, log), sum(first[i] is None for i in range(n))),
+            (keyed.calls_needed(log), sum(first[i] is None or i <= first[i] for i in range(n))),
         ):
-            assert abs(len(joined.collect()) - want) <= 1
+            assert len(joined.collect()) == want
             plan = joined._jdf.queryExecution().executedPlan().toString()
             assert "SortMergeJoin(skew=true)" in plan
     finally:

@@ -9,7 +9,12 @@ from criteria_engine.operators import keyed, metrics
 from criteria_engine.operators.models import select_models
 from criteria_engine.schemas import ANNOTATION_COLUMNS, RESULT_COLUMNS
 from criteria_engine.sinks import exports
-from criteria_engine.sources.attempts import append_attempts, read_attempts, read_results_csv
+from criteria_engine.sources.attempts import (
+    append_attempts,
+    attempt_number,
+    read_attempts,
+    read_results_csv,
+)
 from helpers import attempts_table
 
 ANSWERS = [
@@ -94,6 +99,53 @@ def test_results_of_a_dataframe_library(spark, tmp_path):
     ]
 
 
+def test_the_stored_prediction_decides(spark, tmp_path):
+    """Digits in the reasons of rows without a prediction are no answers."""
+    path = tmp_path / "qwen.csv"
+    path.write_text(
+        ",".join(RESULT_COLUMNS) + "\n"
+        "D,1,T,INCL,a,,Phase 1 trial\n"
+        "D,0,T,EXCL,b,2,see arm 0\n"
+        "D,0,T,EXCL,c,0,stage 1 disease\n"
+        'D,0,T,EXCL,d,0,"PREDICTION: 1\nREASON: no"\n'
+        "D,0,T,EXCL,e,,cannot tell\n"
+    )
+    taken = read_results_csv(spark, str(path), "qwen")
+    got = keyed.with_answers(taken).orderBy("seq").collect()
+    assert [r.seq for r in got] == [0, 1, 2, 3, 4]
+    assert [(r.prediction, r.answered) for r in got] == [
+        (None, False), (None, False), (0, True), (0, True), (None, False),
+    ]
+    assert [r.error for r in got] == ["Phase 1 trial", "see arm 0", None, None, None]
+    assert [r.reason for r in got][2] == "stage 1 disease" and got[4].raw_response == "cannot tell"
+
+
+def test_an_import_takes_a_free_run(spark, log, tmp_path):
+    exports.write_results(log, str(tmp_path), "qwen")
+    path = str(tmp_path / "qwen")
+    taken = read_results_csv(spark, path, "qwen", log=log)
+    assert {r.run_no for r in taken.collect()} == {2}
+    both = keyed.union_attempts(log, taken.select(*log.columns))
+    assert both.select("attempt_no").distinct().count() == 14
+    assert keyed.current_results(both).count() == 7
+    with pytest.raises(ValueError):
+        read_results_csv(spark, path, "qwen", run_no=1, log=log)
+
+
+def test_numbers_of_an_import_are_dense(spark, tmp_path):
+    for k in range(5):
+        rows = "".join(f"D,1,T,INCL,{k} {i},1,r\n" for i in range(3))
+        (tmp_path / f"{k}.csv").write_text(",".join(RESULT_COLUMNS) + "\n" + rows)
+    got = read_results_csv(spark, str(tmp_path), "qwen").collect()
+    assert sorted(r.seq for r in got) == list(range(15))
+
+
+def test_attempt_numbers_have_a_range(spark):
+    row = spark.range(1).select((F.col("id") + 2**44).alias("seq"))
+    with pytest.raises(Exception, match="out of range"):
+        row.select(attempt_number(1)).collect()
+
+
 def test_error_rows(log, tmp_path):
     exports.write_error_rows(log, str(tmp_path), "qwen")
     rows = read_csv(tmp_path / "error_output_qwen")
