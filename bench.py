@@ -5,6 +5,7 @@ import os
 import sys
 import time
 from pathlib import Path
+from tempfile import TemporaryDirectory
 
 from pyspark.sql import SparkSession
 
@@ -28,11 +29,18 @@ HEADLINE = [
     "q_classification_metrics",
     "q_compare_models",
     "q_run_summary",
+    "q_run_counts",
+    "q_import_results",
     "q_dry_run",
 ]
 
 
 def main() -> None:
+    with TemporaryDirectory(prefix="criteria_engine_") as folder:
+        bench(folder)
+
+
+def bench(folder: str) -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -43,6 +51,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -17,11 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from criteria_engine.fixed_values import MAX_TRIES, RATE_LIMIT_ERROR
-from criteria_engine.functions.prompts import system_prompt, user_prompt
+from criteria_engine.fixed_values import MAX_TRIES, RATE_LIMIT_ERROR, SYSTEM_PROMPT
+from criteria_engine.functions.prompts import user_prompt
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
+# What travels to the workers; the system prompt is the same for all rows and is added there.
+_SENT = ["model", "model_id", "seq", "user_prompt"]
 _REQUEST = ["model", "model_id", "seq", "system_prompt", "user_prompt"]
 _ANSWER = ["raw_response", "error", "retryable"]
 
@@ -76,9 +78,12 @@ def _valid(answers: pd.DataFrame) -> pd.Series:
     return ~failed & answers["raw_response"].fillna("").astype(str).str.contains("[01]")
 
 
-def _requests(rows: DataFrame) -> list[Column]:
-    prompts = {"system_prompt": system_prompt(), "user_prompt": user_prompt()}
-    return [prompts.get(name, F.col(name)) for name in _REQUEST]
+def _sent() -> list[Column]:
+    return [user_prompt() if name == "user_prompt" else F.col(name) for name in _SENT]
+
+
+def _requests(columns: tuple[pd.Series, ...]) -> pd.DataFrame:
+    return pd.concat(columns, axis=1, keys=_SENT).assign(system_prompt=SYSTEM_PROMPT)[_REQUEST]
 
 
 def score(rows: DataFrame, scorer: Scorer, max_tries: int = MAX_TRIES) -> DataFrame:
@@ -86,12 +91,12 @@ def score(rows: DataFrame, scorer: Scorer, max_tries: int = MAX_TRIES) -> DataFr
 
     def answer(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for columns in batches:
-            requests = pd.concat(columns, axis=1, keys=_REQUEST)
+            requests = _requests(columns)
             yield _ask(scorer, requests, max_tries)[["raw_response", "error"]]
 
     # non-deterministic: the optimizer must neither repeat the call nor move filters past it
     asked = F.pandas_udf(_typed(answer), "raw_response string, error string").asNondeterministic()
-    return rows.withColumn("_answer", asked(*_requests(rows))).select(
+    return rows.withColumn("_answer", asked(*_sent())).select(
         *rows.columns, "_answer.raw_response", "_answer.error"
     )
 
@@ -109,8 +114,8 @@ def score_in_order(
     def answer(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         last, last_done = None, False
         for columns in batches:
-            requests = pd.concat(columns[: len(_REQUEST)], axis=1, keys=_REQUEST)
-            groups = pd.concat(columns[len(_REQUEST) :], axis=1).to_numpy(dtype=object)
+            requests = _requests(columns[: len(_SENT)])
+            groups = pd.concat(columns[len(_SENT) :], axis=1).to_numpy(dtype=object)
             # rows are sorted: a group is a run of rows, and may go on from the last batch
             starts = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]).any(axis=1)])
             sizes = np.diff(np.r_[starts, len(groups)])
@@ -134,7 +139,7 @@ def score_in_order(
     ).asNondeterministic()
     placed = rows.repartition(tasks, *by).sortWithinPartitions(*by, "seq")
     return (
-        placed.withColumn("_answer", asked(*_requests(rows), *by))
+        placed.withColumn("_answer", asked(*_sent(), *by))
         .where("_answer.asked")
         .select(*rows.columns, "_answer.raw_response", "_answer.error")
     )
