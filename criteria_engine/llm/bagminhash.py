@@ -10,7 +10,8 @@ it has passed the latest slot. Bands of slots give candidates, whose bags are co
 
 In each bucket every member is compared with one head. Where that leaves a bucket with
 members of more than one component, members outside the head's component are compared
-with all others of the bucket, in cells of bounded size.
+with all others of the bucket, in cells of bounded size; a cell compares the bags that
+share one of their rarest shingles, without which they cannot be similar.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from criteria_engine.llm.components import components
 from criteria_engine.llm.tables import release, scratch, slices, spans, stored
+from criteria_engine.llm.token_ids import take_runs
 from criteria_engine.llm.windows import Runs, mixed, word_hashes
 
 SHINGLE = 5
@@ -32,7 +34,9 @@ BANDS, BAND_SLOTS = 32, 4
 SLOTS = BANDS * BAND_SLOTS
 # Buckets choose their heads by this many different orders of the documents.
 ORDERS = 4
-CELL_ROWS, CELL_MEMBERS = 128, 1024
+# Text whose bags a worker holds at once; they take some thirty times as much.
+BAG_BYTES = 2 << 20
+CELL_BYTES = 1 << 20  # of text on each side of a cell
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,16 +97,16 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Band keys of the texts that have a word."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", BAG_BYTES):
         bag = bags(batch.column("text"))
         full = np.unique(bag[0])
         row = np.searchsorted(full, bag[0])
         keys = band_keys(signatures(row, *bag[1:], len(full)))
         ends = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
-        rows = batch.select(["doc_id", "first_hash", "second_hash"]).take(pa.array(full))
+        rows = batch.select(["doc_id", "first_hash", "second_hash", "size"]).take(pa.array(full))
         yield pa.RecordBatch.from_arrays(
             [*rows.columns, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
-            ["doc_id", "first_hash", "second_hash", "keys"],
+            ["doc_id", "first_hash", "second_hash", "size", "keys"],
         )
 
 
@@ -120,25 +124,53 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text_a"):
+    for batch in slices(batches, "text_a", BAG_BYTES):
         same = similarities(batch.column("text_a"), batch.column("text_b")) >= SIMILAR
         yield batch.select(["a", "b"]).filter(pa.array(same))
 
 
+def _prefixes(row: np.ndarray, code: np.ndarray, count: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and shingles of the rarest part of each bag that similar bags cannot both lack.
+
+    Only shingles that several bags have are returned.
+    """
+    have = np.bincount(code)
+    order = np.lexsort((code, have[code], row))
+    row, code, count = row[order], code[order], count[order]
+    total = np.cumsum(count) - count
+    first = np.searchsorted(row, row)
+    spare = size[row] - np.ceil(SIMILAR * size[row] - 1e-9)
+    kept = (total - total[first] <= spare) & (have[code] > 1)
+    return row[kept], code[kept]
+
+
 def _linked_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
-    """One link from each row to each other component that it has a similar document in."""
+    """One link from each asking row to each other component that it has a similar document in."""
     row, shingle, count = bags(pa.array(cell["text"], pa.string()))
     _, code = np.unique(shingle, return_inverse=True)
     size = np.bincount(row, count, len(cell))
-    label, doc = cell["label"].to_numpy(), cell["doc_id"].to_numpy()
+    label, doc, asks = (cell[c].to_numpy() for c in ("label", "doc_id", "asks"))
     starts = np.searchsorted(row, np.arange(len(cell) + 1))
+    own_row, own_code = _prefixes(row, code, count, size)
+    by_code = np.argsort(own_code, kind="stable")
+    low, high = (np.searchsorted(own_code[by_code], own_code, side=s) for s in ("left", "right"))
+    bounds = np.searchsorted(own_row, np.arange(len(cell) + 1))
+    have = np.zeros(code.max(initial=0) + 1, np.int64)
     a, b = [], []
-    for i in np.flatnonzero(cell["asks"].to_numpy()):
+    for i in np.flatnonzero(asks & (np.diff(bounds) > 0)):
+        mine = slice(bounds[i], bounds[i + 1])
+        met = np.unique(own_row[take_runs(by_code, low[mine], high[mine] - low[mine])])
+        met = met[label[met] != label[i]]
+        if not len(met):
+            continue
         own = slice(starts[i], starts[i + 1])
-        have = np.zeros(code.max(initial=0) + 1, np.int64)
         have[code[own]] = count[own]
-        common = np.bincount(row, np.minimum(have[code], count), len(cell))
-        near = np.flatnonzero((common >= SIMILAR * (size[i] + size - common)) & (label != label[i]) & (common > 0))
+        lengths = starts[met + 1] - starts[met]
+        at = take_runs(np.arange(len(row)), starts[met], lengths)
+        part = np.minimum(have[code[at]], count[at])
+        common = np.bincount(np.repeat(np.arange(len(met)), lengths), part, len(met))
+        have[code[own]] = 0
+        near = met[common >= SIMILAR * (size[i] + size[met] - common)]
         near = near[np.unique(label[near], return_index=True)[1]]
         a += [doc[i]] * len(near)
         b += doc[near].tolist()
@@ -153,21 +185,21 @@ def _pairs_of_heads(members: DataFrame, buckets: DataFrame) -> DataFrame:
 def _links_in_mixed_buckets(members: DataFrame, buckets: DataFrame, labels: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """Links between different components of a bucket that its head does not show."""
     wide = members.join(buckets.where("n > 2"), "key").join(labels, members["doc_id"] == labels["node"], "left")
-    wide = stored(wide.select("key", "doc_id", "head", F.coalesce("label", "doc_id").alias("label")), folder)
+    wide = stored(wide.select("key", "doc_id", "head", F.coalesce("label", "doc_id").alias("label"), "size"), folder)
     heads = wide.where("doc_id = head").select("key", F.col("label").alias("head_label"))
     mixed_up = wide.groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"),
+        F.min("label").alias("low"), F.max("label").alias("high"), F.sum("size").alias("size"),
         F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members"),
     )
     # buckets of the same members are looked at once
-    mixed_up = mixed_up.where("low < high").groupBy("members", "n").agg(F.min("key").alias("key"))
+    mixed_up = mixed_up.where("low < high").groupBy("members", "size").agg(F.min("key").alias("key"))
     mixed_up = stored(mixed_up.join(heads, "key"), folder)
-    rows = wide.join(mixed_up, "key").withColumn("asks", F.col("label") != F.col("head_label"))
-    asking = rows.where("asks").groupBy("key").agg(F.count("*").alias("asking"))
+    rows = wide.join(mixed_up.withColumnRenamed("size", "bucket_size"), "key").withColumn("asks", F.col("label") != F.col("head_label"))
+    asking = rows.where("asks").groupBy("key").agg(F.sum("size").alias("asking"))
     asking = stored(asking, folder)
     rows = rows.join(asking, "key")
-    parts = F.ceil(F.col("n") / CELL_MEMBERS).cast("int")
-    blocks = F.ceil(F.col("asking") / CELL_ROWS).cast("int")
+    parts = F.ceil(F.col("bucket_size") / CELL_BYTES).cast("int")
+    blocks = F.ceil(F.col("asking") / CELL_BYTES).cast("int")
     rows = rows.select(
         "key", "doc_id", "label", "asks", parts.alias("parts"), blocks.alias("blocks"),
         F.pmod(F.xxhash64("doc_id", F.lit(1)), parts).cast("int").alias("own_part"),
@@ -201,11 +233,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = ["first_hash", "second_hash"]
     copies = used.groupBy(*same).agg(F.min("doc_id").alias("original"), F.max("doc_id").alias("last"))
     copies = stored(copies.where("original < last").drop("last"), folder)
-    banded = used.mapInArrow(_banded, "doc_id long, first_hash long, second_hash long, keys array<long>")
+    sized = used.withColumn("size", F.octet_length("text") + 1)
+    banded = sized.mapInArrow(_banded, "doc_id long, first_hash long, second_hash long, size int, keys array<long>")
     banded = banded.join(copies, same, "left").where("original is null or original = doc_id")
-    banded = stored(banded.select("doc_id", "keys").dropDuplicates(["doc_id", "keys"]), folder)
+    banded = stored(banded.select("doc_id", "size", "keys").dropDuplicates(["doc_id", "keys"]), folder)
 
-    members = banded.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    members = banded.select("doc_id", "size", F.posexplode("keys").alias("band", "key"))
     order = F.xxhash64("doc_id", F.col("band") % ORDERS)
     buckets = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), "doc_id")).alias("head"), F.count("*").alias("n"))
     buckets = stored(buckets.where("n > 1").select("key", F.col("head.doc_id").alias("head"), "n"), folder)
@@ -222,7 +255,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = stored(_links_in_mixed_buckets(members, buckets, labels, texts, folder), folder)
     same_text = used.join(copies, same).where("doc_id > original")
     same_text = same_text.select(F.col("original").alias("a"), F.col("doc_id").alias("b"))
-    links = stored(links.unionByName(more).unionByName(same_text).distinct(), folder)
+    found = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    links = stored(found.unionByName(more).unionByName(same_text), folder)
     release(spark)
     labels = components(links, folder)
     found = rows.select("doc_id").join(labels, rows["doc_id"] == labels["node"], "left")
