@@ -22,6 +22,7 @@ from criteria_engine.llm.tables import release, scratch, slices, stored
 RARE_DOCS = 100
 MIN_CHARS = 20
 KEY = ["doc_id", "text_hash"]
+ROWS_AT_ONCE = 256
 Line = tuple[int, int]  # hash and length
 
 
@@ -97,7 +98,7 @@ def common_blocks(a: list[Line], b: list[Line], min_chars: int = MIN_CHARS) -> l
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
         rows = [batch.column(c).to_pylist() for c in ("early", "early_sizes", "late", "late_sizes")]
         gone = [common_blocks(list(zip(a, n)), list(zip(b, m))) for a, n, b, m in zip(*rows)]
         keys = [batch.column(c) for c in KEY]
