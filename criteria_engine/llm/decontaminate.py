@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from criteria_engine.llm.tables import slices
 
 # Edits per character that a passage may differ by.
-ERRORS = 0.05
+ERRORS = 0.08
 # Characters of the items that one pass over the documents searches for.
 BLOCK_CHARS = 500_000
 MATCH = "array<struct<item_id: long, distance: int, start: long, end: long>>"
