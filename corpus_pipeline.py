@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from criteria_engine.llm import bagminhash, decontaminate, line_dedup, packing, toxicity
-from criteria_engine.llm.tables import scratch, stored, table
-from criteria_engine.session import ship_package
+from criteria_engine.llm.tables import prepare, scratch, stored, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects, by the threshold of their language, go."""
-    model = toxicity.fit(docs, table(ship_package(spark), sf_dir, "labels"))
+    model = toxicity.fit(docs, table(prepare(spark), sf_dir, "labels"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "lang")]
     scored = toxicity.score(docs, model, keep=tuple(rest)).where(~F.col("rejected"))
     return scored.select(*[F.col(f"kept_{c}").alias(c) if c in rest else F.col(c) for c in docs.columns])
@@ -19,6 +18,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has too go; so do documents of which nothing is left."""
+    prepare(spark)
     found = line_dedup.dedup_lines(docs)
     left = found.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
@@ -27,6 +27,7 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays."""
+    prepare(spark)
     found = bagminhash.near_duplicates(docs)
     others = found.where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
@@ -34,12 +35,13 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, within the edit budget, go."""
-    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_items(docs, table(prepare(spark), sf_dir, "benchmark"))
     return found.where(F.size("matches") == 0).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens, each a sequence of its own."""
+    prepare(spark)
     return packing.pack(docs)
 
 
@@ -53,7 +55,6 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     folder = scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from criteria_engine.llm import bagminhash, decontaminate, html_extract, language, line_dedup, packing, substring, token_files, topk, toxicity
-from criteria_engine.llm.tables import scratch, table
-from criteria_engine.session import ship_package
+from criteria_engine.llm.tables import prepare, scratch, table
 
 TOP = 5
 QUERY_STEP = 50
@@ -66,7 +65,7 @@ def op10_substring(spark, sf_dir):
 def _shipped(query):
     @wraps(query)
     def run(spark, sf_dir):
-        return query(ship_package(spark), sf_dir)
+        return query(prepare(spark), sf_dir)
 
     return run
 

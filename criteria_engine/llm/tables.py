@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -11,8 +12,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from criteria_engine.session import ship_package
 from criteria_engine.storage import shared_folder
 
+# Rows that travel to a Python worker at once, beside Spark's bound on their number.
+BATCH_BYTES = 6 << 20
 # Text that a Python worker unpacks at once; one longer text makes a slice of its own.
 SLICE_BYTES = 8 << 20
 
@@ -21,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Ship the package; bound the Arrow batches by bytes too, unless the session does."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 1))) >= 2**31 - 1:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return ship_package(spark)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     return shared_folder(spark)
@@ -81,8 +93,10 @@ def spans(counts: np.ndarray) -> np.ndarray:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are over.
 
-    It does so when the driver's JVM finds that their plans are garbage, which on a
-    small heap may be late.
+    It does so when the driver's JVM finds that their plans are garbage, which may be
+    late, and in the background.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
