@@ -177,27 +177,32 @@ def _linked_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def _pairs_of_heads(members: DataFrame, buckets: DataFrame) -> DataFrame:
-    pairs = members.join(buckets, "key").where("doc_id <> head")
+def _pairs_of_heads(placed: DataFrame) -> DataFrame:
+    pairs = placed.where("doc_id <> head")
     return pairs.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
 
 
-def _links_in_mixed_buckets(members: DataFrame, buckets: DataFrame, labels: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """Links between different components of a bucket that its head does not show."""
-    wide = members.join(buckets.where("n > 2"), "key").join(labels, members["doc_id"] == labels["node"], "left")
-    wide = stored(wide.select("key", "doc_id", "head", F.coalesce("label", "doc_id").alias("label"), "size"), folder)
-    heads = wide.where("doc_id = head").select("key", F.col("label").alias("head_label"))
+def _links_in_mixed_buckets(placed: DataFrame, labels: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """Links between different components of a bucket that its head does not show.
+
+    placed: key, doc_id, size, and the bucket's head and number of members n.
+    """
+    own = labels.select(F.col("node").alias("doc_id"), "label")
+    other = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
+    wide = placed.where("n > 2").join(own, "doc_id", "left").join(other, "head", "left")
+    label, head_label = F.coalesce("label", "doc_id"), F.coalesce("head_label", "head")
+    asks = (label != head_label).alias("asks")
+    wide = stored(wide.select("key", "doc_id", "size", label.alias("label"), asks), folder)
     mixed_up = wide.groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.sum("size").alias("size"),
+        F.min("label").alias("low"), F.max("label").alias("high"), F.sum("size").alias("bucket_size"),
+        F.sum(F.when(F.col("asks"), F.col("size"))).alias("asking"),
         F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members"),
     )
     # buckets of the same members are looked at once
-    mixed_up = mixed_up.where("low < high").groupBy("members", "size").agg(F.min("key").alias("key"))
-    mixed_up = stored(mixed_up.join(heads, "key"), folder)
-    rows = wide.join(mixed_up.withColumnRenamed("size", "bucket_size"), "key").withColumn("asks", F.col("label") != F.col("head_label"))
-    asking = rows.where("asks").groupBy("key").agg(F.sum("size").alias("asking"))
-    asking = stored(asking, folder)
-    rows = rows.join(asking, "key")
+    one = F.min(F.struct("key", "asking")).alias("one")
+    mixed_up = mixed_up.where("low < high").groupBy("members", "bucket_size").agg(one)
+    mixed_up = stored(mixed_up.select("one.*", "bucket_size"), folder)
+    rows = wide.join(mixed_up, "key")
     parts = F.ceil(F.col("bucket_size") / CELL_BYTES).cast("int")
     blocks = F.ceil(F.col("asking") / CELL_BYTES).cast("int")
     rows = rows.select(
@@ -242,8 +247,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     order = F.xxhash64("doc_id", F.col("band") % ORDERS)
     buckets = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), "doc_id")).alias("head"), F.count("*").alias("n"))
     buckets = stored(buckets.where("n > 1").select("key", F.col("head.doc_id").alias("head"), "n"), folder)
-    members = members.drop("band")
-    pairs = stored(_pairs_of_heads(members, buckets), folder)
+    placed = stored(members.drop("band").join(buckets, "key"), folder)
+    pairs = stored(_pairs_of_heads(placed), folder)
     release(spark)
 
     texts = used.select("doc_id", "text")
@@ -252,7 +257,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long").distinct(), folder)
     release(spark)
     labels = components(links, folder)
-    more = stored(_links_in_mixed_buckets(members, buckets, labels, texts, folder), folder)
+    more = stored(_links_in_mixed_buckets(placed, labels, texts, folder), folder)
     same_text = used.join(copies, same).where("doc_id > original")
     same_text = same_text.select(F.col("original").alias("a"), F.col("doc_id").alias("b"))
     found = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))

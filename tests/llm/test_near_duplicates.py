@@ -64,7 +64,7 @@ def test_links_that_no_head_shows(documents, monkeypatch):
     members = spark.createDataFrame([(i, 7, len(t)) for i, t in rows], "doc_id long, key long, size int")
     buckets = spark.createDataFrame([(7, 0, len(rows))], "key long, head long, n long")
     labels = spark.createDataFrame([], "node long, label long")
-    links = bagminhash._links_in_mixed_buckets(members, buckets, labels, table, scratch(spark)).collect()
+    links = bagminhash._links_in_mixed_buckets(members.join(buckets, "key"), labels, table, scratch(spark)).collect()
     parent = classes(rows)
     for r in links:
         assert parent[r.a] == parent[r.b]
