@@ -1,9 +1,7 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap where they share lines that few others have. A line counts as rare if
-at most RARE_DOCS documents have it; each document is paired with the earliest document
-that has one of its rare lines, and with the earliest that has its rarest shared line,
-however frequent that is, so that copies in large groups are paired too. A pair's lines are aligned by
+Each document is paired with the earliest document that has one of its lines, for every
+line that it shares, however many documents have that line. A pair's lines are aligned by
 patience diff; aligned common blocks of MIN_CHARS characters or more go from the later
 document. A document has as many pairs as it has shared lines at most, a line in n
 documents makes at most n pairs, and pairs carry hashes of lines, no texts.
@@ -19,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from criteria_engine.llm.tables import release, scratch, slices, stored
 
+# Does not bound anything: frequent lines make pairs like rare ones (tests set it to see that).
 RARE_DOCS = 100
 MIN_CHARS = 20
 KEY = ["doc_id", "text_hash"]
@@ -129,14 +128,10 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     lined = rows.select(*KEY, hashes, sizes)
     long_ones = F.array_distinct(F.filter(trimmed, lambda x: F.length(x) >= MIN_CHARS))
     lines = rows.select(*KEY, F.explode(F.transform(long_ones, lambda x: F.xxhash64(x))).alias("line"))
-    holders = lines.groupBy("line").agg(F.min("doc_id").alias("holder"), F.count("*").alias("n"))
-    holders = stored(holders.where("n > 1"), folder)
-
-    shared = lines.join(holders, "line").where("doc_id > holder")
-    rarest = F.min(F.struct("n", "line", "holder")).alias("rarest")
-    rare = F.collect_set(F.when(F.col("n") <= RARE_DOCS, F.col("holder"))).alias("rare")
-    partners = shared.groupBy(*KEY).agg(rarest, rare)
-    partners = partners.select(*KEY, F.explode(F.array_union("rare", F.array("rarest.holder"))).alias("holder"))
+    holders = lines.groupBy("line").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"))
+    holders = stored(holders.where("last > holder").drop("last"), folder)
+
+    partners = lines.join(holders, "line").where("doc_id > holder").select(*KEY, "holder").distinct()
     partners = stored(partners, folder)
     late = partners.join(lined.select(*KEY, F.col("hashes").alias("late"), F.col("sizes").alias("late_sizes")), KEY)
     early = lined.select(F.col("doc_id").alias("holder"), F.col("hashes").alias("early"), F.col("sizes").alias("early_sizes"))

@@ -50,6 +50,15 @@ def test_same_as_brute_force(documents, monkeypatch):
     assert line_dedup.dedup_lines(documents((1, "x")).limit(0)).count() == 0
 
 
+def test_frequent_lines_go_from_every_later_document(documents):
+    """Two passages in 120 documents each, of which some hold both and a rarer line too."""
+    rows = [(k, lines(1, 1000 + k)) for k in range(1, 121)] + [(k, lines(2, 1000 + k)) for k in range(201, 321)]
+    rows += [(400 + k, lines(1, 1000 + k, 2, 2000 + k, 3000 + k // 2)) for k in range(20)]
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(*rows)).collect()}
+    assert kept == brute(rows, len(rows))
+    assert not any(line(1) in t for i, t in kept.items() if i > 1) and not any(line(2) in t for i, t in kept.items() if i > 201)
+
+
 def test_rows_of_one_id_keep_their_lines(documents):
     found = line_dedup.dedup_lines(documents((1, lines(1, 2)), (1, lines(1, 3)), (1, lines(1, 2)), (2, lines(3))))
     assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in found.collect()) == [(1, 2, 0)] * 3 + [(2, 1, 1)]
