@@ -1,10 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Each document is paired with the earliest document that has one of its lines, for every
-line that it shares, however many documents have that line. A pair's lines are aligned by
-patience diff; aligned common blocks of MIN_CHARS characters or more go from the later
-document. A document has as many pairs as it has shared lines at most, a line in n
-documents makes at most n pairs, and pairs carry hashes of lines, no texts.
+A passage is a line of MIN_CHARS characters or more, or a run of shorter lines that reaches
+MIN_CHARS with its last line. Each document is paired with the earliest document that has
+one of its passages, for every passage that it shares, however many documents have it. A
+pair's lines are aligned by patience diff; aligned common blocks of MIN_CHARS characters
+or more go from the later document. A document has as many pairs as it has shared passages
+at most, a passage in n documents makes at most n pairs, and pairs carry hashes of lines,
+no texts.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,6 +25,7 @@ RARE_DOCS = 100
 MIN_CHARS = 20
 KEY = ["doc_id", "text_hash"]
 ROWS_AT_ONCE = 256
+BASE = 0x9E3779B97F4A7C15
 Line = tuple[int, int]  # hash and length
 
 
@@ -96,6 +100,39 @@ def common_blocks(a: list[Line], b: list[Line], min_chars: int = MIN_CHARS) -> l
     return out
 
 
+def passages(hashes: np.ndarray, sizes: np.ndarray, min_chars: int = MIN_CHARS) -> np.ndarray:
+    """Distinct keys of a document's passages; every common block of min_chars holds one.
+
+    A long line's key is its hash. From each shorter line that is not empty on, the shortest
+    run of lines that reaches min_chars is a key, unless a long line comes first.
+    """
+    hashes, sizes = hashes.astype(np.int64).view(np.uint64), sizes.astype(np.int64)
+    long_ones = sizes >= min_chars
+    first = np.flatnonzero((sizes > 0) & ~long_ones)
+    chars = np.concatenate([[0], np.cumsum(sizes)])
+    end = np.searchsorted(chars, chars[first] + min_chars)
+    reached = end <= len(sizes)
+    first, end = first[reached], end[reached]
+    before = np.concatenate([[0], np.cumsum(long_ones)])
+    short = before[end] == before[first]
+    first, end = first[short], end[short]
+    # hash of the lines before each place; of two, the difference is that of a run, but for its place
+    power, back = (np.cumprod(np.full(len(sizes), b, np.uint64)) for b in (BASE, pow(BASE, -1, 1 << 64)))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power)])
+    runs = (upto[end] - upto[first]) * back[first] + (end - first).astype(np.uint64)
+    return np.unique(np.concatenate([hashes[long_ones], runs]).view(np.int64))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
+        hashes, sizes = (batch.column(c) for c in ("hashes", "sizes"))
+        rows = [(hashes[k].values.to_numpy(), sizes[k].values.to_numpy()) for k in range(batch.num_rows)]
+        found = [passages(*row) for row in rows]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        keys = [batch.column(c).take(at) for c in KEY]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(found))], [*KEY, "line"])
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
         rows = [batch.column(c).to_pylist() for c in ("early", "early_sizes", "late", "late_sizes")]
@@ -126,8 +163,7 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     hashes = F.transform(trimmed, lambda x: F.xxhash64(x)).alias("hashes")
     sizes = F.transform(trimmed, lambda x: F.length(x)).alias("sizes")
     lined = rows.select(*KEY, hashes, sizes)
-    long_ones = F.array_distinct(F.filter(trimmed, lambda x: F.length(x) >= MIN_CHARS))
-    lines = rows.select(*KEY, F.explode(F.transform(long_ones, lambda x: F.xxhash64(x))).alias("line"))
+    lines = lined.mapInArrow(_keyed, "doc_id long, text_hash long, line long")
     holders = lines.groupBy("line").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"))
     holders = stored(holders.where("last > holder").drop("last"), folder)
 

@@ -1,3 +1,4 @@
+import numpy as np
 from hypothesis import given, strategies as st
 
 from criteria_engine.llm import line_dedup
@@ -59,6 +60,21 @@ def test_frequent_lines_go_from_every_later_document(documents):
     assert not any(line(1) in t for i, t in kept.items() if i > 1) and not any(line(2) in t for i, t in kept.items() if i > 201)
 
 
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14))
+def test_every_common_block_has_a_common_passage(a, b):
+    size, length = [0, 7, 12, 25], lambda xs: sum(size[x] for x in xs)
+    keys = [set(line_dedup.passages(np.array(xs, np.int64) * 7919 - 5, np.array([size[x] for x in xs], np.int32)).tolist()) for xs in (a, b)]
+    runs = [{tuple(xs[i:j]) for i in range(len(xs)) for j in range(i + 1, len(xs) + 1) if length(xs[i:j]) >= line_dedup.MIN_CHARS} for xs in (a, b)]
+    assert bool(runs[0] & runs[1]) == bool(keys[0] & keys[1])
+
+
+def test_blocks_of_short_lines_go(documents):
+    verse = "one two three\n\nfour five\nsix seven"
+    rows = [(1, lines(1) + "\n" + verse), (2, verse + "\n" + lines(2)), (3, "one two three\n" + lines(3)), (4, verse), (5, "six seven\n" + verse)]
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(*rows)).collect()}
+    assert kept == {1: rows[0][1], 2: lines(2), 3: rows[2][1], 4: "", 5: "six seven"}
+
+
 def test_rows_of_one_id_keep_their_lines(documents):
     found = line_dedup.dedup_lines(documents((1, lines(1, 2)), (1, lines(1, 3)), (1, lines(1, 2)), (2, lines(3))))
     assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in found.collect()) == [(1, 2, 0)] * 3 + [(2, 1, 1)]
