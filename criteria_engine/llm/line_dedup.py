@@ -25,6 +25,8 @@ RARE_DOCS = 100
 MIN_CHARS = 20
 KEY = ["doc_id", "text_hash"]
 ROWS_AT_ONCE = 256
+# Of a common subsequence's table, what is held at once: 4 MB.
+TABLE_BITS = 1 << 25
 BASE = 0x9E3779B97F4A7C15
 Line = tuple[int, int]  # hash and length
 
@@ -33,7 +35,8 @@ def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
     """Matched places in a and b, ascending.
 
     Equal lines at both ends match; of the rest, lines that both sides have exactly once
-    match along the longest ascending chain, and the gaps between are aligned likewise.
+    match along the longest ascending chain, and the gaps between are aligned likewise. A
+    gap without such lines is aligned by a longest common subsequence.
     """
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -55,6 +58,9 @@ def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
                 places[b[y]] = -1 if b[y] in places else y
         chain = _ascending([(once[line], y) for line, y in places.items() if y >= 0])
         if not chain:
+            both = set(a[i:i_end]) & set(b[j:j_end])
+            xs, ys = ([k for k in range(*r) if side[k] in both] for side, r in ((a, (i, i_end)), (b, (j, j_end))))
+            out += [(xs[k], ys[m]) for k, m in longest_common([a[k] for k in xs], [b[m] for m in ys])]
             continue
         x, y = i, j
         for place in [*chain, (i_end, j_end)]:
@@ -64,6 +70,60 @@ def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _lengths(a: list[Line], b: list[Line]) -> Iterator[int]:
+    """After each line of a, bits of b: up to each place, unset ones count the common subsequence."""
+    at: dict[Line, list[int]] = {}
+    for y, line in enumerate(b):
+        at.setdefault(line, []).append(y)
+    # kept for repeated lines only: a row of bits for each line would be too much
+    bits = {line: sum(1 << y for y in places) for line, places in at.items() if len(places) > 16}
+    full = (1 << len(b)) - 1
+    row = full
+    for line in a:
+        same = row & (bits[line] if line in bits else sum(1 << y for y in at.get(line, ())))
+        row = (row + same | row - same) & full
+        yield row
+
+
+def _prefix_lengths(a: list[Line], b: list[Line]) -> np.ndarray:
+    """Longest common subsequence of a with each start of b, the empty one first."""
+    row = (1 << len(b)) - 1
+    for row in _lengths(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits[: len(b)].astype(np.int64))])
+
+
+def longest_common(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, ascending.
+
+    Bits of a table row stand for b (Hyyrö); where the table would be large, a is halved
+    and b is cut where the halves have most in common (Hirschberg).
+    """
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, i_end, j, j_end = todo.pop()
+        if i == i_end or j == j_end:
+            continue
+        if (i_end - i) * (j_end - j) > TABLE_BITS and i_end - i > 1:
+            mid = (i + i_end) // 2
+            behind = _prefix_lengths(a[mid:i_end][::-1], b[j:j_end][::-1])[::-1]
+            cut = j + int((_prefix_lengths(a[i:mid], b[j:j_end]) + behind).argmax())
+            todo += [(i, mid, j, cut), (mid, i_end, cut, j_end)]
+            continue
+        rows = [(1 << (j_end - j)) - 1, *_lengths(a[i:i_end], b[j:j_end])]
+        x, y = i_end, j_end
+        while x > i and y > j:
+            if a[x - 1] == b[y - 1]:
+                x, y = x - 1, y - 1
+                out.append((x, y))
+            elif rows[x - i] >> (y - 1 - j) & 1:
+                y -= 1  # the last line of b adds nothing
+            else:
+                x -= 1
+    return sorted(out)
+
+
 def _ascending(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest chain of places that ascends on both sides."""
     places.sort(key=lambda p: p[1])

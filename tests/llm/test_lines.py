@@ -1,5 +1,6 @@
 import numpy as np
 from hypothesis import given, strategies as st
+from pytest import MonkeyPatch
 
 from criteria_engine.llm import line_dedup
 from llm.llm_helpers import prose
@@ -75,6 +76,26 @@ def test_blocks_of_short_lines_go(documents):
     assert kept == {1: rows[0][1], 2: lines(2), 3: rows[2][1], 4: "", 5: "six seven"}
 
 
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14), st.sampled_from([8, 1 << 25]))
+def test_longest_common_subsequence(a, b, bits):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    with MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "TABLE_BITS", bits)
+        found = line_dedup.longest_common(a, b)
+    assert all(a[i] == b[j] for i, j in found) and len(found) == best[-1][-1]
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+
+
+def test_gaps_without_unique_lines_are_aligned():
+    a, b = ([(x, 30) for x in xs] for xs in ([1, 5, 6, 2], [3, 5, 6, 7, 5, 6, 4]))
+    assert line_dedup.common_blocks(a, b) == [4, 5]
+    many = [(k % 7, 30) for k in range(6000)]
+    assert len(line_dedup.patience([(98, 30), *many, (99, 30)], [(97, 30), *many, (96, 30)])) == 6000
+
+
 def test_rows_of_one_id_keep_their_lines(documents):
     found = line_dedup.dedup_lines(documents((1, lines(1, 2)), (1, lines(1, 3)), (1, lines(1, 2)), (2, lines(3))))
     assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in found.collect()) == [(1, 2, 0)] * 3 + [(2, 1, 1)]
