@@ -4,8 +4,12 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 import corpus_pipeline
-from criteria_engine.llm import bagminhash, decontaminate, html_extract, language, line_dedup, packing, substring, token_files, topk, toxicity
+from criteria_engine.llm import (
+    bagminhash, decontaminate, html_extract, language, license_scan, line_dedup, merkle, packing, substring, token_files, token_links, topk, toxicity,
+)
 from criteria_engine.llm.tables import prepare, scratch, table
 
 TOP = 5
@@ -62,6 +66,26 @@ def op10_substring(spark, sf_dir):
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    changed = {"text": merkle.tampered(F.col("text"), F.col("doc_id"))}
+    found = merkle.manifest(docs, tampered=merkle.leaf([changed.get(c, F.col(c)) for c in merkle.COLUMNS]))
+    siblings = F.concat_ws("", F.transform("proof", lambda step: step["siblings"]))
+    return merkle.folded(found, "tampered").select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_token_links(spark, sf_dir):
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_links.link_tokens(table(spark, sf_dir, "documents"), *paths)
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark, sf_dir):
@@ -74,10 +98,12 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (
         op1_line_dedup, op2_toxicity, op3_html, op4_decontamination, op5_bagminhash, op6_packing, op7_exact_topk, op8_token_files, op9_language, op10_substring,
+        op11_license_scan, op12_merkle_manifest, op13_token_links,
     )
 } | {"pipeline": _shipped(corpus_pipeline.run)}
 
 ORACLES = {
+    "op11_license_scan": license_scan.oracle(),
     "op7_exact_topk": f"""
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,12 +22,13 @@ KEPT_WORDS = 1_000_000
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str):
+def tokenizer(path: str, special_as_text: bool = False):
+    """The library's tokenizer; it finds special tokens in a text by their strings unless told otherwise."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True  # their strings in a text are ordinary text
+    loaded.encode_special_tokens = special_as_text
     return loaded
 
 
@@ -50,11 +52,14 @@ class Encoder:
     letter, always begin a new piece of the pre-tokenizers used here. So texts are cut
     there, each distinct word (with the blank before it, where the vocabulary keeps it:
     `lead`) is encoded once and numpy repeats its ids. Words are remembered between
-    batches, up to KEPT_WORDS of them.
+    batches, up to KEPT_WORDS of them. Strings of the file's added tokens become their ids.
     """
 
     def __init__(self, path: str, lead: bool):
         self.tokenizer, self.lead = tokenizer(path), lead
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # such strings become one id wherever they stand, so their texts are encoded whole
+        self.whole = "|".join([IRREGULAR, *(f"(?i:{content})" for content in added)])
         self.forget()
 
     def forget(self) -> None:
@@ -82,7 +87,7 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and offsets of the texts (null: no ids)."""
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(whole), "", texts)
         if not self.lead:
             plain = pc.ascii_lower(plain)  # as the normalizer does
