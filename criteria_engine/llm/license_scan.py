@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 GRAM = 3
 # Diagonals further apart than this are different spans.
-DRIFT = 3
+DRIFT = 8
 # Parts of a template's words, and of a span's words, that must have met.
 MIN_COVER, MIN_DENSITY = 0.8, 0.5
 # Templates of more characters are not broadcast.

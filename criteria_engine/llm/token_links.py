@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from hashlib import sha256
+from itertools import accumulate
 from uuid import uuid4
 
 import numpy as np
@@ -36,6 +37,8 @@ from criteria_engine.llm.token_ids import GLUE, IRREGULAR, take_runs, tokenizer
 CHUNK_BYTES = 4 << 20
 # Words that a worker remembers.
 KEPT_WORDS = 500_000
+# Of a unit: whether both vocabularies give its bytes, tokens of A, tokens of B, groups, links.
+NUMBERS = 5
 # Texts that are aligned whole, beside those of IRREGULAR: the mark that stands for a blank in B's
 # pieces, NUL and the mark that GLUE uses.
 WHOLE = IRREGULAR + "|▁|\x00"
@@ -73,8 +76,29 @@ def byte_table() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Column:
+    """Numbers that grow at the end, in one array."""
+
+    def __init__(self):
+        self.held, self.n = np.empty(1 << 12, np.int64), 0
+
+    def extend(self, values: Sequence[int]) -> None:
+        end = self.n + len(values)
+        if end > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.empty(end, np.int64)])
+        self.held[self.n : end] = values
+        self.n = end
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Aligner:
-    """Tokens, groups and links of texts under both vocabularies."""
+    """Tokens, groups and links of texts under both vocabularies.
+
+    A unit is a word or a whole text. Of unit u, `numbers` has the NUMBERS from NUMBERS * u on,
+    `texts` the groups in figures, and `pairs` and `times` its links from starts[u] to starts[u + 1].
+    """
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
@@ -89,77 +113,84 @@ class Aligner:
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.shown = [str(i) for i in range(1 + max(len(pieces), *self.a_bytes))]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.numbers: list[tuple[int, int, int, int, int]] = []  # fits, n_a, n_b, n_groups, n_links
         self.texts: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-        self.packed = None
+        self.numbers, self.pairs, self.times, self.starts = Column(), Column(), Column(), Column()
+        self.starts.extend([0])
 
-    def align(self, a_ids: Sequence[int], b_ids: Sequence[int], expected: bytes) -> tuple[int, list[tuple]] | None:
+    def cut_back(self, units: int) -> None:
+        """Forget the units behind the first ones."""
+        del self.texts[units:]
+        self.numbers.n, self.starts.n = NUMBERS * units, units + 1
+        self.pairs.n = self.times.n = int(self.starts.all()[-1])
+
+    def align(self, a_ids: Sequence[int], b_ids: Sequence[int], expected: bytes) -> list[tuple] | None:
         """The groups as (ids of A, ids of B), or None if the tokens' bytes are not those expected."""
         a_parts, b_parts = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
         if b"".join(a_parts) != expected or b"".join(b_parts) != expected:
             return None
-        a_ends, b_ends = (np.cumsum([len(x) for x in parts]).tolist() for parts in (a_parts, b_parts))
         out, i, j = [], 0, 0
-        for i_end, j_end in groups(a_ends, b_ends):
+        for i_end, j_end in groups(list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts)))):
             out.append((a_ids[i:i_end], b_ids[j:j_end]))
             i, j = i_end, j_end
         return out
 
-    def _keep(self, name: str, a_ids: list[int], b_ids: list[int], expected: bytes) -> None:
-        found = self.align(a_ids, b_ids, expected)
-        links: Counter = Counter()
-        for left, right in found or ():
-            if len(left) == 1 and len(right) == 1:
-                links[left[0] << 32 | right[0]] += 1
-                continue
-            times = Counter(right)
-            for a, n in Counter(left).items():
-                for b, m in times.items():
-                    links[a << 32 | b] += n * m
-        shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found or ())
-        n_links = sum(links.values())
-        self.known[name] = len(self.known)
-        self.numbers.append((found is not None, len(a_ids), len(b_ids), len(found or ()), n_links))
-        self.texts.append(shown)
-        self.pairs.append(np.fromiter(links, np.int64, len(links)))
-        self.times.append(np.fromiter(links.values(), np.int64, len(links)))
+    def _keep(self, units: Iterator[tuple[list[int], list[int], bytes]]) -> None:
+        """Align (ids of A, ids of B, bytes) and remember the results as the next units."""
+        numbers, pairs, times, starts = [], [], [], []
+        shown, before = self.shown.__getitem__, self.pairs.n
+        for a_ids, b_ids, expected in units:
+            found = self.align(a_ids, b_ids, expected)
+            links: dict[int, int] = {}
+            figures = []
+            for left, right in found or ():
+                if len(left) == 1 and len(right) == 1:
+                    link = left[0] << 32 | right[0]
+                    links[link] = links.get(link, 0) + 1
+                    figures.append(f"{left[0]}|{right[0]}")
+                    continue
+                for a, n in Counter(left).items():
+                    for b, m in Counter(right).items():
+                        links[a << 32 | b] = links.get(a << 32 | b, 0) + n * m
+                figures.append(f"{','.join(map(shown, left))}|{','.join(map(shown, right))}")
+            numbers += (found is not None, len(a_ids), len(b_ids), len(figures), sum(links.values()))
+            self.texts.append(";".join(figures))
+            pairs += links
+            times += links.values()
+            starts.append(before + len(pairs))
+        for column, values in ((self.numbers, numbers), (self.pairs, pairs), (self.times, times), (self.starts, starts)):
+            column.extend(values)
 
     def _learn(self, names: list[str]) -> None:
         new = [w for w in names if w not in self.known]
         if not new:
             return
-        self.packed = None
         glued = [w[:1] == GLUE for w in new]
         plain = [w[1:] if g else " " + w for w, g in zip(new, glued)]
         coded = self.a.encode(plain, is_pretokenized=True, add_special_tokens=False)
-        ends = np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(new) + 1))
+        ends = np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(new) + 1)).tolist()
         ids = coded.ids
         # B puts a blank before every text; behind a line break there is none, and its two tokens are dropped
-        b_rows = self.b.encode(["\n" + w[1:].removeprefix("\n") if g else w for w, g in zip(new, glued)], num_threads=1)
-        for k, name in enumerate(new):
-            row = b_rows[k]
-            if glued[k]:
-                row = row[1:] if plain[k][:1] == "\n" else row[2:]
-            self._keep(name, ids[ends[k] : ends[k + 1]], row, plain[k].encode())
-
-    def _whole(self, texts: list[str]) -> list[int]:
-        """Units of texts that are aligned whole, kept for this batch only."""
-        b_rows = self.b.encode(texts, num_threads=1)
+        rows = self.b.encode(["\n" + w[1:].removeprefix("\n") if g else w for w, g in zip(new, glued)], num_threads=1)
+        first = [0 if not g else 1 if text == "\n" else 2 for g, text in zip(glued, plain)]
+        self.known.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
+        self._keep((ids[ends[k] : ends[k + 1]], rows[k][first[k] :], plain[k].encode()) for k in range(len(new)))
+
+    def _whole(self, texts: list[str]) -> range:
+        """Units of texts that are aligned whole; they go with `cut_back`."""
+        first = len(self.texts)
         a_rows = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        at = []
-        for text, a_row, b_row in zip(texts, a_rows, b_rows):
-            at.append(len(self.numbers))
-            self._keep(f"{GLUE}{GLUE}{len(self.numbers)}", a_row.ids, b_row, (" " + text).encode())
-        return at
+        rows = self.b.encode(texts, num_threads=1)
+        self._keep((a.ids, b, (" " + text).encode()) for text, a, b in zip(texts, a_rows, rows))
+        return range(first, len(self.texts))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Units (words or whole texts) of all texts in one array, and offsets of the texts."""
+        """Units of all texts in one array, and offsets of the texts."""
+        self.cut_back(len(self.known))
         if len(self.known) > KEPT_WORDS:
             self.forget()
         texts = pc.fill_null(texts, "")
@@ -181,19 +212,8 @@ class Aligner:
             starts = np.cumsum(counts) - counts
             units = np.insert(units, starts[rows], held)
             counts[rows] = 1
-            self.packed = None
         return units, np.concatenate([[0], np.cumsum(counts)])
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all units: numbers, pairs and their times in one array, offsets."""
-        if self.packed is None:
-            sizes = np.fromiter(map(len, self.pairs), np.int64, len(self.pairs))
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            none = [np.empty(0, np.int64)]
-            numbers = np.array(self.numbers, np.int64).reshape(-1, 5)
-            self.packed = numbers, np.concatenate(self.pairs or none), np.concatenate(self.times or none), offsets
-        return self.packed
-
 
 @lru_cache(maxsize=1)
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -227,8 +247,8 @@ CHUNK_DDL = (
 def chunk_row(align: Aligner, doc_ids: pa.Array, texts: pa.Array) -> dict:
     """A chunk's documents and their links, as numpy bytes over the chunk's distinct pairs."""
     units, offsets = align(texts)
-    numbers, pairs, times, starts = align.arrays()
-    sums = _sums(numbers[units], offsets)
+    starts = align.starts.all()
+    sums = _sums(align.numbers.all().reshape(-1, NUMBERS)[units], offsets)
     n_units = np.diff(offsets)
     # a document whose bytes differ in one unit has no tokens, like one without text
     good = (sums[:, 0] == n_units) & (n_units > 0)
@@ -241,11 +261,12 @@ def chunk_row(align: Aligner, doc_ids: pa.Array, texts: pa.Array) -> dict:
     doc = np.repeat(np.arange(len(good)), n_units)
     keep = good[doc]
     # each unit once per document, then each pair once per document
-    held, n_held = np.unique(doc[keep] * len(numbers) + units[keep], return_counts=True)
-    doc, unit = held // max(len(numbers), 1), held % max(len(numbers), 1)
+    n = max(len(align.texts), 1)
+    held, n_held = np.unique(doc[keep] * n + units[keep], return_counts=True)
+    doc, unit = held // n, held % n
     sizes = starts[unit + 1] - starts[unit]
-    pair = take_runs(pairs, starts[unit], sizes)
-    weight = take_runs(times, starts[unit], sizes) * np.repeat(n_held, sizes)
+    pair = take_runs(align.pairs.all(), starts[unit], sizes)
+    weight = take_runs(align.times.all(), starts[unit], sizes) * np.repeat(n_held, sizes)
     doc = np.repeat(doc, sizes)
     distinct, place = np.unique(pair, return_inverse=True)
     by_doc = doc * max(len(distinct), 1) + place

@@ -1,0 +1,128 @@
+"""Merkle manifest against trees that are built level by level from whole lists."""
+
+import zlib
+from hashlib import sha256
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from criteria_engine.llm import merkle
+from criteria_engine.llm.queries import QUERIES
+from llm.llm_helpers import prose
+
+
+def h(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def leaf(row):
+    return h(*(field(row[c]) for c in merkle.COLUMNS))
+
+
+def tree(digests):
+    """The root of a list, and per leaf its proof: (place, digests of the others) by level."""
+    proofs, at = [[] for _ in digests], list(range(len(digests)))
+    while len(digests) > 1:
+        runs = [digests[i : i + 16] for i in range(0, len(digests), 16)]
+        for proof, i in zip(proofs, at):
+            proof.append((i % 16, [d for k, d in enumerate(runs[i // 16]) if k != i % 16]))
+        at = [i // 16 for i in at]
+        digests = [h(*run) for run in runs]
+    return digests[0], proofs
+
+
+def fold(start, proof):
+    for place, others in proof:
+        start = h(*others[:place], start, *others[place:])
+    return start
+
+
+def brute(rows):
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of all rows."""
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    trees, out = [], []
+    for source in sources:
+        own = [r for r in rows if r["source"] == source]
+        own.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, leaf(r)))
+        trees.append((own, *tree([leaf(r) for r in own])))
+    root, tops = tree([t[1] for t in trees]) if trees else (None, [])
+    for (own, subroot, proofs), top in zip(trees, tops):
+        for r, proof in zip(own, proofs):
+            whole, changed = proof + top, dict(r)
+            if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["text"] is not None:
+                changed["text"] = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"])
+            folded = fold(leaf(changed), whole)
+            out.append((r["doc_id"], leaf(r), subroot, root, h(*(d for _, x in whole for d in x)), folded, folded == root))
+    return sorted(out, key=str)
+
+
+def query(spark, folder):
+    found = QUERIES["op12_merkle_manifest"](spark, str(folder))
+    assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    return sorted(map(tuple, found.collect()), key=str)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def saved(spark, rows, folder):
+    data = [tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in rows]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def row(doc_id, source, text="Text A", lang="en", n_chars=6):
+    return {"doc_id": doc_id, "source": source, "lang": lang, "n_chars": n_chars, "text": text}
+
+
+def test_odd_rows(spark, tmp_path):
+    rows = [
+        row(3, "b"), row(3, "b"), row(3, "b", "Other"), row(None, "b"), row(None, None, None, None, None), row(5, None, ""),
+        row(-7, "é", "Äé 中 X"), row(12, "", prose(1, 5000)), row(2**62, "z"), row(10, "Z"), row(15, "b", None),
+    ]
+    assert query(spark, saved(spark, rows, tmp_path)) == brute(rows)
+
+
+@pytest.mark.parametrize("sizes", [[1], [16], [17], [256], [257], [4097, 1, 16], [300] + [1] * 20, [273, 5, 1]])
+def test_trees_of_many_shapes(spark, tmp_path, sizes):
+    rows = [row(i, f"s{k:02}", f"Text {k} {i}") for k, n in enumerate(sizes) for i in range(n)]
+    found = query(spark, saved(spark, rows, tmp_path))
+    assert found == brute(rows)
+    assert {r[-1] for r in found if zlib.crc32(str(r[0]).encode()) % 5} <= {True}
+
+
+def test_whole_table(spark):
+    rows = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    found = query(spark, "/root/testdata/sf0.01")
+    assert found == brute(rows)
+    assert {r[-1] for r in found} == {True, False}
+
+
+def test_empty_table_and_other_columns(spark, tmp_path):
+    assert query(spark, saved(spark, [], tmp_path)) == []
+    docs = spark.createDataFrame([(1, "x", 9, 9, "n")], "doc_id long, text string, place long, tree long, more_a string")
+    found = merkle.manifest(docs, a=F.lit("y")).first()
+    assert found.root == found.subroot == found.leaf == leaf(row(1, None, "x", None, None))
+    assert found.proof == [] and found.a == "y"
+
+
+@settings(max_examples=60, deadline=None)
+@given(n=st.integers(1, 256), first=st.integers(0, 40))
+def test_sweeps_of_a_block(n, first):
+    digests = [h(str(i)) for i in range(n)]
+    root, proofs = tree(digests)
+    levels = merkle.sweep(first * 256 if n > 16 else 0, digests, merkle.depth(n))
+    assert list(levels[-1].values()) == [[root]]
+    got = dict(merkle.reversed_sweep(first * 256 if n > 16 else 0, levels, [(3, "above")]))
+    assert [got[k] for k in sorted(got)] == [[*((p, "".join(x)) for p, x in proof), (3, "above")] for proof in proofs]
+    assert list(got) == sorted(got, reverse=True)
+
+
+def test_order_of_sources_by_bytes(spark, tmp_path):
+    rows = [row(1, s) for s in ("\U0001f600", "～", "a", "B", None, "")]
+    assert query(spark, saved(spark, rows, tmp_path)) == brute(rows)

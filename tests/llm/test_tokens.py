@@ -19,15 +19,15 @@ from llm.llm_helpers import prose
 FILES = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
 ODD = [
     "", None, " lead", "trail ", "a  b", "x\n y", "tab\tz", "don't stop. It's 3.5, I'LL\nGo..on", "<|endoftext|> a",
+    "see <|endoftext|> here", "x<|startoftext|>y\nz", "<|ENDOFTEXT|> a <|StartOfText|>", "<|endoftext|><|endoftext|>", "<|end of text|>",
     "é ́a", "one\x01two", "中文 字,", "a b", "line\n\nline", prose(1, 3000),
 ]
 
 
 @cache
 def coder(name):
-    loaded = Tokenizer.from_file(public_tokenizers.path(name))
-    loaded.encode_special_tokens = True
-    return loaded
+    """As the library loads it."""
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @cache
