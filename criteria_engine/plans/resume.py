@@ -9,12 +9,8 @@ from criteria_engine.fixed_values import MAX_TRIES, MODELS
 from criteria_engine.operators.keyed import SLOT, answered_keys, pending_heads
 from criteria_engine.operators.models import model_id
 from criteria_engine.operators.scoring import Scorer, score, score_in_order
-from criteria_engine.sources.attempts import (
-    append_attempts,
-    attempt_number,
-    next_run,
-    read_attempts,
-)
+from criteria_engine.sources.attempts import append_attempts, attempt_number, read_attempts
+from criteria_engine.sources.segments import MERGE_RUNS, compact, last_run, read_runs, stored_runs, stored_tries
 from criteria_engine.storage import discard, shared_folder, store
 
 # Rows of one key in the first chunk behind its head, and how often chunks double.
@@ -34,6 +30,9 @@ def run_models(
     tasks: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
     max_tries: int = MAX_TRIES,
+    merge_runs: int = MERGE_RUNS,
+    run_no: int | None = None,
+    folder: str | None = None,
 ) -> int:
     """One run over numbered annotations (`seq`, `key_hash`); returns its run number.
 
@@ -49,17 +48,27 @@ def run_models(
     chunk 0 and once for all later chunks.
 
     `tasks` sets the number of scoring tasks, and so how many calls are in flight at
-    most; by default it follows the number of rows to ask.
+    most; by default it follows the number of rows to ask. Where the log has `merge_runs`
+    runs that are not merged, they are merged first.
+
+    `run_no` starts that run again, which must be the log's last: what it has answered stays,
+    and the rest is asked as if for the first time. `folder` is where the run's steps are stored.
     """
     spark = rows.sparkSession
     if spark.conf.get("spark.speculation", "false") == "true":
         warnings.warn("spark.speculation is on: copies of slow tasks repeat their calls")
-    folder = shared_folder(spark)
-    run_no = next_run(read_attempts(spark, log_path))
-    save = partial(_save, run_no=run_no, log_path=log_path)
+    folder = folder or shared_folder(spark)
+    last = last_run(spark, log_path)
+    if run_no is not None and run_no < last:
+        raise ValueError(f"run {last} came after run {run_no}")
+    if run_no is None or run_no > last:
+        compact(spark, log_path, merge_runs)
+    run_no = last + 1 if run_no is None else run_no
+    tries = stored_tries(spark, log_path, run_no)
+    save = partial(_save, run_no=run_no, log_path=log_path, try_no=max(tries, default=-1) + 1)
 
     try:
-        _ask_open_keys(rows, read_attempts(spark, log_path), run_no, folder, scorer, models, save, log_path, tasks, chunk_rows, max_tries)
+        _ask_open_keys(rows, read_attempts(spark, log_path, rows), run_no, folder, scorer, models, save, log_path, tasks, chunk_rows, max_tries)
     finally:
         discard(spark, folder)
     return run_no
@@ -116,17 +125,19 @@ def _tasks(spark: SparkSession, calls: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-calls // TASK_ROWS))
 
 
-def _save(answers: DataFrame, run_no: int, log_path: str) -> None:
+def _save(answers: DataFrame, run_no: int, log_path: str, try_no: int) -> None:
     append_attempts(
         answers.withColumns(
             {"run_no": F.lit(run_no), "attempt_no": attempt_number(run_no)}
         ),
         log_path,
+        try_no,
     )
 
 
 def _this_run(spark: SparkSession, log_path: str, run_no: int) -> DataFrame:
-    return read_attempts(spark, log_path).where(F.col("run_no") == run_no)
+    """What the run has asked so far, read from its own folder."""
+    return read_runs(spark, log_path, [n for n in stored_runs(spark, log_path) if n == run_no])
 
 
 def _head_rows(rows: DataFrame, heads: DataFrame, tasks: int, models) -> DataFrame:

@@ -5,30 +5,34 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from criteria_engine.functions.responses import answer_is_valid, parse_prediction
 from criteria_engine.functions.text import key_hash
 from criteria_engine.schemas import ATTEMPTS, KEY, SEQ_BITS
-from criteria_engine.storage import exists, shared_folder, store
+from criteria_engine.sources.segments import read_log
+from criteria_engine.storage import shared_folder, store
 
 
-def read_attempts(spark: SparkSession, path: str) -> DataFrame:
-    """The log, or an empty table with its columns if there is none yet."""
-    if exists(spark, path):
-        log = spark.read.schema(ATTEMPTS).parquet(path)
-    else:
+def read_attempts(spark: SparkSession, path: str, near: DataFrame | None = None) -> DataFrame:
+    """The log, or an empty table with its columns if there is none yet.
+
+    Merged runs have one row per (model, key), their current result; later ones have all
+    attempts. With `near`, only what may concern the keys of its rows is sure to be there.
+    """
+    log = read_log(spark, path, near)
+    if log is None:
         # a filter that never holds is planned away, and joins with it too
         none = [F.lit(None).cast(field.dataType).alias(field.name) for field in ATTEMPTS]
         log = spark.range(1).where(F.lit(False)).select(*none)
     return log.select(*ATTEMPTS.names)
 
 
-def append_attempts(attempts: DataFrame, path: str) -> None:
-    """Add answers to the log, one folder per model; nothing stored is rewritten.
+def append_attempts(attempts: DataFrame, path: str, try_no: int = 0) -> None:
+    """Add answers to the log, one folder per run, start of the run, and model; nothing stored is rewritten.
 
     A task's answers are in the log as soon as the task ends, so they outlive a job
     that breaks later.
     """
     marked = attempts.withColumn("answered", answer_is_valid())
-    marked.select(*ATTEMPTS.names).write.mode("append").option(
+    marked.select(*ATTEMPTS.names, F.lit(try_no).alias("try_no")).write.mode("append").option(
         "mapreduce.fileoutputcommitter.algorithm.version", "2"
-    ).partitionBy("model").parquet(path)
+    ).partitionBy("run_no", "try_no", "model").parquet(f"{path}/runs")
 
 
 def attempt_number(run_no, seq="seq"):

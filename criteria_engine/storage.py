@@ -1,10 +1,12 @@
 """Tables a run stores between its steps, in the cluster's shared folder."""
 
+import json
 from tempfile import mkdtemp
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the checkpoint directory that all executors reach."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,12 +28,49 @@ def store(table: DataFrame, path: str, by=(), **measured: Column) -> tuple[DataF
     return table.sparkSession.read.schema(table.schema).parquet(path), seen.get
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Remove a folder of steps that are over."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    place, files = _place(spark, folder)
+    files.delete(place, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds; nothing if there is none."""
+    place, files = _place(spark, folder)
+    return sorted(found.getPath().getName() for found in files.listStatus(place)) if files.exists(place) else []
+
+
+def read_record(spark: SparkSession, path: str) -> dict | None:
+    """A small JSON file, or None."""
+    place, files = _place(spark, path)
+    if not files.exists(place):
+        return None
+    source = files.open(place)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    finally:
+        source.close()
+
+
+def write_record(spark: SparkSession, path: str, record: dict) -> None:
+    """A small JSON file that is there as a whole or not at all; it must not exist yet."""
+    place, files = _place(spark, path)
+    draft, _ = _place(spark, f"{path}.{uuid4().hex}.draft")
+    out = files.create(draft)
+    try:
+        out.write(json.dumps(record).encode())
+    finally:
+        out.close()
+    if files.exists(place) or not files.rename(draft, place):
+        files.delete(draft, False)
+        raise FileExistsError(f"another writer wrote {path}")
