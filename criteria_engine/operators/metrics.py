@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from criteria_engine.fixed_values import MODELS
 from criteria_engine.functions.responses import is_valid
+from criteria_engine.functions.rounding import round_exact
 from criteria_engine.operators.models import registry_table
 
 RATIOS = ("accuracy", "precision", "recall", "f1")
+# Decimal places of the ratios in output.
+PLACES = 4
 
 
 def _ratio(part, whole):
@@ -68,6 +71,11 @@ def classification_metrics(
     return ratios.withColumn("f1", _ratio(2 * precision * recall, precision + recall))
 
 
+def rounded_metrics(metrics: DataFrame) -> DataFrame:
+    """The same rows with their ratios rounded to PLACES, for output."""
+    return metrics.withColumns({name: round_exact(F.col(name), PLACES) for name in RATIOS})
+
+
 def compare_models(results: DataFrame, registry=MODELS, predicted="prediction") -> DataFrame:
     """total, valid (prediction is 0 or 1), correct and accuracy for every registered model.
 

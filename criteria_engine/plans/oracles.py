@@ -180,6 +180,16 @@ from resp group by model
 """
 _RUN = ", ".join(_text(m) for m, _ in RUN_MODELS)
 
+def _rounded(name: str) -> str:
+    """A ratio's exact binary value, in 2^-68, to four places; halves go to the even digit."""
+    whole = f"floor({name} * 4294967296)"
+    exact = f"({whole}::hugeint * 68719476736 + floor(({name} * 4294967296 - {whole}) * 68719476736)::hugeint) * 10000"
+    one = "295147905179352825856"
+    units, rest = f"(({exact}) // {one})", f"(({exact}) % {one})"
+    up = f"case when 2 * {rest} > {one} or (2 * {rest} = {one} and {units} % 2 = 1) then 1 else 0 end"
+    return f"({units} + {up})::double / 10000 as {name}"
+
+
 _SELECT = {
     "q_load_annotations": f"select {_FIELDS} from loaded",
     "q_drop_blank": "select seq, line from stripped",
@@ -269,6 +279,8 @@ _SELECT = {
     "q_confusion_matrix": f"select model, {_CELLS} from resp group by model",
     "q_response_counts": f"select model, {_COUNTS} from resp group by model",
     "q_classification_metrics": _METRICS,
+    "q_rounded_metrics": f"""select model, {", ".join(map(_rounded, ("accuracy", "precision", "recall", "f1")))}
+        from ({_METRICS})""",
     "q_compare_models": f"""select ord, model, total, valid, correct,
           case when total is not null then coalesce(correct::double / nullif(valid, 0), 0) end
             as accuracy
@@ -340,4 +352,7 @@ _SELECT = {
         from ({_current("select * from prior")})""",
 }
 
+# merging the log changes no current result
+_SELECT["q_resume_compacted"] = _SELECT["q_resume_twice"]
+
 ORACLES = {name: _BASE + sql for name, sql in _SELECT.items()}

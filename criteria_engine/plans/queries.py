@@ -16,12 +16,14 @@ from criteria_engine.sinks import exports
 from criteria_engine.sinks.exports import PREDICTION_COLUMNS, predictions_export
 from criteria_engine.sources.annotations import load_annotations
 from criteria_engine.sources.attempts import read_attempts, read_results_csv
+from criteria_engine.sources.segments import compact
 from criteria_engine.storage import shared_folder
 from criteria_engine.streaming.resume import resume_stream
 
 FIRST_ROWS = 100
 PREVIEW_MODEL = "qwen"
 RUN_CHUNK = 16
+MERGE_BUCKET = 200
 SELECTED = "gpt5, qwen,gpt5"
 # A comparison in which one registered model has no results.
 RUN_MODELS = MODELS[:3]
@@ -199,6 +201,18 @@ def q_resume_twice(spark, sf_dir):
     return current.select("model", "run_no", "seq", "label", "prediction", "reason")
 
 
+def q_resume_compacted(spark, sf_dir):
+    """Two runs on a log that is merged after each of them, in several buckets."""
+    path = shared_folder(ship_package(spark))
+    rows = tables.staged(spark, sf_dir)
+    run_models(rows, path, tables.rule_scorer(), max_tries=1)
+    compact(spark, path, runs=1, bucket_rows=MERGE_BUCKET)
+    run_models(rows, path, tables.rule_scorer(shift=4), max_tries=1)
+    compact(spark, path, runs=1, bucket_rows=MERGE_BUCKET)
+    merged = keyed.with_answers(keyed.current_results(read_attempts(spark, path)))
+    return merged.select("model", "run_no", "seq", "label", "prediction", "reason")
+
+
 def q_confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(_answered(spark, sf_dir))
 
@@ -211,6 +225,11 @@ def q_classification_metrics(spark, sf_dir):
     return metrics.classification_metrics(_answered(spark, sf_dir))
 
 
+def q_rounded_metrics(spark, sf_dir):
+    graded = metrics.rounded_metrics(metrics.classification_metrics(_answered(spark, sf_dir)))
+    return graded.select("model", *metrics.RATIOS)
+
+
 def q_compare_models(spark, sf_dir):
     stored = keyed.current_results(tables.keyed_resp(spark, sf_dir, RUN_MODELS))
     return metrics.compare_models(keyed.with_answers(stored))
@@ -316,7 +335,7 @@ def q_predictions_csv(spark, sf_dir):
 
 
 def q_metrics_json(spark, sf_dir):
-    """Counts of the files; ratios are rounded as Python rounds, which SQL engines do not."""
+    """Counts of the files; `q_rounded_metrics` has the ratios."""
     graded, folder = metrics.classification_metrics(_answered(spark, sf_dir)), shared_folder(spark)
     made = {name: exports.write_metrics(graded, folder, name, "run") for name, _ in MODELS}
     read = {name: spark.read.json(f"{path}/metrics") for name, path in made.items()}

@@ -6,6 +6,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from criteria_engine.fixed_values import MAX_TRIES, MODELS
+from criteria_engine.operators.bloom import likely_in
 from criteria_engine.operators.keyed import SLOT, answered_keys, pending_heads
 from criteria_engine.operators.models import model_id
 from criteria_engine.operators.scoring import Scorer, score, score_in_order
@@ -20,6 +21,9 @@ DOUBLINGS = 8
 # Rows per scoring task.
 TASK_ROWS = 2_000
 
+# What a head takes at least when it is broadcast: its number and its models' names.
+HEAD_BYTES = 16
+
 
 def run_models(
     rows: DataFrame,
@@ -81,7 +85,7 @@ def _ask_open_keys(rows, log, run_no, folder, scorer, models, save, log_path, ta
     )
     if not found["n"]:
         return
-    asks = _head_rows(rows, heads, tasks or _tasks(spark, found["asks"]), models)
+    asks = _head_rows(rows, heads, found["n"], tasks or _tasks(spark, found["asks"]), models)
     save(score(asks, scorer, max_tries))
 
     failed, found = store(_failed(_this_run(spark, log_path, run_no)), f"{folder}/failed")
@@ -140,18 +144,28 @@ def _this_run(spark: SparkSession, log_path: str, run_no: int) -> DataFrame:
     return read_runs(spark, log_path, [n for n in stored_runs(spark, log_path) if n == run_no])
 
 
-def _head_rows(rows: DataFrame, heads: DataFrame, tasks: int, models) -> DataFrame:
+def _head_rows(rows: DataFrame, heads: DataFrame, n: int, tasks: int, models) -> DataFrame:
     """Whole rows to ask, in `tasks` partitions, once per open model.
 
-    The heads are a stored table, so Spark knows its bytes and sends it to the rows where
-    that is cheaper; then only requested rows move. A row is repeated per model, and
-    grown into a prompt, behind the shuffle.
+    The `n` heads are a stored table, so Spark knows its bytes and sends it to the rows where
+    that is cheaper; then only requested rows move. Where it is not, both sides are
+    shuffled, and a Bloom filter of the heads holds back nearly all other rows before that.
+    A row is repeated per model, and grown into a prompt, behind the shuffle.
     """
+    bound = rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if n * HEAD_BYTES > _bytes(bound):
+        rows = likely_in(rows, heads, "seq", n)
     found = rows.join(heads.drop("key_hash"), "seq").repartition(tasks, "seq")
     asks = found.select(*rows.columns, F.explode("open_models").alias("model"))
     return asks.withColumn("model_id", model_id(models))
 
 
+def _bytes(setting: str) -> int:
+    """A size as Spark writes it: 10MB, 256k, 10485760b or -1."""
+    number = setting.strip().lower().removesuffix("b")
+    return int(number[:-1]) << 10 * (1 + "kmgtp".index(number[-1])) if number[-1:].isalpha() else int(number)
+
+
 def _whole(rows: DataFrame, asks: DataFrame) -> DataFrame:
     """Whole rows for a table of (model, key_hash, seq, chunk), each once, with its `models`.
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from criteria_engine.fixed_values import MODELS
 from criteria_engine.functions.responses import correct
 from criteria_engine.operators.keyed import error_rows, result_rows
-from criteria_engine.operators.metrics import RATIOS
+from criteria_engine.operators.metrics import RATIOS, rounded_metrics
 from criteria_engine.schemas import ANNOTATION_COLUMNS, RESULT_COLUMNS
 
 PREDICTION_COLUMNS = (
@@ -20,9 +20,6 @@ PREDICTION_COLUMNS = (
     "criteria_text",
 )
 
-# Digits of the ratios in the JSON files.
-PLACES = 4
-
 
 def _write_csv(table: DataFrame, path: str) -> None:
     """CSV with a header, doubled quotes, and texts kept as they are."""
@@ -64,12 +61,9 @@ def write_predictions(answered: DataFrame, path: str, model: str, run_ts: str) -
 
 
 def metrics_record(row) -> dict:
-    """A metrics row as nested values, with ratios rounded as Python rounds.
-
-    Engines round halves differently, so this happens on the driver, on one row per model.
-    """
+    """A row of `rounded_metrics` as nested values."""
     return {
-        **{name: round(row[name], PLACES) for name in RATIOS},
+        **{name: row[name] for name in RATIOS},
         "confusion_matrix": {cell: row[cell.lower()] for cell in _CELLS},
         **{name: row[name] for name in _COUNTS},
     }
@@ -94,7 +88,7 @@ def _write_one(session, record: dict, schema: T.StructType, path: str) -> None:
 
 def write_metrics(metrics: DataFrame, path: str, model: str, run_ts: str) -> str:
     """One model's metrics as JSON into `<path>/<model>_<run_ts>/metrics`; returns the folder."""
-    row = metrics.where(F.col("model") == model).first()
+    row = rounded_metrics(metrics.where(F.col("model") == model)).first()
     if row is None:
         raise ValueError(f"no results for model {model!r}")
     folder = f"{path}/{model}_{run_ts}"
@@ -109,7 +103,7 @@ def write_comparison(metrics: DataFrame, path: str, models=MODELS) -> None:
     """One JSON object from model name to metrics into `<path>/comparison`, in the order given."""
     names = [name for name, _ in models]
     # at most one row per registered model
-    found = {row["model"]: row for row in metrics.where(F.col("model").isin(names)).collect()}
+    found = {row["model"]: row for row in rounded_metrics(metrics.where(F.col("model").isin(names))).collect()}
     records = {name: metrics_record(found[name]) for name in names if name in found}
     schema = T.StructType([T.StructField(name, _RECORD) for name in records])
     _write_one(metrics.sparkSession, records, schema, f"{path}/comparison")

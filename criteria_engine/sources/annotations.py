@@ -72,20 +72,20 @@ def stage_annotations(annotations: DataFrame, path: str, key=KEY) -> DataFrame:
     annotations.select(
         *ORDER, key_hash(key).alias("key_hash"), *ANNOTATION_COLUMNS
     ).write.mode("overwrite").parquet(path)
-    return number_rows(annotations.sparkSession.read.schema(STAGED).parquet(path))
+    return number_rows(annotations.sparkSession.read.schema(STAGED).parquet(path), f"{path}_splits")
 
 
-def number_rows(staged: DataFrame) -> DataFrame:
+def number_rows(staged: DataFrame, path: str | None = None) -> DataFrame:
     """Replace the place columns by `seq`, a number that is unique and rises in file order.
 
     Only one row per input split is ordered globally: each split gets the number
-    of row ids before it, and adds its own.
+    of row ids before it, and adds its own. These are stored in `path`.
     """
     ids = F.col("src_row")
     spans = staged.groupBy("src_file", "src_block").agg(
         F.min(ids).alias("_low"), (F.max(ids) - F.min(ids) + 1).alias("_size")
     )
-    spans, _ = store(spans, f"{shared_folder(staged.sparkSession)}/splits")
+    spans, _ = store(spans, path or f"{shared_folder(staged.sparkSession)}/splits")
     earlier = Window.orderBy("src_file", "src_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.select(
         "src_file",

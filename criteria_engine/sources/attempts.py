@@ -15,12 +15,7 @@ def read_attempts(spark: SparkSession, path: str, near: DataFrame | None = None)
     Merged runs have one row per (model, key), their current result; later ones have all
     attempts. With `near`, only what may concern the keys of its rows is sure to be there.
     """
-    log = read_log(spark, path, near)
-    if log is None:
-        # a filter that never holds is planned away, and joins with it too
-        none = [F.lit(None).cast(field.dataType).alias(field.name) for field in ATTEMPTS]
-        log = spark.range(1).where(F.lit(False)).select(*none)
-    return log.select(*ATTEMPTS.names)
+    return read_log(spark, path, near)
 
 
 def append_attempts(attempts: DataFrame, path: str, try_no: int = 0) -> None:

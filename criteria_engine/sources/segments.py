@@ -74,8 +74,16 @@ def _schema(*keys: str) -> T.StructType:
     return T.StructType([*fields, *[T.StructField(k, T.IntegerType()) for k in keys]])
 
 
+def no_attempts(spark: SparkSession) -> DataFrame:
+    # a filter that never holds is planned away, and joins with it too
+    none = [F.lit(None).cast(field.dataType).alias(field.name) for field in ATTEMPTS]
+    return spark.range(1).where(F.lit(False)).select(*none)
+
+
 def read_runs(spark: SparkSession, path: str, runs: list[int]) -> DataFrame:
     """All that counts of some runs; only their folders are listed."""
+    if not runs:
+        return no_attempts(spark)
     folders = [f"{path}/runs/run_no={n}" for n in runs]
     read = spark.read.schema(_schema("run_no", "try_no")).option("basePath", f"{path}/runs").parquet(*folders)
     for n in runs:
@@ -86,7 +94,7 @@ def read_runs(spark: SparkSession, path: str, runs: list[int]) -> DataFrame:
 
 
 def _segment(spark: SparkSession, path: str, segment: dict, prefixes: set[int] | None = None) -> DataFrame:
-    read = spark.read.schema(_schema("bucket").add("run_no", "int")).parquet(f"{path}/segments/{segment['name']}")
+    read = spark.read.schema(_schema("bucket")).parquet(f"{path}/segments/{segment['name']}")
     if prefixes is not None and segment["bits"]:
         wanted = sorted({p >> PREFIX_BITS - segment["bits"] for p in prefixes})
         if len(wanted) < 1 << segment["bits"]:
@@ -94,8 +102,8 @@ def _segment(spark: SparkSession, path: str, segment: dict, prefixes: set[int] |
     return read.select(*ATTEMPTS.names)
 
 
-def read_log(spark: SparkSession, path: str, near: DataFrame | None = None) -> DataFrame | None:
-    """The log, one row per (model, key) of merged runs and all attempts of later ones; None without any.
+def read_log(spark: SparkSession, path: str, near: DataFrame | None = None) -> DataFrame:
+    """The log, one row per (model, key) of merged runs and all attempts of later ones.
 
     With `near`, rows whose `key_hash` starts like none of its rows' may be left out: buckets
     without them are not read. It is read for that only if a segment has several buckets; its
@@ -109,10 +117,10 @@ def read_log(spark: SparkSession, path: str, near: DataFrame | None = None) -> D
     later = [n for n in stored_runs(spark, path) if n > state["merged"]]
     if later:
         parts.append(read_runs(spark, path, later))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    return reduce(DataFrame.unionByName, parts) if parts else no_attempts(spark)
 
 
-def compact(spark: SparkSession, path: str, runs: int = MERGE_RUNS) -> bool:
+def compact(spark: SparkSession, path: str, runs: int = MERGE_RUNS, bucket_rows: int = BUCKET_ROWS) -> bool:
     """Merge the runs behind the last merge if there are as many as `runs`; returns whether it did.
 
     One writer at a time. Folders that the manifest before the last merge named are kept until
@@ -127,11 +135,11 @@ def compact(spark: SparkSession, path: str, runs: int = MERGE_RUNS) -> bool:
     while kept and kept[-1]["rows"] <= GROWTH * rows:
         rows += kept[-1]["rows"]
         parts.append(_segment(spark, path, kept.pop()))
-    bits = min(PREFIX_BITS, max(0, ceil(log2(max(rows, 1) / BUCKET_ROWS))))
+    bits = min(PREFIX_BITS, max(0, ceil(log2(max(rows, 1) / bucket_rows))))
     name = uuid4().hex
     merged = current_results(reduce(DataFrame.unionByName, parts)).withColumn("bucket", key_prefix(bits))
     # a bucket's rows of one model go to as many tasks as they need
-    piece = F.pmod(F.xxhash64("key_hash"), F.lit(max(1, rows // (BUCKET_ROWS << bits))))
+    piece = F.pmod(F.xxhash64("key_hash"), F.lit(max(1, rows // (bucket_rows << bits))))
     merged.repartition("bucket", "model", piece).write.partitionBy("bucket", "model").parquet(f"{path}/segments/{name}")
     size = spark.read.parquet(f"{path}/segments/{name}").count()
     new = {

@@ -51,15 +51,16 @@ def names(spark: SparkSession, folder: str) -> list[str]:
 
 
 def read_record(spark: SparkSession, path: str) -> dict | None:
-    """A small JSON file, or None."""
+    """A small file of one JSON object, or None."""
     place, files = _place(spark, path)
     if not files.exists(place):
         return None
     source = files.open(place)
     try:
-        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
     finally:
         source.close()
+    return json.loads(text)
 
 
 def write_record(spark: SparkSession, path: str, record: dict) -> None:

@@ -8,7 +8,8 @@ from criteria_engine.operators.lines import parse_lines
 from criteria_engine.operators.scoring import Scorer
 from criteria_engine.plans.resume import run_models
 from criteria_engine.sources.annotations import stage_annotations
-from criteria_engine.storage import shared_folder
+from criteria_engine.sources.segments import last_run
+from criteria_engine.storage import discard, names, read_record, write_record
 
 
 def read_line_stream(spark: SparkSession, path: str, files_per_batch: int | None = None):
@@ -35,16 +36,16 @@ def resume_stream(
 ) -> StreamingQuery:
     """Answer the files that arrived since the last start, then stop.
 
-    Every micro-batch is one run on the log, with a run number above all earlier
-    ones. A batch that is repeated after a crash finds its stored answers in the
-    log and asks only for the rest.
+    Every micro-batch is one run on the log. Its run number is recorded under the stream's id
+    and the batch's before anything is asked, and that it is over is recorded after. A batch
+    that is repeated after a crash finds its record: it goes on under its number, keeps the
+    answers in the log and asks for the rest, or does nothing if it was over. What a batch
+    stores beside the log lies next to its record and goes with it.
     """
-    staging = shared_folder(spark)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.withColumn("src_row", F.monotonically_increasing_id())
-        rows = stage_annotations(parse_lines(lines), f"{staging}/batch_{batch_id}")
-        run_models(rows, log_path, scorer, models, **options)
+        stream = read_record(spark, f"{checkpoint}/metadata")["id"]
+        answer_batch(batch, batch_id, f"{log_path}/streams/{stream}", log_path, scorer, models, **options)
 
     return (
         read_line_stream(spark, path, files_per_batch)
@@ -53,3 +54,34 @@ def resume_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def answer_batch(lines: DataFrame, batch_id: int, records: str, log_path: str, scorer: Scorer, models=MODELS, **options) -> int:
+    """One micro-batch, as often as it is repeated, as one run; returns its number."""
+    spark = lines.sparkSession
+    staging = f"{records}/staging"
+    begun, over = _records(spark, records, batch_id, "begun"), _records(spark, records, batch_id, "over")
+    if over:
+        discard(spark, staging)
+        return over[-1]
+    last = last_run(spark, log_path)
+    # a run that others came after is closed; its answers count like those of any earlier run
+    run_no = begun[-1] if begun and begun[-1] >= last else last + 1
+    if run_no not in begun:
+        write_record(spark, f"{records}/{batch_id}-{run_no}.begun", {})
+    numbered = lines.withColumn("src_row", F.monotonically_increasing_id())
+    rows = stage_annotations(parse_lines(numbered), f"{staging}/annotations")
+    run_models(rows, log_path, scorer, models, run_no=run_no, folder=f"{staging}/run", **options)
+    write_record(spark, f"{records}/{batch_id}-{run_no}.over", {})
+    discard(spark, staging)
+    for name in names(spark, records):
+        # only the last batch can be repeated
+        if name[:1].isdigit() and int(name.split("-")[0]) < batch_id:
+            discard(spark, f"{records}/{name}")
+    return run_no
+
+
+def _records(spark: SparkSession, folder: str, batch_id: int, kind: str) -> list[int]:
+    """Run numbers that a batch has records of."""
+    found = [name.removesuffix(f".{kind}") for name in names(spark, folder) if name.endswith(f".{kind}")]
+    return sorted(int(run) for batch, run in (name.split("-") for name in found) if int(batch) == batch_id)

@@ -97,3 +97,55 @@ def test_broken_batch_is_repeated(spark, place):
     # y was answered before the crash; x is asked again, both rows
     assert [t[2] for t in trace(place / "calls") if t[0] == 2] == [0, 2]
     assert len(current(spark, str(place / "log"))) == 2
+
+
+class Lost(Exception):
+    pass
+
+
+STEPS = ["stage_annotations", "run_models", "write_record", "discard"]
+
+
+@pytest.mark.parametrize("step, times", [(s, n) for s in STEPS for n in (1, 2)])
+def test_a_crash_at_any_step_leaves_one_run_and_nothing_else(spark, place, monkeypatch, step, times):
+    """The driver is lost before or behind a step of a micro-batch; the batch is repeated."""
+    from criteria_engine.streaming import resume
+
+    lines = [(f"f{i}", 0, f"{P}D{i}.txt\t1\tT\tINCL\t{key}") for i, key in enumerate(["x", "y", "x"])]
+    batch = spark.createDataFrame(lines, "src_file string, src_block long, line string")
+    records, log = str(place / "log" / "streams" / "s"), str(place / "log")
+    left = [times]
+
+    def lose(before):
+        def run(*args, **options):
+            left[0] -= 1
+            if left[0] == 0 and times == 1:
+                raise Lost
+            out = before(*args, **options)
+            if left[0] == 0:
+                raise Lost
+            return out
+
+        return run
+
+    def answer(batch_id, run):
+        scorer = TracingScorer(place / "calls", lambda seq, run: seq == 1, run=run)
+        return resume.answer_batch(batch, batch_id, records, log, scorer, QWEN, tasks=1)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(resume, step, lose(getattr(resume, step)))
+        try:
+            answer(7, 1)
+        except Lost:
+            pass
+    first = {t[2] for t in trace(place / "calls")}
+    assert answer(7, 2) == 1
+    assert {r.run_no for r in read_attempts(spark, log).collect()} == {1}
+    assert len(current(spark, log)) == 2
+    # y is asked once whatever broke
+    assert [t[2] for t in trace(place / "calls")].count(1) == 1 and (not first or 1 in first)
+    assert {p.name for p in (place / "log" / "streams" / "s").iterdir() if not p.name.startswith(".")} == {"7-1.begun", "7-1.over"}
+    made = len(trace(place / "calls"))
+    assert answer(7, 3) == 1 and len(trace(place / "calls")) == made
+    assert answer(8, 3) == 2
+    assert {p.name for p in (place / "log" / "streams" / "s").iterdir() if not p.name.startswith(".")} == {"8-2.begun", "8-2.over"}
