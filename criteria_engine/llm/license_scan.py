@@ -17,6 +17,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from criteria_engine.llm.tables import scratch, stored
+
 GRAM = 3
 # Diagonals further apart than this are different spans.
 DRIFT = 8
@@ -182,8 +184,9 @@ def scan(
         raise ValueError("no templates")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    # repeated rows vote for the same places, so they count once
-    voted = votes(rows, _templates(docs.sparkSession, phrases, notices))
+    spark = docs.sparkSession
+    # repeated rows vote for the same places, so they count once; stored, so that texts are cut once for both uses
+    voted = stored(votes(rows, _templates(spark, phrases, notices)), scratch(spark))
     # a phrase stands where all its runs vote for one diagonal, its start
     named = voted.where(F.col("is_phrase") & (F.size("ts") == F.col("n") - GRAM + 1))
     named = named.select(*KEY, "label", F.col("diagonal").alias("start"), F.lit(1.0).alias("score"))

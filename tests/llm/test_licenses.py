@@ -128,5 +128,5 @@ def test_sql(documents):
         db.register("documents", table.toPandas())
         expected = db.sql(license_scan.oracle()).df().sort_values("doc_id", ignore_index=True)[list(found.columns)]
     assert GRAM == 3 and len(found) == len(rows)
-    plain = [[tuple(None if x is None or x != x else x for x in row) for row in t.astype(object).itertuples(index=False)] for t in (found, expected)]
+    plain = [t.astype(object).where(t.notna(), None).values.tolist() for t in (found, expected)]
     assert plain[0] == plain[1]
