@@ -11,6 +11,8 @@ from criteria_engine.functions.responses import is_valid
 from criteria_engine.functions.rounding import round_exact
 from criteria_engine.operators.models import registry_table
 
+CELLS = ("tp", "tn", "fp", "fn")
+COUNTS = ("total", "valid", "errors")
 RATIOS = ("accuracy", "precision", "recall", "f1")
 # Decimal places of the ratios in output.
 PLACES = 4
@@ -57,7 +59,16 @@ def classification_metrics(
 
     With `by=()` there is exactly one row, also for empty input.
     """
-    counts = rows.groupBy(*by).agg(*_cells(label, predicted), *_counts(predicted))
+    return with_ratios(classification_counts(rows, by, label, predicted))
+
+
+def classification_counts(rows, by=("model",), label="label", predicted="prediction") -> DataFrame:
+    """CELLS and COUNTS."""
+    return rows.groupBy(*by).agg(*_cells(label, predicted), *_counts(predicted))
+
+
+def with_ratios(counts: DataFrame) -> DataFrame:
+    """Counts with accuracy, precision, recall and F1."""
     tp = F.col("tp")
     ratios = counts.withColumns(
         {

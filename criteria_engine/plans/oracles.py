@@ -180,6 +180,7 @@ from resp group by model
 """
 _RUN = ", ".join(_text(m) for m, _ in RUN_MODELS)
 
+
 def _rounded(name: str) -> str:
     """A ratio's exact binary value, in 2^-68, to four places; halves go to the even digit."""
     whole = f"floor({name} * 4294967296)"
@@ -354,5 +355,8 @@ _SELECT = {
 
 # merging the log changes no current result
 _SELECT["q_resume_compacted"] = _SELECT["q_resume_twice"]
+_steps, _result = _SELECT["q_resume_twice"].split("        select model, run_no,")
+_SELECT["q_grades_by_run"] = f"""{_steps.rstrip()}, twice as (select model, run_no,{_result})
+        {_METRICS.replace("from resp", "from twice")}"""
 
 ORACLES = {name: _BASE + sql for name, sql in _SELECT.items()}

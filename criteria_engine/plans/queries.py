@@ -9,6 +9,7 @@ from criteria_engine.functions import prompts, responses, text
 from criteria_engine.operators import envelopes, keyed, lines, metrics, models, scoring
 from criteria_engine.plans import driver_tables as tables
 from criteria_engine.plans.classify import preview
+from criteria_engine.plans.grading import grade
 from criteria_engine.plans.resume import run_models
 from criteria_engine.schemas import ANNOTATION_COLUMNS
 from criteria_engine.session import ship_package
@@ -213,6 +214,16 @@ def q_resume_compacted(spark, sf_dir):
     return merged.select("model", "run_no", "seq", "label", "prediction", "reason")
 
 
+def q_grades_by_run(spark, sf_dir):
+    """Grades that are brought up to date after each of two runs."""
+    path = shared_folder(ship_package(spark))
+    rows = tables.staged(spark, sf_dir)
+    for shift in (0, 4):
+        run_models(rows, path, tables.rule_scorer(shift=shift), max_tries=1)
+        graded = grade(spark, path)
+    return graded
+
+
 def q_confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(_answered(spark, sf_dir))
 
