@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from criteria_engine.llm.tables import release, scratch, slices, stored
 
-# Does not bound anything: frequent lines make pairs like rare ones (tests set it to see that).
-RARE_DOCS = 100
 MIN_CHARS = 20
 KEY = ["doc_id", "text_hash"]
 ROWS_AT_ONCE = 256
-# Of a common subsequence's table, what is held at once: 4 MB.
+# A common subsequence's table that is held as a whole: 4 MB. Of larger ones some rows are made twice.
 TABLE_BITS = 1 << 25
 BASE = 0x9E3779B97F4A7C15
 Line = tuple[int, int]  # hash and length
@@ -35,8 +34,9 @@ def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
     """Matched places in a and b, ascending.
 
     Equal lines at both ends match; of the rest, lines that both sides have exactly once
-    match along the longest ascending chain, and the gaps between are aligned likewise. A
-    gap without such lines is aligned by a longest common subsequence.
+    match along the longest ascending chain (of several the one whose lines stand earliest in a,
+    from the last one on), and the gaps between are aligned likewise. A gap without such lines is
+    aligned by a longest common subsequence of the lines that both sides have.
     """
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -70,58 +70,51 @@ def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _lengths(a: list[Line], b: list[Line]) -> Iterator[int]:
-    """After each line of a, bits of b: up to each place, unset ones count the common subsequence."""
+def _lengths(a: list[Line], b: list[Line], row: int) -> Iterator[int]:
+    """After each line of a, bits of b: up to each place, unset ones count the common subsequence.
+
+    `row` holds the bits before a's first line.
+    """
     at: dict[Line, list[int]] = {}
     for y, line in enumerate(b):
         at.setdefault(line, []).append(y)
     # kept for repeated lines only: a row of bits for each line would be too much
     bits = {line: sum(1 << y for y in places) for line, places in at.items() if len(places) > 16}
     full = (1 << len(b)) - 1
-    row = full
     for line in a:
         same = row & (bits[line] if line in bits else sum(1 << y for y in at.get(line, ())))
         row = (row + same | row - same) & full
         yield row
 
 
-def _prefix_lengths(a: list[Line], b: list[Line]) -> np.ndarray:
-    """Longest common subsequence of a with each start of b, the empty one first."""
-    row = (1 << len(b)) - 1
-    for row in _lengths(a, b):
-        pass
-    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")
-    return np.concatenate([[0], np.cumsum(1 - bits[: len(b)].astype(np.int64))])
-
-
 def longest_common(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
     """Places of a longest common subsequence, ascending.
 
-    Bits of a table row stand for b (Hyyrö); where the table would be large, a is halved
-    and b is cut where the halves have most in common (Hirschberg).
+    Of several it is the one that is found from the ends on: equal last lines match, else b's
+    last line goes if nothing is lost by it, else a's. Bits of a table row stand for b
+    (Hyyrö). A large table is not held: of n rows every isqrt(n)-th is kept and the rows behind
+    it are made again when the way back comes to them, which changes nothing in the result.
     """
-    out, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        i, i_end, j, j_end = todo.pop()
-        if i == i_end or j == j_end:
-            continue
-        if (i_end - i) * (j_end - j) > TABLE_BITS and i_end - i > 1:
-            mid = (i + i_end) // 2
-            behind = _prefix_lengths(a[mid:i_end][::-1], b[j:j_end][::-1])[::-1]
-            cut = j + int((_prefix_lengths(a[i:mid], b[j:j_end]) + behind).argmax())
-            todo += [(i, mid, j, cut), (mid, i_end, cut, j_end)]
-            continue
-        rows = [(1 << (j_end - j)) - 1, *_lengths(a[i:i_end], b[j:j_end])]
-        x, y = i_end, j_end
-        while x > i and y > j:
+    step = len(a) if len(a) * len(b) <= TABLE_BITS else isqrt(len(a))
+    row = (1 << len(b)) - 1
+    kept = [row]
+    for x, row in enumerate(_lengths(a, b, row), 1):
+        if x % step == 0:
+            kept.append(row)
+    out, x, y = [], len(a), len(b)
+    while x and y:
+        first = (x - 1) // step
+        start = first * step
+        rows = [kept[first], *_lengths(a[start:x], b, kept[first])]
+        while x > start and y:
             if a[x - 1] == b[y - 1]:
                 x, y = x - 1, y - 1
                 out.append((x, y))
-            elif rows[x - i] >> (y - 1 - j) & 1:
+            elif rows[x - start] >> (y - 1) & 1:
                 y -= 1  # the last line of b adds nothing
             else:
                 x -= 1
-    return sorted(out)
+    return out[::-1]
 
 
 def _ascending(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -243,8 +236,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of the documents, text without the shared lines, then n_lines, n_removed.
 
     Lines end at \\n; they are compared without blanks at their ends, by a 64-bit hash and
-    their length. Of two documents that share a line the one with the greater doc_id
-    loses it, so rows that share a doc_id lose nothing to each other. Null texts stay null; rows with a null doc_id
+    their length. What goes is what a document shares with an earlier one in the same order:
+    of blocks that two documents hold in different orders, those on the longest common
+    alignment go from the one with the greater doc_id and the others stay in both. Rows that
+    share a doc_id lose nothing to each other. Null texts stay null; rows with a null doc_id
     stay as they are. If the documents have columns n_lines or n_removed, these are replaced.
     """
     keyed = docs.select(

@@ -57,9 +57,11 @@ class Encoder:
 
     def __init__(self, path: str, lead: bool):
         self.tokenizer, self.lead = tokenizer(path), lead
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # such strings become one id wherever they stand, so their texts are encoded whole
-        self.whole = "|".join([IRREGULAR, *(f"(?i:{content})" for content in added)])
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # such strings become one id wherever they stand, so texts with one, in any case, are encoded whole
+        self.added = "(?i)" + "|".join(map(re.escape, added)) if added else None
+        # how they begin, as far as case has no say; few texts hold that
+        self.hints = {re.match(r"[^\w]*", content)[0] for content in added}
         self.forget()
 
     def forget(self) -> None:
@@ -87,7 +89,12 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and offsets of the texts (null: no ids)."""
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, IRREGULAR)
+        for hint in self.hints:
+            if pc.any(pc.match_substring(texts, hint)).as_py():
+                whole = pc.or_(whole, pc.match_substring_regex(texts, self.added))
+                break
+        whole = whole.to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(whole), "", texts)
         if not self.lead:
             plain = pc.ascii_lower(plain)  # as the normalizer does

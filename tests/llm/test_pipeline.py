@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -53,15 +54,36 @@ def test_stages(spark, folder, tmp_path, monkeypatch):
     assert Counter((r.doc_id, r.start, bytes(r.ids)) for r in run) == Counter((r.doc_id, r.start, bytes(r.ids)) for r in pieces)
 
 
-def test_stages_take_empty_tables(spark, folder):
+def test_stages_take_empty_tables(spark, folder, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 2)
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
 
 
+CLASHING = ["matches", "n_lines", "n_removed", "score", "row", "others", "class_id", "text_hash", "gone", "rejected", "kept_source", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark, folder, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 2)
+    lines = "\n".join(prose(50 + k, 8) for k in range(4))
+    docs = documents((1, lines), (2, prose(77, 9) + "\n" + lines), (3, prose(5, 30)), (4, prose(5, 30)), (5, None))
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")))
+    docs = docs.select("matches", "text", "doc_id", *[f"`{c}`" for c in docs.columns if c not in ("matches", "text", "doc_id")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in CLASHING), name
+        if name == "line_dedup":
+            assert {r.doc_id: r.text for r in rows}[2] == prose(77, 9)
+    assert corpus_pipeline.packed(spark, docs, folder).count() > 0
+
+
 def test_names():
     found = [q for q in queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in found) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in found) == list(range(1, 14))
     assert "pipeline" in queries()
 
 
