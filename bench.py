@@ -26,6 +26,8 @@ HEADLINE = [
     "q_current_results",
     "q_calls_needed",
     "q_resume_twice",
+    "q_resume_compacted",
+    "q_grades_by_run",
     "q_classification_metrics",
     "q_compare_models",
     "q_run_summary",
