@@ -28,3 +28,8 @@ def key_hash(key=KEY) -> Column:
     """
     parts = [F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)) for k in key]
     return F.unhex(F.sha2(reduce(F.concat, parts).cast("binary"), 256))
+
+
+def text_hash(text="criteria_text") -> Column:
+    """SHA-256 of a text, by which it is stored; null for null."""
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))

@@ -37,6 +37,22 @@ def bloom(keys: DataFrame, key: str, bits: int) -> DataFrame:
     return words.agg(F.transform(in_order, lambda w: w["set"]).alias("words"))
 
 
+# What a key takes at least when it is broadcast.
+ROW_BYTES = 16
+
+
+def held_back(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """`rows` for a join with the `n` of `keys`: as they are where Spark sends the keys to them, else filtered."""
+    bound = rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return likely_in(rows, keys, key, n) if n * ROW_BYTES > _bytes(bound) else rows
+
+
+def _bytes(setting: str) -> int:
+    """A size as Spark writes it: 10MB, 256k, 10485760b or -1."""
+    number = setting.strip().lower().removesuffix("b")
+    return int(number[:-1]) << 10 * (1 + "kmgtp".index(number[-1])) if number[-1:].isalpha() else int(number)
+
+
 def likely_in(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
     """The rows whose key is among the `n` of `keys`, and a few others; as they are if n is very large."""
     bits = filter_bits(n)

@@ -26,6 +26,7 @@ from criteria_engine.schemas import ANNOTATION_COLUMNS, KEY, ORDER
 from criteria_engine.sinks.exports import write_error_rows, write_results
 from criteria_engine.sources.annotations import load_annotations, stage_annotations
 from criteria_engine.sources.attempts import read_attempts
+from criteria_engine.sources.texts import with_texts
 from criteria_engine.storage import discard, shared_folder, store
 
 PREVIEW_ROWS = 3
@@ -63,7 +64,7 @@ def classify(
     try:
         rows = staged(spark, path, num_rows, key, folder)
         run_no = run_models(rows, attempts_path(output), scorer, chosen, **options)
-        summary = run_summary(rows, read_attempts(spark, attempts_path(output)), run_no, chosen)
+        summary = run_summary(rows, read_attempts(spark, attempts_path(output), texts=False), run_no, chosen)
         # a row per model; the stored texts are not needed any more
         return spark.createDataFrame(summary.collect(), summary.schema)
     finally:
@@ -83,7 +84,7 @@ def dry_run(
     """Counts of cached and open rows per model, and a preview of the first rows; asks nothing."""
     chosen = select_models(models, registry)
     loaded = load_annotations(spark, path, num_rows).withColumn("key_hash", key_hash(key))
-    log = read_attempts(spark, attempts_path(output))
+    log = read_attempts(spark, attempts_path(output), texts=False)
     first = load_annotations(spark, path, PREVIEW_ROWS if num_rows is None else min(num_rows, PREVIEW_ROWS))
     # PREVIEW_ROWS rows at most
     place = F.row_number().over(Window.orderBy(*ORDER)) - 1
@@ -112,15 +113,16 @@ def preview(rows: DataFrame, attempts: DataFrame, models=MODELS) -> DataFrame:
 
 def compare(spark: SparkSession, output: str, registry=MODELS) -> DataFrame:
     """Grade everything that is stored, for all registered models."""
-    stored = current_results(read_attempts(spark, attempts_path(output)))
+    stored = current_results(read_attempts(spark, attempts_path(output), texts=False))
     return compare_models(with_answers(stored), registry)
 
 
 def export(spark: SparkSession, output: str, models=None) -> None:
     """Write the current results and error rows of each model in the log (or of `models`) as CSV."""
-    log = read_attempts(spark, attempts_path(output))
+    log = read_attempts(spark, attempts_path(output), texts=False)
     folder = shared_folder(spark)
-    stored, _ = store(current_results(log), folder, by=["model"])
+    current = with_texts(spark, attempts_path(output), current_results(log))
+    stored, _ = store(current, folder, by=["model"])
     try:
         found = [r.model for r in log.select("model").distinct().collect()]
         for name in found if models is None else [name for name, _ in models]:

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from criteria_engine.fixed_values import MODELS, RATE_LIMIT_ERROR
 from criteria_engine.functions.responses import answer_is_valid
-from criteria_engine.functions.text import key_hash
+from criteria_engine.functions.text import key_hash, text_hash
 from criteria_engine.operators.keyed import calls_needed, pending_rows
 from criteria_engine.operators.lines import type_fields
 from criteria_engine.operators.models import fan_out
 from criteria_engine.schemas import ATTEMPTS, ROWS
 from criteria_engine.sources.attempts import append_attempts, attempt_number, read_attempts
+from criteria_engine.sources.texts import with_texts
 from criteria_engine.storage import shared_folder
 
 # Answer texts by shape; shape 7 is a rate limit.
@@ -94,10 +95,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid annotations: seq, typed columns, key_hash."""
+    """Valid annotations: seq, typed columns, digests of key and text."""
     # an inner join: unlabelled documents, which have no valid annotation, are not moved
     labelled = annotations(spark, sf_dir, "inner")
-    return type_fields(labelled).withColumn("key_hash", key_hash())
+    return type_fields(labelled).withColumns({"key_hash": key_hash(), "text_hash": text_hash()})
 
 
 # Folders of derived tables, by application, input and name.
@@ -123,14 +124,23 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(ROWS).parquet(_stored(spark, sf_dir, "rows", write))
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attempts log after two runs."""
+def _log_folder(spark: SparkSession, sf_dir: str) -> str:
 
     def write(folder):
         append_attempts(prior(spark, sf_dir), folder)
-        append_attempts(_second(spark, sf_dir, read_attempts(spark, folder)), folder)
+        append_attempts(_second(spark, sf_dir, read_attempts(spark, folder, texts=False)), folder)
+
+    return _stored(spark, sf_dir, "log", write)
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts log after two runs, with digests in place of the sentences."""
+    return read_attempts(spark, _log_folder(spark, sf_dir), texts=False)
+
 
-    return read_attempts(spark, _stored(spark, sf_dir, "log", write))
+def texts(spark: SparkSession, sf_dir: str, attempts: DataFrame) -> DataFrame:
+    """Rows of `log` with their sentences."""
+    return with_texts(spark, _log_folder(spark, sf_dir), attempts)
 
 
 def answers(asked: DataFrame, run_no: int = 1, shift: int = 0) -> DataFrame:

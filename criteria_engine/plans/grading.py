@@ -81,7 +81,7 @@ def grade(spark: SparkSession, path: str) -> DataFrame:
                 graded[run] = _put(spark, path, run, *after_run(spark, path, run, *_read(spark, path, graded[known])))
                 known = run
         else:
-            current = current_results(read_attempts(spark, path))
+            current = current_results(read_attempts(spark, path, texts=False))
             failing = current.where(~F.col("answered")).select(*SLOT)
             graded[last] = _put(spark, path, last, _counted(current), failing)
         _forget(spark, path, sorted(graded)[-2:])

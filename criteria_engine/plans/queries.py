@@ -122,7 +122,7 @@ def _first_run(spark, sf_dir) -> DataFrame:
 
 
 def q_prior_results(spark, sf_dir):
-    stored = keyed.with_answers(_first_run(spark, sf_dir))
+    stored = keyed.with_answers(tables.texts(spark, sf_dir, _first_run(spark, sf_dir)))
     return stored.select(
         "model", "run_no", "seq", "trial_id", "criteria_text", "prediction", "reason"
     )
@@ -198,7 +198,7 @@ def q_resume_twice(spark, sf_dir):
     rows = tables.staged(spark, sf_dir)
     run_models(rows, path, tables.rule_scorer(), max_tries=1)
     run_models(rows, path, tables.rule_scorer(shift=4), max_tries=1)
-    current = keyed.with_answers(keyed.current_results(read_attempts(spark, path)))
+    current = keyed.with_answers(keyed.current_results(read_attempts(spark, path, texts=False)))
     return current.select("model", "run_no", "seq", "label", "prediction", "reason")
 
 
@@ -210,7 +210,7 @@ def q_resume_compacted(spark, sf_dir):
     compact(spark, path, runs=1, bucket_rows=MERGE_BUCKET)
     run_models(rows, path, tables.rule_scorer(shift=4), max_tries=1)
     compact(spark, path, runs=1, bucket_rows=MERGE_BUCKET)
-    merged = keyed.with_answers(keyed.current_results(read_attempts(spark, path)))
+    merged = keyed.with_answers(keyed.current_results(read_attempts(spark, path, texts=False)))
     return merged.select("model", "run_no", "seq", "label", "prediction", "reason")
 
 
@@ -286,7 +286,7 @@ def q_run_counts(spark, sf_dir):
     rows = tables.staged(spark, sf_dir).withColumn("key_hash", text.key_hash(("drug_name",)))
     chosen = models.select_models(PREVIEW_MODEL)
     run_no = run_models(rows, path, tables.late_scorer, chosen, chunk_rows=RUN_CHUNK)
-    return keyed.run_summary(rows, read_attempts(spark, path), run_no, chosen)
+    return keyed.run_summary(rows, read_attempts(spark, path, texts=False), run_no, chosen)
 
 
 def q_resume_stream(spark, sf_dir):
@@ -324,14 +324,18 @@ def _exported(spark, current, write) -> str:
     return folder
 
 
+def _current(spark, sf_dir, log) -> DataFrame:
+    return tables.texts(spark, sf_dir, keyed.current_results(log))
+
+
 def q_results_csv(spark, sf_dir):
-    folder = _exported(spark, keyed.current_results(tables.log(spark, sf_dir)), exports.write_results)
+    folder = _exported(spark, _current(spark, sf_dir, tables.log(spark, sf_dir)), exports.write_results)
     columns = f"{_ANNOTATION}, llm_prediction int, llm_reason string"
     return _each_model(lambda name: _csv(spark, f"{folder}/{name}", columns))
 
 
 def q_error_csv(spark, sf_dir):
-    folder = _exported(spark, keyed.current_results(tables.log(spark, sf_dir)), exports.write_error_rows)
+    folder = _exported(spark, _current(spark, sf_dir, tables.log(spark, sf_dir)), exports.write_error_rows)
     return _each_model(lambda name: _csv(spark, f"{folder}/error_output_{name}", _ANNOTATION))
 
 
@@ -363,7 +367,7 @@ def q_comparison_json(spark, sf_dir):
 
 def q_import_results(spark, sf_dir):
     """A first run's result files, taken over into a log."""
-    folder = _exported(spark, keyed.current_results(_first_run(spark, sf_dir)), exports.write_results)
+    folder = _exported(spark, _current(spark, sf_dir, _first_run(spark, sf_dir)), exports.write_results)
     taken = [read_results_csv(spark, f"{folder}/{name}", name) for name, _ in MODELS]
     current = keyed.current_results(reduce(DataFrame.unionByName, taken))
     return keyed.with_answers(current).select("model", "trial_id", "criteria_text", "prediction", "reason")

@@ -6,12 +6,13 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from criteria_engine.fixed_values import MAX_TRIES, MODELS
-from criteria_engine.operators.bloom import likely_in
+from criteria_engine.operators.bloom import held_back
 from criteria_engine.operators.keyed import SLOT, answered_keys, pending_heads
 from criteria_engine.operators.models import model_id
 from criteria_engine.operators.scoring import Scorer, score, score_in_order
-from criteria_engine.sources.attempts import append_attempts, attempt_number, read_attempts
+from criteria_engine.sources.attempts import append_answers, attempt_number, read_attempts
 from criteria_engine.sources.segments import MERGE_RUNS, compact, last_run, read_runs, stored_runs, stored_tries
+from criteria_engine.sources.texts import add_texts
 from criteria_engine.storage import discard, shared_folder, store
 
 # Rows of one key in the first chunk behind its head, and how often chunks double.
@@ -21,9 +22,6 @@ DOUBLINGS = 8
 # Rows per scoring task.
 TASK_ROWS = 2_000
 
-# What a head takes at least when it is broadcast: its number and its models' names.
-HEAD_BYTES = 16
-
 
 def run_models(
     rows: DataFrame,
@@ -38,7 +36,7 @@ def run_models(
     run_no: int | None = None,
     folder: str | None = None,
 ) -> int:
-    """One run over numbered annotations (`seq`, `key_hash`); returns its run number.
+    """One run over numbered annotations (`seq`, `key_hash`, `text_hash`); returns its run number.
 
     Keys with a valid answer in the log are skipped. Within the run the rows of a
     key are asked in input order until one answer is valid.
@@ -49,7 +47,8 @@ def run_models(
     one chunk of every key that is still open, row by row, so calls are those of a
     row-by-row loop for every key. A task's answers are in the log when the task ends:
     a crash costs what its running tasks had asked. Whole rows are scanned for the heads, for
-    chunk 0 and once for all later chunks.
+    chunk 0 and once for all later chunks. Before rows are asked, their sentences are stored where the log
+    does not hold them; only new ones are read for that. Rows behind chunk 0 may turn out not to be asked.
 
     `tasks` sets the number of scoring tasks, and so how many calls are in flight at
     most; by default it follows the number of rows to ask. Where the log has `merge_runs`
@@ -72,7 +71,7 @@ def run_models(
     save = partial(_save, run_no=run_no, log_path=log_path, try_no=max(tries, default=-1) + 1)
 
     try:
-        _ask_open_keys(rows, read_attempts(spark, log_path, rows), run_no, folder, scorer, models, save, log_path, tasks, chunk_rows, max_tries)
+        _ask_open_keys(rows, read_attempts(spark, log_path, rows, texts=False), run_no, folder, scorer, models, save, log_path, tasks, chunk_rows, max_tries)
     finally:
         discard(spark, folder)
     return run_no
@@ -85,6 +84,7 @@ def _ask_open_keys(rows, log, run_no, folder, scorer, models, save, log_path, ta
     )
     if not found["n"]:
         return
+    add_texts(rows.join(heads.select("seq"), "seq", "left_semi"), log_path)
     asks = _head_rows(rows, heads, found["n"], tasks or _tasks(spark, found["asks"]), models)
     save(score(asks, scorer, max_tries))
 
@@ -100,7 +100,9 @@ def _ask_open_keys(rows, log, run_no, folder, scorer, models, save, log_path, ta
         asks = asks.withColumn("model_id", model_id(models))
         save(score_in_order(asks, scorer, SLOT, tasks or _tasks(spark, size), max_tries))
 
-    ask_in_order(_whole(rows, ranked.where("chunk = 0")), found["n"])
+    nearest = ranked.where("chunk = 0")
+    add_texts(rows.join(nearest.select("seq"), "seq", "left_semi"), log_path)
+    ask_in_order(_whole(rows, nearest), found["n"])
     if not found["last"]:
         return
 
@@ -112,6 +114,7 @@ def _ask_open_keys(rows, log, run_no, folder, scorer, models, save, log_path, ta
         return
     open_rows = ranked.where("chunk > 0").join(keys, SLOT, "left_semi")
     later, found = store(_whole(rows, open_rows), f"{folder}/later", by=["chunk"], last=F.max("chunk"))
+    add_texts(later, log_path)
     for wave in range(1, found["last"] + 1):
         if wave > 1:
             answered = answered_keys(_this_run(spark, log_path, run_no))
@@ -130,7 +133,7 @@ def _tasks(spark: SparkSession, calls: int) -> int:
 
 
 def _save(answers: DataFrame, run_no: int, log_path: str, try_no: int) -> None:
-    append_attempts(
+    append_answers(
         answers.withColumns(
             {"run_no": F.lit(run_no), "attempt_no": attempt_number(run_no)}
         ),
@@ -152,20 +155,11 @@ def _head_rows(rows: DataFrame, heads: DataFrame, n: int, tasks: int, models) ->
     shuffled, and a Bloom filter of the heads holds back nearly all other rows before that.
     A row is repeated per model, and grown into a prompt, behind the shuffle.
     """
-    bound = rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    if n * HEAD_BYTES > _bytes(bound):
-        rows = likely_in(rows, heads, "seq", n)
-    found = rows.join(heads.drop("key_hash"), "seq").repartition(tasks, "seq")
+    found = held_back(rows, heads, "seq", n).join(heads.drop("key_hash"), "seq").repartition(tasks, "seq")
     asks = found.select(*rows.columns, F.explode("open_models").alias("model"))
     return asks.withColumn("model_id", model_id(models))
 
 
-def _bytes(setting: str) -> int:
-    """A size as Spark writes it: 10MB, 256k, 10485760b or -1."""
-    number = setting.strip().lower().removesuffix("b")
-    return int(number[:-1]) << 10 * (1 + "kmgtp".index(number[-1])) if number[-1:].isalpha() else int(number)
-
-
 def _whole(rows: DataFrame, asks: DataFrame) -> DataFrame:
     """Whole rows for a table of (model, key_hash, seq, chunk), each once, with its `models`.
 

@@ -20,13 +20,14 @@ ANNOTATION = T.StructType(
     ]
 )
 
-# Annotations stored once per input, with input order and digest of the key.
+# Annotations stored once per input, with input order and digests of key and text.
 STAGED = T.StructType(
     [
         T.StructField("src_file", T.StringType()),
         T.StructField("src_block", T.LongType()),
         T.StructField("src_row", T.LongType()),
         T.StructField("key_hash", T.BinaryType()),
+        T.StructField("text_hash", T.BinaryType()),
         *ANNOTATION.fields,
     ]
 )
@@ -37,6 +38,7 @@ ROWS = T.StructType(
         T.StructField("seq", T.LongType()),
         *ANNOTATION.fields,
         T.StructField("key_hash", T.BinaryType()),
+        T.StructField("text_hash", T.BinaryType()),
     ]
 )
 
@@ -57,6 +59,19 @@ ATTEMPTS = T.StructType(
     ]
 )
 
+# Attempts as they are stored: the sentence's digest stands for the sentence.
+LOGGED = T.StructType(
+    [T.StructField("text_hash", T.BinaryType()) if f.name == "criteria_text" else f for f in ATTEMPTS.fields]
+)
+
+# Sentences, each stored once.
+TEXTS = T.StructType(
+    [
+        T.StructField("text_hash", T.BinaryType()),
+        T.StructField("criteria_text", T.StringType()),
+    ]
+)
+
 # One model's stored results as a CSV with a header.
 RESULT_COLUMNS = (*ANNOTATION_COLUMNS, "llm_prediction", "llm_reason")
 

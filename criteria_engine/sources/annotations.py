@@ -5,7 +5,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from criteria_engine.functions.text import key_hash
+from criteria_engine.functions.text import key_hash, text_hash
 from criteria_engine.operators.lines import parse_lines
 from criteria_engine.schemas import ANNOTATION_COLUMNS, KEY, ORDER, STAGED
 from criteria_engine.storage import shared_folder, store
@@ -64,13 +64,13 @@ def first_by_split(rows: DataFrame, n: int) -> DataFrame:
 
 
 def stage_annotations(annotations: DataFrame, path: str, key=KEY) -> DataFrame:
-    """Store annotations as parquet with their key digest, and return them numbered.
+    """Store annotations as parquet with digests of key and text, and return them numbered.
 
     Runs read the stored table several times, mostly just (seq, key_hash), so the
     text is read and hashed once.
     """
     annotations.select(
-        *ORDER, key_hash(key).alias("key_hash"), *ANNOTATION_COLUMNS
+        *ORDER, key_hash(key).alias("key_hash"), text_hash().alias("text_hash"), *ANNOTATION_COLUMNS
     ).write.mode("overwrite").parquet(path)
     return number_rows(annotations.sparkSession.read.schema(STAGED).parquet(path), f"{path}_splits")
 
@@ -93,5 +93,5 @@ def number_rows(staged: DataFrame, path: str | None = None) -> DataFrame:
         (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_low")).alias("_offset"),
     )
     return staged.join(offsets, ["src_file", "src_block"]).select(
-        (ids + F.col("_offset")).alias("seq"), "key_hash", *ANNOTATION_COLUMNS
+        (ids + F.col("_offset")).alias("seq"), "key_hash", "text_hash", *ANNOTATION_COLUMNS
     )

@@ -3,29 +3,43 @@
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from criteria_engine.functions.responses import answer_is_valid, parse_prediction
-from criteria_engine.functions.text import key_hash
-from criteria_engine.schemas import ATTEMPTS, KEY, SEQ_BITS
+from criteria_engine.functions.text import key_hash, text_hash
+from criteria_engine.schemas import KEY, LOGGED, SEQ_BITS
 from criteria_engine.sources.segments import read_log
+from criteria_engine.sources.texts import add_texts, with_texts
 from criteria_engine.storage import shared_folder, store
 
 
-def read_attempts(spark: SparkSession, path: str, near: DataFrame | None = None) -> DataFrame:
+def read_attempts(spark: SparkSession, path: str, near: DataFrame | None = None, texts: bool = True) -> DataFrame:
     """The log, or an empty table with its columns if there is none yet.
 
     Merged runs have one row per (model, key), their current result; later ones have all
-    attempts. With `near`, only what may concern the keys of its rows is sure to be there.
+    attempts. With `near`, only what may concern the keys of its rows is sure to be there. Without
+    `texts` a digest (`text_hash`) stands for `criteria_text`, and the sentences are not read.
     """
-    return read_log(spark, path, near)
+    logged = read_log(spark, path, near)
+    return with_texts(spark, path, logged) if texts else logged
 
 
 def append_attempts(attempts: DataFrame, path: str, try_no: int = 0) -> None:
-    """Add answers to the log, one folder per run, start of the run, and model; nothing stored is rewritten.
+    """Add attempts (ATTEMPTS) to the log: sentences that it does not hold yet, then the attempts.
 
-    A task's answers are in the log as soon as the task ends, so they outlive a job
-    that breaks later.
+    `attempts` are computed more than once; of answers as they are asked for, store the
+    sentences first, then `append_answers`.
+    """
+    hashed = attempts.withColumn("text_hash", text_hash())
+    add_texts(hashed, path, "attempt_no")
+    append_answers(hashed, path, try_no)
+
+
+def append_answers(attempts: DataFrame, path: str, try_no: int = 0) -> None:
+    """Add attempts whose sentences are stored, one folder per run, start of the run, and model.
+
+    Nothing stored is rewritten. A task's answers are in the log as soon as the task ends, so
+    they outlive a job that breaks later.
     """
     marked = attempts.withColumn("answered", answer_is_valid())
-    marked.select(*ATTEMPTS.names, F.lit(try_no).alias("try_no")).write.mode("append").option(
+    marked.select(*LOGGED.names, F.lit(try_no).alias("try_no")).write.mode("append").option(
         "mapreduce.fileoutputcommitter.algorithm.version", "2"
     ).partitionBy("run_no", "try_no", "model").parquet(f"{path}/runs")
 

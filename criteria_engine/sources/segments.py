@@ -2,6 +2,7 @@
 
     runs/run_no=R/try_no=T/model=M/      answers as they come
     segments/<id>/bucket=B/model=M/      one row per (model, key) of some runs
+    fresh/, texts/                       sentences (`sources/texts.py`); attempts hold their digests
     manifests/<version>.json             the segments that hold, and the last run they cover
 
 A merge reads the runs behind the last covered one, and those segments that are not much
@@ -20,30 +21,28 @@ its earlier tries' valid answers and takes back their failures, since those rows
 """
 
 from functools import reduce
-from math import ceil, log2
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from criteria_engine.operators.keyed import current_results
-from criteria_engine.schemas import ATTEMPTS
-from criteria_engine.storage import discard, names, read_record, write_record
+from criteria_engine.schemas import LOGGED
+from criteria_engine.sources.manifests import (
+    BUCKET_ROWS,
+    PREFIX_BITS,
+    digest_prefix,
+    manifest,
+    prefixes,
+    read_buckets,
+    write_buckets,
+)
+from criteria_engine.sources.texts import merge_texts, sweep_texts
+from criteria_engine.storage import discard, names, write_record
 
 # Runs behind the last merge at which the next one is due.
 MERGE_RUNS = 8
 # A segment is merged again once what joins it has this part of its rows.
 GROWTH = 2
-# Rows of a bucket, and the most bits of a digest that name one.
-BUCKET_ROWS = 1_000_000
-PREFIX_BITS = 12
-
-NONE = {"version": 0, "merged": 0, "segments": []}
-
-
-def manifest(spark: SparkSession, path: str) -> dict:
-    """The newest one: version, merged (the last run in segments), segments (name, rows, bits)."""
-    found = [name for name in names(spark, f"{path}/manifests") if name.endswith(".json")]
-    return read_record(spark, f"{path}/manifests/{found[-1]}") if found else NONE
 
 
 def _numbers(spark: SparkSession, folder: str, key: str) -> list[int]:
@@ -65,18 +64,17 @@ def last_run(spark: SparkSession, path: str) -> int:
 
 def key_prefix(bits: int = PREFIX_BITS) -> Column:
     """The first bits of the key's digest, as a number."""
-    first = F.conv(F.hex(F.substring("key_hash", 1, 2)), 16, 10).cast("int")
-    return F.shiftright(F.coalesce(first, F.lit(0)), 16 - bits)
+    return digest_prefix("key_hash", bits)
 
 
 def _schema(*keys: str) -> T.StructType:
-    fields = [f for f in ATTEMPTS.fields if f.name not in keys]
+    fields = [f for f in LOGGED.fields if f.name not in keys]
     return T.StructType([*fields, *[T.StructField(k, T.IntegerType()) for k in keys]])
 
 
 def no_attempts(spark: SparkSession) -> DataFrame:
     # a filter that never holds is planned away, and joins with it too
-    none = [F.lit(None).cast(field.dataType).alias(field.name) for field in ATTEMPTS]
+    none = [F.lit(None).cast(field.dataType).alias(field.name) for field in LOGGED]
     return spark.range(1).where(F.lit(False)).select(*none)
 
 
@@ -90,16 +88,11 @@ def read_runs(spark: SparkSession, path: str, runs: list[int]) -> DataFrame:
         *_, last = stored_tries(spark, path, n)
         if last:
             read = read.where((F.col("run_no") != n) | (F.col("try_no") == last) | F.col("answered"))
-    return read.select(*ATTEMPTS.names)
+    return read.select(*LOGGED.names)
 
 
-def _segment(spark: SparkSession, path: str, segment: dict, prefixes: set[int] | None = None) -> DataFrame:
-    read = spark.read.schema(_schema("bucket")).parquet(f"{path}/segments/{segment['name']}")
-    if prefixes is not None and segment["bits"]:
-        wanted = sorted({p >> PREFIX_BITS - segment["bits"] for p in prefixes})
-        if len(wanted) < 1 << segment["bits"]:
-            read = read.where(F.col("bucket").isin(wanted))
-    return read.select(*ATTEMPTS.names)
+def _segment(spark: SparkSession, path: str, segment: dict, wanted: set[int] | None = None) -> DataFrame:
+    return read_buckets(spark, f"{path}/segments/{segment['name']}", LOGGED, segment["bits"], wanted).select(*LOGGED.names)
 
 
 def read_log(spark: SparkSession, path: str, near: DataFrame | None = None) -> DataFrame:
@@ -110,10 +103,10 @@ def read_log(spark: SparkSession, path: str, near: DataFrame | None = None) -> D
     prefixes are 4,096 numbers at most.
     """
     state = manifest(spark, path)
-    prefixes = None
+    wanted = None
     if near is not None and any(s["bits"] for s in state["segments"]):
-        prefixes = {row[0] for row in near.select(key_prefix()).distinct().collect()}
-    parts = [_segment(spark, path, s, prefixes) for s in state["segments"]]
+        wanted = prefixes(near, "key_hash")
+    parts = [_segment(spark, path, s, wanted) for s in state["segments"]]
     later = [n for n in stored_runs(spark, path) if n > state["merged"]]
     if later:
         parts.append(read_runs(spark, path, later))
@@ -135,17 +128,15 @@ def compact(spark: SparkSession, path: str, runs: int = MERGE_RUNS, bucket_rows:
     while kept and kept[-1]["rows"] <= GROWTH * rows:
         rows += kept[-1]["rows"]
         parts.append(_segment(spark, path, kept.pop()))
-    bits = min(PREFIX_BITS, max(0, ceil(log2(max(rows, 1) / bucket_rows))))
     name = uuid4().hex
-    merged = current_results(reduce(DataFrame.unionByName, parts)).withColumn("bucket", key_prefix(bits))
-    # a bucket's rows of one model go to as many tasks as they need
-    piece = F.pmod(F.xxhash64("key_hash"), F.lit(max(1, rows // (bucket_rows << bits))))
-    merged.repartition("bucket", "model", piece).write.partitionBy("bucket", "model").parquet(f"{path}/segments/{name}")
+    merged = current_results(reduce(DataFrame.unionByName, parts))
+    bits = write_buckets(merged, f"{path}/segments/{name}", "key_hash", rows, bucket_rows, ["model"])
     size = spark.read.parquet(f"{path}/segments/{name}").count()
     new = {
         "version": state["version"] + 1,
         "merged": later[-1],
         "segments": [*kept, {"name": name, "rows": size, "bits": bits}],
+        **merge_texts(spark, path, state, GROWTH, bucket_rows),
     }
     write_record(spark, f"{path}/manifests/{new['version']:08}.json", new)
     _sweep(spark, path, state, new)
@@ -164,3 +155,4 @@ def _sweep(spark: SparkSession, path: str, before: dict, now: dict) -> None:
     for name in names(spark, f"{path}/manifests"):
         if name.split(".")[0] < f"{before['version']:08}":
             discard(spark, f"{path}/manifests/{name}")
+    sweep_texts(spark, path, before, now)

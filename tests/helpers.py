@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from criteria_engine.functions.responses import answer_is_valid
-from criteria_engine.functions.text import key_hash
+from criteria_engine.functions.text import key_hash, text_hash
 from criteria_engine.schemas import ATTEMPTS, ROWS
 from criteria_engine.sources.attempts import attempt_number
 
@@ -20,7 +20,8 @@ def rows_table(spark, keys):
     schema = "seq bigint, drug_name string, label int, trial_id string, section string, " + (
         "criteria_text string"
     )
-    return spark.createDataFrame(data, schema).withColumn("key_hash", key_hash()).select(*ROWS.names)
+    hashed = {"key_hash": key_hash(), "text_hash": text_hash()}
+    return spark.createDataFrame(data, schema).withColumns(hashed).select(*ROWS.names)
 
 
 def attempts_table(spark, attempts):
