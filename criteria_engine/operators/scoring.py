@@ -12,6 +12,7 @@ returns in one action before using it.
 """
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -32,13 +33,20 @@ class RateLimited(Exception):
     """Raised by a call that was turned away and may be tried again."""
 
 
-def row_scorer(call: Callable[[str, str, str], str], retry_on=(OSError,)) -> Scorer:
+def row_scorer(call: Callable[[str, str, str], str], retry_on=(OSError,), in_flight: int = 1) -> Scorer:
     """Scorer from a single call (model_id, system_prompt, user_prompt) -> answer text.
 
+    A task has up to `in_flight` calls open at a time; `call` must then bear several threads. The
+    requests of a batch do not depend on each other, as a batch of `score_in_order` has one row
+    of each key, so the calls of a run are the same for any number.
+
     Failures become data: a rate limit or transport error (`retry_on`) may be tried
     again, any other exception is an error row at once.
     """
 
+    if in_flight < 1:
+        raise ValueError(f"calls in flight must be at least 1: {in_flight}")
+
     def ask(request) -> tuple:
         try:
             text = call(request.model_id, request.system_prompt, request.user_prompt)
@@ -51,7 +59,12 @@ def row_scorer(call: Callable[[str, str, str], str], retry_on=(OSError,)) -> Sco
             return "", str(failure) or type(failure).__name__, False
 
     def score_batch(requests: pd.DataFrame) -> pd.DataFrame:
-        answers = [ask(request) for request in requests.itertuples(index=False)]
+        each = requests.itertuples(index=False)
+        if in_flight == 1 or len(requests) < 2:
+            answers = [ask(request) for request in each]
+        else:
+            with ThreadPoolExecutor(min(in_flight, len(requests))) as window:
+                answers = list(window.map(ask, each))  # in the order of the requests
         return pd.DataFrame(answers, columns=_ANSWER, index=requests.index)
 
     return score_batch

@@ -1,5 +1,10 @@
+import re
+import threading
+import time
+
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from criteria_engine.fixed_values import RATE_LIMIT_ERROR
 from criteria_engine.functions import responses
@@ -99,3 +104,57 @@ def test_only_prompts_go_to_python(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
     assert scored.columns[-2:] == ["raw_response", "error"]
+
+
+def batch(n):
+    columns = ["model", "model_id", "seq", "system_prompt", "user_prompt", "try_no"]
+    return pd.DataFrame([("m", "id", i, "s", str(i), 1) for i in range(n)], columns=columns, index=range(100, 100 + n))
+
+
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_so_many_calls_are_in_flight(n):
+    lock, most, now = threading.Lock(), 0, 0
+
+    def call(model_id, system, user):
+        nonlocal most, now
+        with lock:
+            now += 1
+            most = max(most, now)
+        time.sleep(0.01 * (1 + int(user) % 3))
+        with lock:
+            now -= 1
+        if int(user) % 5 == 0:
+            raise RateLimited
+        return user
+
+    asked = batch(40)
+    got = row_scorer(call, in_flight=n)(asked)
+    assert most == n
+    assert list(got.index) == list(asked.index)
+    assert list(got["raw_response"]) == ["" if i % 5 == 0 else str(i) for i in range(40)]
+    assert list(got["retryable"]) == [i % 5 == 0 for i in range(40)]
+    assert row_scorer(call, in_flight=n)(batch(0)).empty
+    with pytest.raises(ValueError, match="at least 1"):
+        row_scorer(call, in_flight=0)
+
+
+def test_calls_in_flight_keep_the_order_of_a_key(spark, tmp_path):
+    """The calls are those of the row-by-row loop, each key's in input order."""
+    keys, folder = [f"k{i % 7}" for i in range(70)], str(tmp_path)
+
+    def call(model_id, system, user):
+        with open(f"{folder}/{time.time_ns()}-{threading.get_ident()}", "w") as trace:
+            trace.write(user)
+        return "PREDICTION: 1" if user.count("!") else "cannot tell"
+
+    rows = rows_table(spark, keys)
+    marked = rows.withColumn("drug_name", F.concat(F.lit("d"), "seq", F.when(F.col("seq") % 9 == 4, "!").otherwise("-")))
+    got = score_in_order(fan_out(marked, QWEN), row_scorer(call, in_flight=4), ["model", "key_hash"], tasks=2)
+    seqs = sorted(r.seq for r in got.select("seq").collect())
+    _, asked = one_by_one(keys, lambda seq, run: seq % 9 == 4)
+    assert seqs == asked and len(list(tmp_path.iterdir())) == len(asked)
+    order = {}
+    for path in sorted(tmp_path.iterdir(), key=lambda p: int(p.name.split("-")[0])):
+        seq = int(re.search(r"\bd(\d+)[-!]", path.read_text()).group(1))
+        order.setdefault(keys[seq], []).append(seq)
+    assert all(found == sorted(found) for found in order.values())
