@@ -4,14 +4,17 @@ The vocabulary is fixed: the pieces of a public tokenizer. For each language a w
 probability is the sum, over all ways to cut it into pieces, of the products of piece
 probabilities; a forward pass over the word computes it. Piece probabilities are fitted
 per language by expectation maximisation on word counts of a bounded sample: about
-SAMPLE_DOCS documents and at most SAMPLE_WORDS distinct words of each language.
-A text's score sums its words; distinct words of a batch are computed once.
+SAMPLE_DOCS documents and at most SAMPLE_WORDS distinct words of each language, and fewer
+where there are so many languages that this would be more than TOTAL_WORDS. Every `lang`
+value is learned; the model has a number per piece and language. A text's score sums its words;
+distinct words of a batch are computed once, for some languages at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import category
 
 import numpy as np
 import public_tokenizers
@@ -23,16 +26,14 @@ from criteria_engine.llm.tables import codes, held_out, slices, words
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"  # before a word's first piece
-LONGEST_PIECE = 8
 # A longer word is read in parts of this many letters.
 LONGEST_WORD = 30
-SAMPLE_DOCS, SAMPLE_WORDS = 1500, 15_000
-MOST_LANGUAGES = 256
+SAMPLE_DOCS, SAMPLE_WORDS, TOTAL_WORDS = 1500, 15_000, 3_000_000
 ROUNDS = 4
 SMOOTHING = 0.01
 UNKNOWN = 1e-8
 UNDECIDED = "und"
-WORDS_AT_ONCE = 30_000
+WORDS_AT_ONCE, LANGUAGES_AT_ONCE = 30_000, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -49,6 +50,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces), default=1)
         keys = np.array([self._key(p) for p in pieces], np.uint64)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
@@ -72,7 +74,7 @@ class Pieces:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         units = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         none, found, out = len(self.pieces), None, []
-        for k in range(1, LONGEST_PIECE + 1):
+        for k in range(1, self.longest + 1):
             if len(units) < k:
                 out.append(np.full(len(units), none))
                 continue
@@ -95,13 +97,13 @@ def forward(lattice, chances: np.ndarray, backward: bool = False) -> np.ndarray:
     if backward:
         total[np.arange(len(lengths)), lengths] = 1
         for i in range(longest - 1, -1, -1):
-            for k in range(1, min(LONGEST_PIECE, longest - i) + 1):
+            for k in range(1, min(len(pieces), longest - i) + 1):
                 n = reach[i + k]
                 total[:n, i] += chances[pieces[k - 1][starts[:n] + i]] * total[:n, i + k]
         return total
     total[:, 0] = 1
     for i in range(longest):
-        for k in range(1, min(LONGEST_PIECE, longest - i) + 1):
+        for k in range(1, min(len(pieces), longest - i) + 1):
             n = reach[i + k]
             total[:n, i + k] += chances[pieces[k - 1][starts[:n] + i]] * total[:n, i]
     return total
@@ -118,30 +120,32 @@ class Model:
     pieces: Pieces
     chances: np.ndarray  # by piece and language, then a row for no piece, one for unknown characters
 
-    def word_logs(self, vocabulary: list[str]) -> np.ndarray:
-        """Log probability of each word in each language; 0 for words without a letter."""
-        out = np.zeros((len(vocabulary), len(self.languages)))
+    def word_logs(self, vocabulary: list[str], some: slice = slice(None)) -> np.ndarray:
+        """Log probability of each word in each language, or some; 0 for words without a letter."""
+        chances = self.chances[:, some]
+        out = np.zeros((len(vocabulary), chances.shape[1]))
         parts = [(u, i) for i, w in enumerate(vocabulary) if any(map(str.isalpha, w)) for u in _units(w)]
         parts.sort(key=lambda p: -len(p[0]))
         for at in range(0, len(parts), WORDS_AT_ONCE):
-            some = parts[at : at + WORDS_AT_ONCE]
-            lattice = self.pieces.lattice([u for u, _ in some])
-            total = forward(lattice, self.chances)
-            logs = np.log(np.maximum(total[np.arange(len(some)), lattice[0]], 1e-300))
-            np.add.at(out, [i for _, i in some], logs)
+            block = parts[at : at + WORDS_AT_ONCE]
+            lattice = self.pieces.lattice([u for u, _ in block])
+            total = forward(lattice, chances)
+            logs = np.log(np.maximum(total[np.arange(len(block)), lattice[0]], 1e-300))
+            np.add.at(out, [i for _, i in block], logs)
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         flat, offsets = words(pc.utf8_lower(pc.fill_null(texts, "")))
         vocabulary = pc.utf8_trim(flat.dictionary, characters=".,;:!?\"'()[]{}<>|*").to_pylist()
-        logs = self.word_logs(vocabulary)
         letters = np.array([any(map(str.isalpha, w)) for w in vocabulary], bool)
         order = codes(flat)
         sums = np.zeros((len(texts), len(self.languages)))
         full = np.flatnonzero(np.diff(offsets) > 0)
         known = np.zeros(len(texts), bool)
         if len(full):
-            sums[full] = np.add.reduceat(logs[order], offsets[full])
+            for at in range(0, len(self.languages), LANGUAGES_AT_ONCE):
+                some = slice(at, at + LANGUAGES_AT_ONCE)
+                sums[full, some] = np.add.reduceat(self.word_logs(vocabulary, some)[order], offsets[full])
             known[full] = np.logical_or.reduceat(letters[order], offsets[full])
         if not self.languages:
             return [UNDECIDED] * len(texts), np.zeros(len(texts))
@@ -152,13 +156,13 @@ class Model:
 
 
 def vocabulary_pieces(path: str) -> list[str]:
-    """Pieces of letters only, with or without the mark before them."""
+    """Pieces of letters and the marks that combine with them, with or without the mark of a word before them."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
     return sorted(
-        {p for p in found if 0 < len(p) <= LONGEST_PIECE and all(map(str.isalpha, p.removeprefix(MARK)))} | {MARK}
+        {p for p in found if p and all(category(c)[0] in "LM" for c in p.removeprefix(MARK))} | {MARK}
     )
 
 
@@ -183,7 +187,7 @@ def train(counts: dict[str, dict[str, int]], pieces: Pieces) -> Model:
                 before, behind = forward(lattice, own)[..., 0], forward(lattice, own, backward=True)[..., 0]
                 weight = np.array([units[u] for u in some]) / np.maximum(behind[:, 0], 1e-300)
                 for i in range(int(lengths.max(initial=0))):
-                    for k in range(1, LONGEST_PIECE + 1):
+                    for k in range(1, pieces.longest + 1):
                         n = int((lengths >= i + k).sum())
                         ids = found[k - 1][starts[:n] + i] if n else np.empty(0, np.int64)
                         part = before[:n, i] * own[ids, 0] * behind[:n, i + k] * weight[:n] if n else 0.0
@@ -197,9 +201,10 @@ def word_counts(docs: DataFrame) -> dict[str, dict[str, int]]:
     """Words of the sample, by language; rows that are held out or lack a language are not in it."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()  # a row per language
     if not sizes:
         return {}
+    most = max(1, min(SAMPLE_WORDS, TOTAL_WORDS // len(sizes)))
     part = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE_DOCS / r["count"]))])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
     chosen = rows.where(drawn < part[F.col("lang")])
@@ -207,7 +212,7 @@ def word_counts(docs: DataFrame) -> dict[str, dict[str, int]]:
     counted = chosen.select("lang", word).where("word <> ''").groupBy("lang", "word").count()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     out: dict[str, dict[str, int]] = {}
-    for r in counted.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_WORDS).collect():
+    for r in counted.withColumn("rank", rank).where(F.col("rank") <= most).collect():
         out.setdefault(r["lang"], {})[r["word"]] = r["count"]
     return out
 

@@ -2,8 +2,10 @@
 
 import random
 import zlib
+from unicodedata import category
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
@@ -185,3 +187,41 @@ def test_pages_of_the_tables(spark):
         blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         right += r.text == "\n".join(b for b in blocks if b)
     assert right >= 0.98 * len(html)
+
+
+def test_many_languages_are_all_learned(spark):
+    """More languages than are scored at a time, each with words of its own."""
+    n, rows = 300, []
+    for i in range(n):
+        draw = np.random.default_rng(i)
+        own = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(6)]
+        rows += [(i * 4 + j, f"l{i:03}", " ".join(draw.permutation(own))) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.fit(docs)
+    learned = {r[1] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert set(model.languages) == learned and len(learned) > 290
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert all(found[i] == lang for i, lang, _ in rows if lang in learned)
+
+
+def test_long_pieces_and_combining_marks():
+    pieces = language.vocabulary_pieces(public_tokenizers.path(language.VOCABULARY))
+    assert max(map(len, pieces)) > 8 and any(category(c)[0] == "M" for p in pieces for c in p)
+    marked = next(c for p in pieces for c in p if category(c)[0] == "M")
+    found = language.Pieces(pieces)
+    assert found.longest == max(map(len, pieces))
+    # one language writes the sign after each letter, the other does not
+    model = language.train({"bare": {"abab": 9, "ba": 5}, "signs": {f"a{marked}b{marked}": 9, f"b{marked}a": 5}}, found)
+    assert model.predict(pa.array([f"ba{marked}", "baab"]))[0] == ["signs", "bare"]
+
+
+def test_languages_in_blocks_give_the_same(monkeypatch):
+    draw = np.random.default_rng(0)
+    pieces = language.Pieces(["a", "b", "ab", "▁", "▁a"])
+    counts = {f"l{i}": {"".join(draw.choice(["a", "b"], 5)): int(draw.integers(1, 9)) for _ in range(8)} for i in range(11)}
+    model = language.train(counts, pieces)
+    texts = pa.array(["abba ab", "", "bbbb aab ba", None])
+    want = model.predict(texts)
+    monkeypatch.setattr(language, "LANGUAGES_AT_ONCE", 3)
+    got = model.predict(texts)
+    assert got[0] == want[0] and np.allclose(got[1], want[1])
