@@ -124,7 +124,8 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(ROWS).parquet(_stored(spark, sf_dir, "rows", write))
 
 
-def _log_folder(spark: SparkSession, sf_dir: str) -> str:
+def log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The attempts log after two runs, as it is stored."""
 
     def write(folder):
         append_attempts(prior(spark, sf_dir), folder)
@@ -135,12 +136,12 @@ def _log_folder(spark: SparkSession, sf_dir: str) -> str:
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The attempts log after two runs, with digests in place of the sentences."""
-    return read_attempts(spark, _log_folder(spark, sf_dir), texts=False)
+    return read_attempts(spark, log_folder(spark, sf_dir), texts=False)
 
 
 def texts(spark: SparkSession, sf_dir: str, attempts: DataFrame) -> DataFrame:
     """Rows of `log` with their sentences."""
-    return with_texts(spark, _log_folder(spark, sf_dir), attempts)
+    return with_texts(spark, log_folder(spark, sf_dir), attempts)
 
 
 def answers(asked: DataFrame, run_no: int = 1, shift: int = 0) -> DataFrame:

@@ -355,6 +355,7 @@ _SELECT = {
 
 # merging the log changes no current result
 _SELECT["q_resume_compacted"] = _SELECT["q_resume_twice"]
+_SELECT["q_published_results"] = _SELECT["q_results_csv"]
 _steps, _result = _SELECT["q_resume_twice"].split("        select model, run_no,")
 _SELECT["q_grades_by_run"] = f"""{_steps.rstrip()}, twice as (select model, run_no,{_result})
         {_METRICS.replace("from resp", "from twice")}"""

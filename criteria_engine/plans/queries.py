@@ -10,6 +10,7 @@ from criteria_engine.operators import envelopes, keyed, lines, metrics, models,
 from criteria_engine.plans import driver_tables as tables
 from criteria_engine.plans.classify import preview
 from criteria_engine.plans.grading import grade
+from criteria_engine.plans.publish import publish, published
 from criteria_engine.plans.resume import run_models
 from criteria_engine.schemas import ANNOTATION_COLUMNS
 from criteria_engine.session import ship_package
@@ -339,6 +340,16 @@ def q_error_csv(spark, sf_dir):
     return _each_model(lambda name: _csv(spark, f"{folder}/error_output_{name}", _ANNOTATION))
 
 
+def q_published_results(spark, sf_dir):
+    """Result files of the second of two exports, as a reader finds them."""
+    log, base = tables.log_folder(spark, sf_dir), shared_folder(spark)
+    names = [name for name, _ in MODELS]
+    for chosen in (names[:1], names):
+        publish(spark, log, base, chosen)
+    columns = f"{_ANNOTATION}, llm_prediction int, llm_reason string"
+    return _each_model(lambda name: _csv(spark, f"{published(spark, base)}/{name}", columns))
+
+
 def q_predictions_csv(spark, sf_dir):
     answered, folder = _answered(spark, sf_dir), shared_folder(spark)
     made = {name: exports.write_predictions(answered, folder, name, "run") for name, _ in MODELS}
