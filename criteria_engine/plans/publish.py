@@ -10,7 +10,7 @@ one; the export before the newest is kept, for readers that began with it. One w
 from collections.abc import Sequence
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from criteria_engine.fixed_values import MODELS
 from criteria_engine.operators.keyed import current_results, with_answers
@@ -46,6 +46,8 @@ def publish(
     scratch, name = shared_folder(spark), uuid4().hex
     folder = f"{base}/{name}"
     log = read_attempts(spark, log_path, texts=False)
+    if models is not None and run_ts is None:  # a comparison is of all models
+        log = log.where(F.col("model").isin(*models))
     try:
         current, _ = store(with_texts(spark, log_path, current_results(log)), scratch, by=["model"])
         found = sorted(r.model for r in current.select("model").distinct().collect())  # a row per model

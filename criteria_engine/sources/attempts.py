@@ -27,8 +27,8 @@ def append_attempts(attempts: DataFrame, path: str, try_no: int = 0) -> None:
     `attempts` are computed more than once; of answers as they are asked for, store the
     sentences first, then `append_answers`.
     """
-    hashed = attempts.withColumn("text_hash", text_hash())
-    add_texts(hashed, path, "attempt_no")
+    hashed = attempts.withColumns({"text_hash": text_hash(), "_row": F.xxhash64("model", "attempt_no")})
+    add_texts(hashed, path, "_row")
     append_answers(hashed, path, try_no)
 
 

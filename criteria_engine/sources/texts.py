@@ -14,7 +14,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from criteria_engine.operators.bloom import held_back
+from criteria_engine.operators.bloom import likely_in
 from criteria_engine.schemas import ATTEMPTS, TEXTS
 from criteria_engine.sources.manifests import manifest, prefixes, read_buckets, write_buckets
 from criteria_engine.storage import discard, names, read_record, shared_folder, store, write_record
@@ -78,8 +78,8 @@ def add_texts(rows: DataFrame, path: str, number: str = "seq") -> int:
             first, found = store(first.join(known.select("text_hash"), "text_hash", "left_anti"), f"{folder}/new")
         if not found["n"]:
             return 0
-        near = held_back(rows, first, number, found["n"])
-        # a number may stand for one row per model
+        # about one row of each text gets past the filter
+        near = likely_in(rows, first, number, found["n"])
         texts = near.join(first, ["text_hash", number]).groupBy("text_hash").agg(F.first("criteria_text").alias("criteria_text"))
         name = uuid4().hex
         _, written = store(texts, f"{path}/fresh/{name}")
