@@ -1,6 +1,6 @@
 """From raw annotation lines to typed annotations."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from criteria_engine.functions.text import drug_name, strip
 
@@ -35,6 +35,12 @@ def type_fields(fields: DataFrame) -> DataFrame:
     )
 
 
+def is_valid(line: str = "line") -> Column:
+    """Whether `parse_lines` keeps a line."""
+    fields = F.split(strip(line), "\t", 6)
+    return (F.size(fields) >= 5) & F.coalesce(strip(F.get(fields, 1)).isin("0", "1"), F.lit(False))
+
+
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Typed annotations of the valid lines; other columns are carried along."""
     # a blank line has one field, so it goes with the short ones

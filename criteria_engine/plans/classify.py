@@ -36,9 +36,9 @@ def attempts_path(output: str) -> str:
     return f"{output}/attempts"
 
 
-def staged(spark: SparkSession, path, num_rows: int | None, key, folder: str) -> DataFrame:
+def staged(spark: SparkSession, path, num_rows: int | None, key, folder: str, index: str | None = None) -> DataFrame:
     """The first `num_rows` valid annotations (all for None), stored in `folder` and numbered."""
-    loaded = load_annotations(spark, path, num_rows)
+    loaded = load_annotations(spark, path, num_rows, index)
     return stage_annotations(loaded, f"{folder}/annotations", key)
 
 
@@ -52,17 +52,19 @@ def classify(
     num_rows: int | None = None,
     key=KEY,
     registry=MODELS,
+    index: str | None = None,
     **options,
 ) -> DataFrame:
     """Ask the chosen models for what is open, and return the run's summary per model.
 
     `models` is a comma list, None for all. A repeated call continues where the last
-    one stopped and asks failed rows again. `options` go to `run_models`.
+    one stopped and asks failed rows again. `index` is a folder of line counts, which lets a repeated
+    `num_rows` read the files of these rows only. `options` go to `run_models`.
     """
     chosen = select_models(models, registry)
     folder = shared_folder(spark)
     try:
-        rows = staged(spark, path, num_rows, key, folder)
+        rows = staged(spark, path, num_rows, key, folder, index)
         run_no = run_models(rows, attempts_path(output), scorer, chosen, **options)
         summary = run_summary(rows, read_attempts(spark, attempts_path(output), texts=False), run_no, chosen)
         # a row per model; the stored texts are not needed any more
@@ -80,12 +82,13 @@ def dry_run(
     num_rows: int | None = None,
     key=KEY,
     registry=MODELS,
+    index: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Counts of cached and open rows per model, and a preview of the first rows; asks nothing."""
     chosen = select_models(models, registry)
-    loaded = load_annotations(spark, path, num_rows).withColumn("key_hash", key_hash(key))
+    loaded = load_annotations(spark, path, num_rows, index).withColumn("key_hash", key_hash(key))
     log = read_attempts(spark, attempts_path(output), texts=False)
-    first = load_annotations(spark, path, PREVIEW_ROWS if num_rows is None else min(num_rows, PREVIEW_ROWS))
+    first = load_annotations(spark, path, PREVIEW_ROWS if num_rows is None else min(num_rows, PREVIEW_ROWS), index)
     # PREVIEW_ROWS rows at most
     place = F.row_number().over(Window.orderBy(*ORDER)) - 1
     first = first.select(place.cast("bigint").alias("seq"), key_hash(key).alias("key_hash"), *ANNOTATION_COLUMNS)

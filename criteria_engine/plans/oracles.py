@@ -198,6 +198,8 @@ _SELECT = {
     "q_valid_labels": "select seq, label from loaded",
     "q_drug_name": f"select seq, source_file, {_drug('source_file')} as drug_name from ann",
     "q_first_n": f"select {_FIELDS} from loaded order by seq limit {FIRST_ROWS}",
+    "q_first_n_indexed": f"select {_FIELDS} from loaded order by seq limit {FIRST_ROWS}",
+    "q_split_counts": "select (select count(*) from lines) as lines, (select count(*) from loaded) as valid",
     "q_section_route": """select seq, section,
         case when upper(section) = 'INCL' then 'inclusion' else 'exclusion' end as route
         from ann""",

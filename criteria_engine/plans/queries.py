@@ -19,10 +19,12 @@ from criteria_engine.sinks.exports import PREDICTION_COLUMNS, predictions_export
 from criteria_engine.sources.annotations import load_annotations
 from criteria_engine.sources.attempts import read_attempts, read_results_csv
 from criteria_engine.sources.segments import compact
+from criteria_engine.sources.split_index import refresh
 from criteria_engine.storage import shared_folder
 from criteria_engine.streaming.resume import resume_stream
 
 FIRST_ROWS = 100
+FILES = 16
 PREVIEW_MODEL = "qwen"
 RUN_CHUNK = 16
 MERGE_BUCKET = 200
@@ -70,6 +72,23 @@ def q_first_n(spark, sf_dir):
     return lines.first_n(loaded, FIRST_ROWS, ["seq"]).select(*ANNOTATION_COLUMNS)
 
 
+def q_first_n_indexed(spark, sf_dir):
+    """The first rows of several files in order, with an index that counts only their files."""
+    folder = shared_folder(spark)
+    ordered = tables.lines(spark, sf_dir).repartitionByRange(FILES, "seq").sortWithinPartitions("seq")
+    ordered.select("line").write.text(f"{folder}/in")
+    return load_annotations(spark, f"{folder}/in", FIRST_ROWS, f"{folder}/index").select(*ANNOTATION_COLUMNS)
+
+
+def q_split_counts(spark, sf_dir):
+    """Lines and valid lines of all files, from the index; a second call reads no file."""
+    folder = shared_folder(spark)
+    tables.lines(spark, sf_dir).select("line").write.text(f"{folder}/in")
+    refresh(spark, f"{folder}/in", f"{folder}/index")
+    counted = refresh(spark, f"{folder}/in", f"{folder}/index")
+    return counted.agg(F.sum("lines").alias("lines"), F.sum("valid").alias("valid"))
+
+
 def q_section_route(spark, sf_dir):
     return tables.annotations(spark, sf_dir).select(
         "seq", "section", prompts.section_route().alias("route")
