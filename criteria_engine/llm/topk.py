@@ -1,11 +1,12 @@
 """Exact top-k by inner product: term-at-a-time accumulation over blocks of rows.
 
 A vector is a sparse row of (component, integer weight) terms. Candidates are cut into
-slices and queries into blocks of bounded size; a cell holds one slice and one block. In
+slices and queries into blocks of SIDE_BYTES; a cell holds one slice and one block. In
 a cell the slice becomes one posting list per component; each query adds its weight times
 the postings, component after component, to a dense array of scores, of which the k
-best are split off. Cells are merged by query. Each cell's memory is bounded by
-SLICE_ROWS and BLOCK_ROWS, whatever the table's size, and no side is broadcast.
+best are split off. Cells are merged by query. A cell's memory is bounded by SIDE_BYTES,
+whatever the table's size, and no side is broadcast. Both sides of a cell are large, so that
+a candidate moves once per SIDE_BYTES of queries and a query once per SIDE_BYTES of candidates.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICE_ROWS = 4096
-BLOCK_ROWS = 512
+# Vectors of one side of a cell, as they are held by a Python worker.
+SIDE_BYTES = 32 << 20
+ROW_BYTES, TERM_BYTES = 160, 8
+# Smaller slices only as far as the cluster has tasks for them.
+LEAST_SLICE = 4096
 # A component that more than this part of a slice has is a posting list without gaps.
 DENSE = 0.3
 RESULT = "query_id long, vec_id long, score long"
@@ -119,9 +123,13 @@ def top_k(
         is_query.alias("is_query"),
     ).where("vec_id is not null and weights is not null")
     asked = rows.where("is_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("weights").alias("weights"))
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
-    n_slices = max(1, -(-sizes["n"] // SLICE_ROWS))
-    n_blocks = max(1, -(-sizes["q"] // BLOCK_ROWS))
+    size = F.size("weights") * TERM_BYTES + ROW_BYTES
+    sizes = rows.agg(
+        F.count("*").alias("n"), F.sum(size).alias("bytes"), F.sum(F.when(F.col("is_query"), size)).alias("asked")
+    ).first()
+    spread = min(-(-sizes["n"] // LEAST_SLICE), vectors.sparkSession.sparkContext.defaultParallelism)
+    n_slices = max(1, spread, -(-(sizes["bytes"] or 0) // SIDE_BYTES))
+    n_blocks = max(1, -(-(sizes["asked"] or 0) // SIDE_BYTES))
     part = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_slices))
     candidates = rows.select(
         "vec_id", "weights", part.cast("int").alias("slice"),

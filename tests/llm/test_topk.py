@@ -34,12 +34,23 @@ def test_same_as_brute_force(spark, monkeypatch):
     rows += [(300, None), (301, [1.0, None]), (302, [float("nan")]), (303, [float("inf")]), (None, [1.0])]
     rows += [(304, []), (305, [1.0]), (310, [0.5] * 9), (0, [0.0] * 6)]
     rows = [(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows]
-    monkeypatch.setattr(topk, "SLICE_ROWS", 50)
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 5)
     table = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], SCHEMA).repartition(4)
     kept = [(r.vec_id, r.embedding) for r in table.collect()]
-    found = topk.top_k(table, F.col("vec_id") % 10 == 0, 5)
-    assert sorted(map(tuple, found.collect())) == brute(kept, 10, 5)
+    for size, least in ((1000, 4096), (8000, 50), (32 << 20, 4096)):  # many cells, some, one
+        monkeypatch.setattr(topk, "SIDE_BYTES", size)
+        monkeypatch.setattr(topk, "LEAST_SLICE", least)
+        found = topk.top_k(table, F.col("vec_id") % 10 == 0, 5)
+        assert sorted(map(tuple, found.collect())) == brute(kept, 10, 5)
+
+
+def test_candidates_move_once_per_block_of_queries(spark, monkeypatch):
+    """The plan's sequences give how often a row moves: 20 queries of 208 bytes, 400 candidates."""
+    rows = [(i, [0.5] * 6, "", 0) for i in range(400)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    for side, blocks, slices in ((32 << 20, 1, 1), (208 * 20, 1, 20), (208 * 5, 4, 80)):
+        monkeypatch.setattr(topk, "SIDE_BYTES", side)
+        plan = topk.top_k(table, F.col("vec_id") % 20 == 0, 5)._jdf.queryExecution().analyzed().toString()
+        assert f"sequence(0, {blocks - 1}, " in plan and f"sequence(0, {slices - 1}, " in plan
 
 
 def test_few_rows_and_none(spark):
