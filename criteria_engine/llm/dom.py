@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -17,8 +18,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is never text of the page.
 HIDDEN = frozenset(
-    "script style template noscript iframe noembed noframes title textarea xmp object svg math select button "
-    "canvas audio video datalist".split()
+    "script style template noscript iframe noembed noframes title textarea xmp object svg select button "
+    "canvas audio video datalist annotation annotation-xml".split()
 )
 RAW = frozenset("script style iframe noembed noframes title textarea xmp".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary", "legend"}
@@ -35,8 +36,11 @@ ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
+# A quote opens a value only right after `=`.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*+(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+|(?=>)))*+)>"
+    r"|<[!?/][^>]*+(?:>|\Z)",
+    re.S,
 )
 NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label|name)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -92,6 +96,7 @@ def parse(html: str) -> Page:
     page = Page()
     root = page.add("html", "", -1)
     open_tags: list[tuple[str, int, bool]] = [("html", root, False)]
+    names = Counter()  # of open tags, so that no search for one that is not open walks up
     parts: list[str] = []
     linked, hidden, place = 0, 0, 0
 
@@ -115,6 +120,7 @@ def parse(html: str) -> Page:
         if any(t in BLOCKS for t, _, _ in open_tags[depth:]):
             flush()
         hidden -= sum(t in HIDDEN or t == "head" for t, _, _ in open_tags[depth:])
+        names.subtract(t for t, _, _ in open_tags[depth:])
         del open_tags[depth:]
 
     end = len(html)
@@ -139,7 +145,7 @@ def parse(html: str) -> Page:
         if found[1]:
             if tag == "br":
                 take(" ")
-            for depth in range(len(open_tags) - 1, 0, -1):
+            for depth in range(len(open_tags) - 1, 0, -1) if names[tag] else ():
                 if open_tags[depth][0] == tag:
                     close(depth)
                     break
@@ -153,7 +159,7 @@ def parse(html: str) -> Page:
             continue
         if tag == "html":
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and names["p"]:
             for depth in range(len(open_tags) - 1, 0, -1):
                 if open_tags[depth][0] == "p":
                     close(depth)
@@ -163,14 +169,14 @@ def parse(html: str) -> Page:
         if tag in ENDS:
             ended, bound = ENDS[tag]
             lowest = 0
-            for depth in range(len(open_tags) - 1, 0, -1):
+            for depth in range(len(open_tags) - 1, 0, -1) if any(names[t] for t in ended) else ():
                 if open_tags[depth][0] in ended:
                     lowest = depth
                 if open_tags[depth][0] in bound:
                     break
             if lowest:
                 close(lowest)
-        if tag == "body" and (depth := next((i for i, o in enumerate(open_tags) if o[0] == "head"), 0)):
+        if tag == "body" and names["head"] and (depth := next((i for i, o in enumerate(open_tags) if o[0] == "head"), 0)):
             close(depth)
         node, in_link = open_tags[-1][1], open_tags[-1][2] or tag == "a"
         if tag in BLOCKS:
@@ -179,6 +185,7 @@ def parse(html: str) -> Page:
         else:
             page.inline[node] += 1
         open_tags.append((tag, node, in_link))
+        names[tag] += 1
         hidden += tag in HIDDEN or tag == "head"
         if tag in RAW:
             stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, place)
