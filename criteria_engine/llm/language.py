@@ -6,7 +6,8 @@ probabilities; a forward pass over the word computes it. Piece probabilities are
 per language by expectation maximisation on word counts of a bounded sample: about
 SAMPLE_DOCS documents and at most SAMPLE_WORDS distinct words of each language, and fewer
 where there are so many languages that this would be more than TOTAL_WORDS. Every `lang`
-value is learned; the model has a number per piece and language. A text's score sums its words;
+value is learned; the model has a number per piece and language. Learning reads words of more than
+LONGEST_WORD letters in parts; scores sum over the whole word. A text's score sums its words;
 distinct words of a batch are computed once, for some languages at a time.
 """
 
@@ -26,7 +27,7 @@ from criteria_engine.llm.tables import codes, held_out, slices, words
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"  # before a word's first piece
-# A longer word is read in parts of this many letters.
+# A longer word is summed letter by letter, and learned from in parts of this many letters.
 LONGEST_WORD = 30
 SAMPLE_DOCS, SAMPLE_WORDS, TOTAL_WORDS = 1500, 15_000, 3_000_000
 ROUNDS = 4
@@ -34,6 +35,9 @@ SMOOTHING = 0.01
 UNKNOWN = 1e-8
 UNDECIDED = "und"
 WORDS_AT_ONCE, LANGUAGES_AT_ONCE = 30_000, 8
+# Long words at once, and their letters in the lattice at once.
+LONG_AT_ONCE, LETTERS_AT_ONCE = 1000, 100_000
+RESCALE = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -109,6 +113,40 @@ def forward(lattice, chances: np.ndarray, backward: bool = False) -> np.ndarray:
     return total
 
 
+def long_logs(texts: list[str], pieces: Pieces, chances: np.ndarray) -> np.ndarray:
+    """Log of the summed chance of words of any length, which must come longest first.
+
+    Only the sums for the next places, as many as a piece has letters, are held; they are
+    brought back to 1 every RESCALE letters, so that no product is too small for a double.
+    """
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ahead = np.zeros((len(texts), pieces.longest + 1, chances.shape[1]))
+    ahead[:, 0] = 1
+    logs = np.zeros((len(texts), chances.shape[1]))
+    out = np.empty_like(logs)
+    width = max(RESCALE, LETTERS_AT_ONCE // max(1, len(texts)))
+    for first in range(0, int(lengths.max(initial=0)), width):
+        n = int((lengths > first).sum())
+        _, starts, found = pieces.lattice([t[first : first + width + pieces.longest] for t in texts[:n]])
+        # longer pieces have fewer places to begin at
+        by_length = np.full((pieces.longest, len(found[0])), len(pieces.pieces))
+        for k, part in enumerate(found):
+            by_length[k, : len(part)] = part
+        for i in range(first, min(first + width, int(lengths[0]))):
+            n = int(np.searchsorted(-lengths, -i, side="left"))  # words of more letters
+            met = chances[by_length[:, starts[:n] + (i - first)].T]
+            ahead[:n, 1:] += met * ahead[:n, :1]
+            ahead[:n, :-1] = ahead[:n, 1:]
+            ahead[:n, -1] = 0
+            done = int(np.searchsorted(-lengths, -(i + 1), side="left"))  # words that go on
+            out[done:n] = np.log(np.maximum(ahead[done:n, 0], 1e-300)) + logs[done:n]
+            if (i + 1) % RESCALE == 0:
+                top = np.maximum(ahead[:done].max(1), 1e-300)
+                ahead[:done] /= top[:, None]
+                logs[:done] += np.log(top)
+    return out
+
+
 def _units(word: str) -> list[str]:
     word = MARK + word
     return [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
@@ -124,14 +162,17 @@ class Model:
         """Log probability of each word in each language, or some; 0 for words without a letter."""
         chances = self.chances[:, some]
         out = np.zeros((len(vocabulary), chances.shape[1]))
-        parts = [(u, i) for i, w in enumerate(vocabulary) if any(map(str.isalpha, w)) for u in _units(w)]
-        parts.sort(key=lambda p: -len(p[0]))
-        for at in range(0, len(parts), WORDS_AT_ONCE):
-            block = parts[at : at + WORDS_AT_ONCE]
-            lattice = self.pieces.lattice([u for u, _ in block])
+        whole = [(MARK + w, i) for i, w in enumerate(vocabulary) if any(map(str.isalpha, w))]
+        whole.sort(key=lambda p: -len(p[0]))
+        n_long = sum(len(w) > LONGEST_WORD for w, _ in whole)
+        for at in range(0, n_long, LONG_AT_ONCE):
+            block = whole[at : min(at + LONG_AT_ONCE, n_long)]
+            out[[i for _, i in block]] = long_logs([w for w, _ in block], self.pieces, chances)
+        for at in range(n_long, len(whole), WORDS_AT_ONCE):
+            block = whole[at : at + WORDS_AT_ONCE]
+            lattice = self.pieces.lattice([w for w, _ in block])
             total = forward(lattice, chances)
-            logs = np.log(np.maximum(total[np.arange(len(block)), lattice[0]], 1e-300))
-            np.add.at(out, [i for _, i in block], logs)
+            out[[i for _, i in block]] = np.log(np.maximum(total[np.arange(len(block)), lattice[0]], 1e-300))
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:

@@ -225,3 +225,65 @@ def test_languages_in_blocks_give_the_same(monkeypatch):
     monkeypatch.setattr(language, "LANGUAGES_AT_ONCE", 3)
     got = model.predict(texts)
     assert got[0] == want[0] and np.allclose(got[1], want[1])
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    """A letter-by-letter sum with exact fractions, whatever is read at once."""
+    from fractions import Fraction
+    from math import log
+
+    draw = random.Random(8)
+    names = ["a", "b", "ab", "aba", "ba", "▁", "▁a", "bbbbbbb"]
+    pieces = language.Pieces(names)
+    chances = np.array([[draw.random() / 9 for _ in range(3)] for _ in names] + [[0.0] * 3, [language.UNKNOWN] * 3])
+    found = ["".join(draw.choices("abx", [5, 5, 1], k=n)) for n in (3, 29, 30, 31, 40, 41, 64, 200, 203, 1500)]
+    found.append("b" * 500)
+
+    def total(word, lang):
+        sums = [Fraction(1)] + [Fraction(0)] * len(word)
+        for i, letter in enumerate(word):
+            for name, p in zip(names, chances[:, lang]):
+                if word.startswith(name, i):
+                    sums[i + len(name)] += Fraction(p) * sums[i]
+            if letter not in "ab▁":
+                sums[i + 1] += Fraction(language.UNKNOWN) * sums[i]
+        top = sums[-1]
+        return log(top.numerator) - log(top.denominator)
+
+    want = np.array([[total("▁" + w, lang) for lang in range(3)] for w in found])
+    model = language.Model(["x", "y", "z"], pieces, chances)
+    for letters, words in ((100_000, 1000), (300, 4), (10, 1)):
+        monkeypatch.setattr(language, "LETTERS_AT_ONCE", letters)
+        monkeypatch.setattr(language, "LONG_AT_ONCE", words)
+        assert np.allclose(model.word_logs(found), want)
+    for longest in (0, 10_000):  # both ways for every word
+        monkeypatch.setattr(language, "LONGEST_WORD", longest)
+        assert np.allclose(model.word_logs(found[:7]), want[:7])
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p title=it's>one</p><p>it's two</p>", "one\nit's two"),
+        ("<p title = it's class='x y'>one</p>", "one"),
+        ("<p 'odd'>one</p>'", "one\n'"),
+        ("<p data-x=\"a > b\" y='c > d'>one</p>", "one"),
+        ("<p a= >one</p><p a=b=c>two</p><p =x>three</p>", "one\ntwo\nthree"),
+        ("<p>so <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> holds</p>", "so x=2 holds"),
+    ],
+)
+def test_quotes_and_formulas(html, text):
+    assert "\n".join(block for _, block, _ in parse(html).blocks) == text
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        page = "<div>" * n + "<p>deep</p>" + "</span></div>" * n
+        start = time.process_time()
+        assert [b[1] for b in parse(page).blocks] == ["deep"]
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(4_000), 0.02)
