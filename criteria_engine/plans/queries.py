@@ -20,11 +20,10 @@ from criteria_engine.sources.annotations import load_annotations
 from criteria_engine.sources.attempts import read_attempts, read_results_csv
 from criteria_engine.sources.segments import compact
 from criteria_engine.sources.split_index import refresh
-from criteria_engine.storage import shared_folder
+from criteria_engine.storage import names, shared_folder
 from criteria_engine.streaming.resume import resume_stream
 
 FIRST_ROWS = 100
-FILES = 16
 PREVIEW_MODEL = "qwen"
 RUN_CHUNK = 16
 MERGE_BUCKET = 200
@@ -75,7 +74,7 @@ def q_first_n(spark, sf_dir):
 def q_first_n_indexed(spark, sf_dir):
     """The first rows of several files in order, with an index that counts only their files."""
     folder = shared_folder(spark)
-    ordered = tables.lines(spark, sf_dir).repartitionByRange(FILES, "seq").sortWithinPartitions("seq")
+    ordered = tables.lines(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq")
     ordered.select("line").write.text(f"{folder}/in")
     return load_annotations(spark, f"{folder}/in", FIRST_ROWS, f"{folder}/index").select(*ANNOTATION_COLUMNS)
 
@@ -310,13 +309,14 @@ def q_run_counts(spark, sf_dir):
 
 
 def q_resume_stream(spark, sf_dir):
-    """A stream over two files, in one micro-batch each."""
+    """A stream over the files that the table's partitions make, half of them in a micro-batch."""
     folder = shared_folder(ship_package(spark))
-    tables.lines(spark, sf_dir).select("line").repartition(2).write.text(f"{folder}/in")
+    tables.lines(spark, sf_dir).select("line").write.text(f"{folder}/in")
+    files = sum(name.startswith("part-") for name in names(spark, f"{folder}/in"))
     scorer = scoring.row_scorer(tables.accent_call)
     chosen = models.select_models(PREVIEW_MODEL)
     stream = resume_stream(
-        spark, f"{folder}/in", f"{folder}/log", f"{folder}/checkpoint", scorer, chosen, files_per_batch=1
+        spark, f"{folder}/in", f"{folder}/log", f"{folder}/checkpoint", scorer, chosen, files_per_batch=max(1, -(-files // 2))
     )
     stream.awaitTermination()
     current = keyed.with_answers(keyed.current_results(read_attempts(spark, f"{folder}/log")))
