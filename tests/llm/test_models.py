@@ -60,6 +60,39 @@ def test_toxicity_without_labels(labelled):
     assert {r.predicted for r in found.collect()} == {0}
 
 
+def test_toxicity_learns_from_all_rows_in_many_tasks(spark, documents, monkeypatch):
+    # only texts of 5,000 words are toxic, and no row and no text is too many or too long
+    monkeypatch.setattr(toxicity, "STEPS", 100)
+    monkeypatch.setattr(toxicity, "TASK_ROWS", 100)
+    rows = [(i, f"vlexor {prose(i % 7, 4999)}" if i % 10 == 0 else prose(i, 20)) for i in range(400)]
+    docs, labels = documents(*rows), spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
+    learned, parts = toxicity.learned_rows(docs, labels)
+    wanted = [(i, text) for i, text in rows if not is_held_out(i)]
+    assert sorted((r.doc_id, r.text) for r in learned.collect()) == wanted and parts == 4
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    toxic, clean = ([r.score for r in found if (r.doc_id % 10 == 0) == t] for t in (True, False))
+    assert min(toxic) > np.mean(clean) + 0.2
+
+
+def test_thresholds_count_every_tested_row(spark, documents):
+    model = toxicity.new_model(2)
+    model.shift[:] = -1
+    rows = [(i, prose(i, 3 + i % 40), "en" if i % 2 else "fr", i % 5 < 2) for i in range(400)]
+    scores = model.scores(pa.array([r[1] for r in rows]))
+    tested = spark.createDataFrame([(*r[:3], int(r[3])) for r in rows] + [(1, "a", None, 1), (2, "b", "xx", 0)], "doc_id long, text string, lang string, toxic int")
+    found = {r.lang: r.threshold for r in toxicity._cells(tested, model).collect()}
+    assert set(found) == {"en", "fr"}
+    for lang, cut in found.items():
+        at = np.array([r[2] == lang for r in rows])
+        toxic = np.array([int(r[3]) for r in rows])[at]
+
+        def f1(t):
+            return 2 * ((scores[at] >= t) & (toxic == 1)).sum() / ((scores[at] >= t).sum() + toxic.sum())
+
+        # cells of odds may hide a little of what single scores give
+        assert f1(cut) >= max(f1(t) for t in [*scores[at], 0.3]) - 0.01
+
+
 def test_pooling_is_the_same_for_batches_and_single_texts():
     model = toxicity.new_model(1)
     model.out[:] = np.random.default_rng(0).normal(size=len(model.out))
