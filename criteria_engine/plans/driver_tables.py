@@ -17,7 +17,7 @@ from criteria_engine.functions.text import key_hash, text_hash
 from criteria_engine.operators.keyed import calls_needed, pending_rows
 from criteria_engine.operators.lines import type_fields
 from criteria_engine.operators.models import fan_out
-from criteria_engine.schemas import ATTEMPTS, ROWS
+from criteria_engine.schemas import ATTEMPTS, LOGGED, ROWS
 from criteria_engine.sources.attempts import append_attempts, attempt_number, read_attempts
 from criteria_engine.sources.texts import with_texts
 from criteria_engine.storage import shared_folder
@@ -128,8 +128,10 @@ def log_folder(spark: SparkSession, sf_dir: str) -> str:
     """The attempts log after two runs, as it is stored."""
 
     def write(folder):
-        append_attempts(prior(spark, sf_dir), folder)
-        append_attempts(_second(spark, sf_dir, read_attempts(spark, folder, texts=False)), folder)
+        whole = staged(spark, sf_dir)
+        append_attempts(prior(spark, sf_dir), folder, rows=whole)
+        first = read_attempts(spark, folder, texts=False)
+        append_attempts(_second(spark, sf_dir, first), folder, rows=whole)
 
     return _stored(spark, sf_dir, "log", write)
 
@@ -145,16 +147,17 @@ def texts(spark: SparkSession, sf_dir: str, attempts: DataFrame) -> DataFrame:
 
 
 def answers(asked: DataFrame, run_no: int = 1, shift: int = 0) -> DataFrame:
-    """Attempts for rows that carry `ord` and `model`."""
+    """Attempts for rows that carry `ord` and `model`; as they are logged if the rows have no sentence."""
+    columns = LOGGED if "criteria_text" not in asked.columns else ATTEMPTS
     answered = asked.withColumn("_shape", _shape(shift)).select(
         "model",
         F.lit(run_no).alias("run_no"),
         attempt_number(run_no).alias("attempt_no"),
-        *ROWS.names,
+        *[name for name in ROWS.names if name in asked.columns],
         F.element_at(F.array(*map(F.lit, SHAPES)), F.col("_shape") + 1).alias("raw_response"),
         F.when(F.col("_shape") == RATE_LIMITED, RATE_LIMIT_ERROR).alias("error"),
     )
-    return answered.withColumn("answered", answer_is_valid()).select(*ATTEMPTS.names)
+    return answered.withColumn("answered", answer_is_valid()).select(*columns.names)
 
 
 def _shape(shift: int = 0) -> Column:
@@ -172,14 +175,14 @@ def keyed_resp(spark: SparkSession, sf_dir: str, models=MODELS) -> DataFrame:
 
 
 def prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a first run over some of the drug files stored."""
-    seen = staged(spark, sf_dir).where(F.col("drug_name") < FIRST_RUN_BEFORE)
+    """What a first run over some of the drug files stored, with digests in place of the sentences."""
+    seen = staged(spark, sf_dir).drop("criteria_text").where(F.col("drug_name") < FIRST_RUN_BEFORE)
     return calls_needed(answers(fan_out(seen)))
 
 
 def _second(spark: SparkSession, sf_dir: str, first: DataFrame) -> DataFrame:
     """What the next run, over all files, adds."""
-    pending = pending_rows(fan_out(staged(spark, sf_dir)), first)
+    pending = pending_rows(fan_out(staged(spark, sf_dir).drop("criteria_text")), first)
     return calls_needed(answers(pending, run_no=2))
 
 

@@ -84,7 +84,7 @@ def _ask_open_keys(rows, log, run_no, folder, scorer, models, save, log_path, ta
     )
     if not found["n"]:
         return
-    add_texts(rows.join(heads.select("seq"), "seq", "left_semi"), log_path)
+    add_texts(rows, log_path, asked=_digests(rows, heads))
     asks = _head_rows(rows, heads, found["n"], tasks or _tasks(spark, found["asks"]), models)
     save(score(asks, scorer, max_tries))
 
@@ -101,7 +101,7 @@ def _ask_open_keys(rows, log, run_no, folder, scorer, models, save, log_path, ta
         save(score_in_order(asks, scorer, SLOT, tasks or _tasks(spark, size), max_tries))
 
     nearest = ranked.where("chunk = 0")
-    add_texts(rows.join(nearest.select("seq"), "seq", "left_semi"), log_path)
+    add_texts(rows, log_path, asked=_digests(rows, nearest))
     ask_in_order(_whole(rows, nearest), found["n"])
     if not found["last"]:
         return
@@ -127,6 +127,11 @@ def _ask_open_keys(rows, log, run_no, folder, scorer, models, save, log_path, ta
         ask_in_order(asks, counted["n"] * chunk_rows * 2 ** min(wave, DOUBLINGS))
 
 
+def _digests(rows: DataFrame, asks: DataFrame) -> DataFrame:
+    """Number and text digest of the rows to ask; no sentence moves for it."""
+    return rows.select("seq", "text_hash").join(asks.select("seq"), "seq", "left_semi")
+
+
 def _tasks(spark: SparkSession, calls: int) -> int:
     """Enough tasks that a lost one repeats few calls."""
     return max(spark.sparkContext.defaultParallelism, -(-calls // TASK_ROWS))

@@ -21,12 +21,17 @@ def read_attempts(spark: SparkSession, path: str, near: DataFrame | None = None,
     return with_texts(spark, path, logged) if texts else logged
 
 
-def append_attempts(attempts: DataFrame, path: str, try_no: int = 0) -> None:
+def append_attempts(attempts: DataFrame, path: str, try_no: int = 0, rows: DataFrame | None = None) -> None:
     """Add attempts (ATTEMPTS) to the log: sentences that it does not hold yet, then the attempts.
 
     `attempts` are computed more than once; of answers as they are asked for, store the
-    sentences first, then `append_answers`.
+    sentences first, then `append_answers`. With `rows` (ROWS) the attempts (LOGGED) hold digests
+    only, and the sentences are taken from their rows.
     """
+    if rows is not None:
+        add_texts(rows, path, asked=attempts)
+        append_answers(attempts, path, try_no)
+        return
     hashed = attempts.withColumns({"text_hash": text_hash(), "_row": F.xxhash64("model", "attempt_no")})
     add_texts(hashed, path, "_row")
     append_answers(hashed, path, try_no)

@@ -62,16 +62,18 @@ def with_texts(spark: SparkSession, path: str, logged: DataFrame) -> DataFrame:
     return found.select(*ATTEMPTS.names)
 
 
-def add_texts(rows: DataFrame, path: str, number: str = "seq") -> int:
+def add_texts(rows: DataFrame, path: str, number: str = "seq", asked: DataFrame | None = None) -> int:
     """Store the sentences of `rows` that are not stored yet; returns how many.
 
     `rows` have `text_hash`, `criteria_text` and a `number`; rows that agree on it have one
-    text. They are read for digests first, and again for the texts only if some are new. A
-    text that many rows share moves once per task at most.
+    text. They are read for digests first, and again for the texts only if some are new. With
+    `asked`, which needs no texts, its `number` and `text_hash` say which of the rows' sentences
+    are meant. Texts move once, and of rows that share one hardly more than one.
     """
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
     try:
-        first = rows.where(F.col("text_hash").isNotNull()).groupBy("text_hash").agg(F.min(number).alias(number))
+        asked = rows if asked is None else asked
+        first = asked.where(F.col("text_hash").isNotNull()).groupBy("text_hash").agg(F.min(number).alias(number))
         first, found = store(first, f"{folder}/digests")
         known = read_texts(spark, path, first) if found["n"] else None
         if known is not None:
@@ -80,7 +82,9 @@ def add_texts(rows: DataFrame, path: str, number: str = "seq") -> int:
             return 0
         # about one row of each text gets past the filter
         near = likely_in(rows, first, number, found["n"])
-        texts = near.join(first, ["text_hash", number]).groupBy("text_hash").agg(F.first("criteria_text").alias("criteria_text"))
+        # each digest has one number: grouped by both, the texts stay where the join left them
+        texts = near.join(first, ["text_hash", number]).groupBy("text_hash", number).agg(F.first("criteria_text").alias("criteria_text"))
+        texts = texts.drop(number)
         name = uuid4().hex
         _, written = store(texts, f"{path}/fresh/{name}")
         write_record(spark, f"{path}/fresh/{name}.json", {"rows": written["n"]})

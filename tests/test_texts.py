@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from criteria_engine.functions.text import key_hash, text_hash
 from criteria_engine.operators import keyed
 from criteria_engine.operators.models import select_models
+from criteria_engine.plans import driver_tables, resume
 from criteria_engine.plans.resume import run_models
 from criteria_engine.schemas import ATTEMPTS, LOGGED
 from criteria_engine.sources import segments, texts
 from criteria_engine.sources.attempts import append_attempts, read_attempts
 from criteria_engine.storage import names
+from conftest import TESTDATA
 from helpers import TracingScorer, attempts_table, rows_table
 
 TWO = select_models("qwen,gpt5")
@@ -170,3 +172,36 @@ def test_a_text_that_most_attempts_share_is_split(spark, tmp_path):
 
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_log_of_the_queries_is_joined_without_sentences(spark):
+    path = str(TESTDATA / "sf0.001")
+    whole = driver_tables.staged(spark, path)
+    first = driver_tables.prior(spark, path)
+    assert first.columns == LOGGED.names
+    logged = driver_tables.log(spark, path)
+    hashes = {bytes(r[0]) for r in logged.select("text_hash").distinct().collect()}
+    stored = texts.read_texts(spark, driver_tables.log_folder(spark, path)).collect()
+    wanted = {bytes(r.text_hash): r.criteria_text for r in whole.collect()}
+    assert sorted(bytes(r.text_hash) for r in stored) == sorted(hashes)
+    assert all(wanted[bytes(r.text_hash)] == r.criteria_text for r in stored)
+
+
+def test_sentences_of_asked_rows_only(spark, tmp_path):
+    rows, path = rows_table(spark, ["a", "b", "a", "c", None]), str(tmp_path / "log")
+    asked = rows.select("seq", "text_hash").where("seq in (1, 2, 4)")
+    assert texts.add_texts(rows, path, asked=asked) == 2 and texts.add_texts(rows, path, asked=asked) == 0
+    assert sorted(r.criteria_text for r in texts.read_texts(spark, path).collect()) == ["a", "b"]
+
+
+def test_a_run_takes_sentences_from_its_rows_by_digest(spark, tmp_path, monkeypatch):
+    plain = []
+
+    def add(rows, path, number="seq", asked=None):
+        plain.append("Join" in rows._jdf.queryExecution().optimizedPlan().toString())
+        return texts.add_texts(rows, path, number, asked)
+
+    monkeypatch.setattr(resume, "add_texts", add)
+    rows = rows_table(spark, ["a", "b", "a"])
+    resume.run_models(rows, str(tmp_path / "log"), driver_tables.rule_scorer(), max_tries=1)
+    assert plain and not plain[0]
