@@ -34,8 +34,8 @@ BANDS, BAND_SLOTS = 32, 4
 SLOTS = BANDS * BAND_SLOTS
 # Buckets choose their heads by this many different orders of the documents.
 ORDERS = 4
-# Text whose bags a worker holds at once; they take some thirty times as much.
-BAG_BYTES = 2 << 20
+# Text whose bags a worker holds at once, of both sides of pairs together; they take some fifty times as much.
+BAG_BYTES = 1 << 20
 CELL_BYTES = 1 << 20  # of text on each side of a cell
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,7 +124,7 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text_a", BAG_BYTES):
+    for batch in slices(batches, ["text_a", "text_b"], BAG_BYTES):
         same = similarities(batch.column("text_a"), batch.column("text_b")) >= SIMILAR
         yield batch.select(["a", "b"]).filter(pa.array(same))
 

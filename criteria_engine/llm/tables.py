@@ -51,13 +51,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(key.cast("binary")) % 4 == 2
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of about `size` bytes of `column`."""
+def slices(batches: Iterator[pa.RecordBatch], columns: str | list[str], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of about `size` bytes of `columns` together."""
+    columns = [columns] if isinstance(columns, str) else columns
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
-        part = np.cumsum(lengths.to_numpy(zero_copy_only=False)) // size
+        lengths = [pc.fill_null(pc.binary_length(batch.column(c)), 0) for c in columns]
+        part = np.cumsum(sum(n.to_numpy(zero_copy_only=False).astype(np.int64) for n in lengths)) // size
         cuts = np.flatnonzero(np.diff(part)) + 1
         for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(start, end - start)

@@ -28,6 +28,8 @@ from criteria_engine.operators.bloom import likely_in
 # Rows that one task learns from in a round, and words that it mixes at once.
 TASK_ROWS = 8000
 MIXED_WORDS = 1 << 20
+# Text whose words a worker looks up at once; with the filters' values they take up to eighty times as much.
+TEXT_BYTES = 1 << 20
 ROWS, WIDTH, FILTERS, WIDTHS = 1 << 18, 12, 12, (1, 2, 3)
 EPOCHS, BATCH, RATE = 3, 32, 0.08
 # Few rows are seen more often, until so many steps are made.
@@ -234,7 +236,7 @@ def learned_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
 def _mixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Texts as rows of `features`, MIXED_WORDS words at a time, and their labels."""
     texts, toxic, held = [], [], 0
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", TEXT_BYTES):
         flat, offsets = words(batch.column("text"))
         rows = features(flat.dictionary)[codes(flat)]
         for i, label in enumerate(batch.column("toxic").to_pylist()):
@@ -311,7 +313,7 @@ def _cells(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def add_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             found = pa.array(shared.value.scores(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("toxic"), found], ["lang", "toxic", "score"])
 
@@ -373,7 +375,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[4:])
 
     def add_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             found = pa.array(shared.value.scores(batch.column("text")))
             columns = [batch.column("doc_id"), batch.column("held_out"), found, batch.column("lang")]
             rest = batch.schema.names[4:]

@@ -320,3 +320,23 @@ def test_deep_pages_take_time_in_proportion():
 
     seconds(1000)
     assert seconds(40_000) < 20 * max(seconds(4_000), 0.02)
+
+
+def test_toxicity_looks_up_little_text_at_once(monkeypatch):
+    """The words of the texts a task mixes, and of those it scores, are looked up about 1 MB at a time."""
+    held, words = [], toxicity.words
+    long = prose(1, 4000)
+    texts = [f"{long} {i}" for i in range(150)]
+
+    def seen(found):
+        held.append(sum(map(len, found.to_pylist())))
+        return words(found)
+
+    rows = pa.RecordBatch.from_pydict({"text": texts, "toxic": [i % 2 for i in range(150)]})
+    flat, offsets = words(pa.array(texts))
+    whole = toxicity.features(flat.dictionary)[toxicity.codes(flat)]
+    monkeypatch.setattr(toxicity, "words", seen)
+    mixes = list(toxicity._mixes(iter([rows])))
+    assert np.array_equal(np.concatenate([t for mixed, _ in mixes for t in mixed]), whole) and len(offsets) == 151
+    assert np.concatenate([label for _, label in mixes]).tolist() == [i % 2 for i in range(150)]
+    assert max(held) <= (1 << 20) + len(long) + 10

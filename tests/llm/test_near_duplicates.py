@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from criteria_engine.llm import bagminhash, components as cc
 from criteria_engine.llm.tables import scratch
@@ -91,3 +92,27 @@ def test_components(spark):
     found = {r.node: r.label for r in cc.components(links, scratch(spark)).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 120: 100, **{k: 200 for k in range(200, 240)}}
     assert cc.components(links.limit(0), scratch(spark)).count() == 0
+
+
+def test_workers_hold_a_bounded_text_of_both_sides(monkeypatch):
+    """Short texts on the left do not let long ones on the right pile up."""
+    held, similarities, bags = [], bagminhash.similarities, bagminhash.bags
+    size = lambda *sides: sum(pc.sum(pc.binary_length(t)).as_py() for t in sides)
+
+    def seen(left, right):
+        held.append(size(left, right))
+        return similarities(left, right)
+
+    long = prose(1, 4000)
+    rows = pa.RecordBatch.from_pydict({"a": list(range(150)), "b": list(range(150, 300)), "text_a": ["x y"] * 149 + [long], "text_b": [long] * 150})
+    monkeypatch.setattr(bagminhash, "similarities", seen)
+    out = [r for b in bagminhash._verified(iter([rows])) for r in b.to_pylist()]
+    assert out == [{"a": 149, "b": 299}]
+    assert max(held) <= (1 << 20) + 2 * len(long) and sum(held) == size(rows["text_a"], rows["text_b"])
+
+    held.clear()
+    monkeypatch.setattr(bagminhash, "bags", lambda texts: held.append(size(texts)) or bags(texts))
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(150)), "first_hash": [1] * 150, "second_hash": [2] * 150, "size": [3] * 150, "text": [long] * 150})
+    found = [r for b in bagminhash._banded(iter([docs])) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in found] == list(range(150)) and all(r["keys"] == found[0]["keys"] for r in found)
+    assert max(held) <= (1 << 20) + len(long)
